@@ -9,16 +9,23 @@ from pyspark.sql import Column, functions as F
 SPACE = r"[\s\x0B\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 FORMULA_START = r"^[=+\-@]"
 FORMULA_PREFIX = r"^[=+\-@]+"
-SCRIPT = r"(?is)<script.*?>.*?</script>"
-SQL_PAIR = rf"(?i)(DROP|DELETE|INSERT|UPDATE|ALTER|CREATE|EXEC|UNION|SELECT){SPACE}+(TABLE|DATABASE|INTO|FROM)"
+SCRIPT = r"(?isu)<script.*?>.*?</script>"
+# The two-letter look-ahead only skips positions where no keyword can start.
+SQL_PAIR = (
+    r"(?=[DIUACESdiuaces\x{17F}][RrEeNnPpLlXx])"
+    rf"(?iu:(DROP|DELETE|INSERT|UPDATE|ALTER|CREATE|EXEC|UNION|SELECT){SPACE}+(TABLE|DATABASE|INTO|FROM))"
+)
 COMMENT_TO_END = r"(?ms)--.*$|/\*.*?\*/"
 COMMENT_TO_LINE_END = r"(?s)--[^\n]*|/\*.*?\*/"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-SQL_DROP = rf"(?i)DROP{SPACE}+(TABLE|DATABASE)"
-SQL_SELECT = rf"(?i)SELECT{SPACE}+\*{SPACE}+FROM"
-SQL_UPDATE = rf"(?i)UPDATE{SPACE}+[\p{{L}}\p{{N}}_]+{SPACE}+SET"
+SQL_DROP = rf"(?iu)DROP{SPACE}+(TABLE|DATABASE)"
+SQL_SELECT = rf"(?iu)SELECT{SPACE}+\*{SPACE}+FROM"
+SQL_UPDATE = rf"(?iu)UPDATE{SPACE}+[\p{{L}}\p{{N}}_]+{SPACE}+SET"
 MAX_CELL = 10_000
 ISSUE_EXCERPT = 100
+# Texts that convert to a number. Testing the pattern first avoids a costly failed conversion per row.
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
+INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
 
 
 def _col(c: str | Column) -> Column:
@@ -82,3 +89,9 @@ def sanitize_filename(c: str | Column) -> Column:
     suffix = F.regexp_extract(capped, r"(?s)^.+(\.[^.]+)$", 1)
     fallback = F.concat(F.lit("uploaded_file"), F.when(suffix == "", F.lit(".txt")).otherwise(suffix))
     return F.when((capped == "") | capped.startswith("."), fallback).otherwise(capped)
+
+
+def number_or_null(name: str) -> Column:
+    """The double a text stands for, NULL where it is none."""
+    c = F.col(f"`{name}`")
+    return F.when(F.rlike(c, F.lit(NUMBER)), F.expr(f"try_cast(trim(`{name}`) AS double)"))

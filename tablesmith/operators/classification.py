@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -58,7 +59,13 @@ def fit_mlp(df: DataFrame, target: str, features: Sequence[str], arch: str = "si
     net = MultilayerPerceptronClassifier(
         layers=[len(features), *ARCHITECTURES[arch], max(encoder.sizes[target], 2)], featuresCol="_features", labelCol="_label",
         predictionCol="prediction", probabilityCol="_probability", rawPredictionCol="_raw", seed=seed, maxIter=max_iter)
-    return FittedClassifier(PipelineModel([*prepare.stages, net.fit(data)]), features, encoder.vocabularies[target])
+    # Training passes over the data many times: keep only vectors and labels, spilling to disk.
+    kept = data.select("_features", "_label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = net.fit(kept)
+    finally:
+        kept.unpersist()
+    return FittedClassifier(PipelineModel([*prepare.stages, fitted]), features, encoder.vocabularies[target])
 
 
 def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:

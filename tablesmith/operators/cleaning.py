@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from tablesmith.functions.text import NUMBER, number_or_null
 from tablesmith.operators.ordering import with_position
 from tablesmith.operators.profile import iqr_bounds
 from tablesmith.operators.quantiles import quantile_values
@@ -91,9 +92,8 @@ def infer_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     cols = list(cols or string_columns(df))
     if not cols:
         return df
-    as_double = {c: F.expr(f"try_cast(trim(`{c}`) AS double)") for c in cols}
-    bad = df.agg(*[F.count_if(F.col(c).isNotNull() & as_double[c].isNull()).alias(c) for c in cols]).first()
-    return df.withColumns({c: as_double[c] for c in cols if bad[c] == 0})
+    bad = df.agg(*[F.count_if(~F.rlike(F.col(c), F.lit(NUMBER))).alias(c) for c in cols]).first()
+    return df.withColumns({c: number_or_null(c) for c in cols if bad[c] == 0})
 
 
 @dataclass

@@ -96,11 +96,11 @@ def trailing(
     block = max(block, n)
     placed = with_position(df, order, by, "_pos", small)
     own = F.floor(F.col("_pos") / block)
-    copies = F.array_compact(F.array(
+    copies = F.array(
         F.struct(own.alias("b"), F.lit(False).alias("halo")),
         F.when(F.pmod(F.col("_pos"), F.lit(block)) >= block - (n - 1),
-               F.struct((own + 1).alias("b"), F.lit(True).alias("halo")))))
-    spread = placed.select(*df.columns, "_pos", F.explode(copies).alias("_at"))
+               F.struct((own + 1).alias("b"), F.lit(True).alias("halo"))))
+    spread = placed.select(*df.columns, "_pos", F.explode(copies).alias("_at")).where("_at IS NOT NULL")
     w = Window.partitionBy(*by, F.col("_at.b")).orderBy("_pos").rowsBetween(-(n - 1), 0)
     done = spread.withColumns({k: fn(c).over(w) for k, (fn, c) in aggs.items()})
     return done.where(~F.col("_at.halo")).select(*df.columns, *aggs)

@@ -57,19 +57,41 @@ def global_missing_pct(df: DataFrame) -> DataFrame:
         "missing_percent", percent(F.col("n_missing"), F.col("n_cells")))
 
 
+def central_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Mean, deviation, extremes, skewness and excess kurtosis (population forms), one row per column.
+
+    Plain sums of powers around the mean stay in generated code for any number of columns; the built-in
+    moment aggregates outgrow it from a handful of columns on.
+    """
+    cols = list(cols)
+    means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    sums = []
+    for i, c in enumerate(cols):
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        d = v - F.lit(float(means[i] or 0.0))
+        sums += [F.count(v).alias(f"n__{i}"), F.min(v).alias(f"min__{i}"), F.max(v).alias(f"max__{i}"), F.sum(d).alias(f"s1__{i}"),
+                 F.sum(d * d).alias(f"s2__{i}"), F.sum(d * d * d).alias(f"s3__{i}"), F.sum(d * d * d * d).alias(f"s4__{i}"),
+                 F.lit(float(means[i] or 0.0)).alias(f"c__{i}")]
+    raw = rows_from_wide(df.agg(*sums), cols, {k: k for k in ("n", "min", "max", "s1", "s2", "s3", "s4", "c")}).where("n > 0")
+    # The centre is off the exact mean by rounding only; e corrects for it.
+    e, p2, p3, p4 = (F.col(k) / F.col("n") for k in ("s1", "s2", "s3", "s4"))
+    m2 = F.greatest(p2 - e * e, F.lit(0.0))
+    m3 = p3 - 3 * e * p2 + 2 * e * e * e
+    m4 = p4 - 4 * e * p3 + 6 * e * e * p2 - 3 * e * e * e * e
+    return raw.select(
+        "column", "n", "min", "max", F.col("c").alias("mean"),
+        F.sqrt(F.try_divide(m2 * F.col("n"), F.col("n") - 1)).alias("std"),
+        F.try_divide(m3, F.pow(m2, F.lit(1.5))).alias("skewness"), (F.try_divide(m4, m2 * m2) - 3).alias("kurtosis"))
+
+
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, digits: int = 4) -> DataFrame:
     """Moments and exact quartiles per numeric column, rounded; empty columns are left out."""
     cols = list(cols or numeric_columns(df))
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx)
-    wide = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.avg(c).alias(f"mean__{i}"), F.stddev_samp(c).alias(f"std__{i}"),
-        F.min(F.col(c).cast("double")).alias(f"min__{i}"), F.max(F.col(c).cast("double")).alias(f"max__{i}"),
-        F.skewness(c).alias(f"skewness__{i}"), F.kurtosis(c).alias(f"kurtosis__{i}"))])
-    names = ["mean", "std", "min", "max", "skewness", "kurtosis"]
-    moments = rows_from_wide(wide, cols, {n: n for n in names})
+    moments = central_moments(df, cols)
     r = lambda c: F.round(c, digits)
     # Both sides have one row per column.
-    return q.join(moments, "column").select(
+    return q.drop("n").join(moments, "column").select(
         "column", F.col("n").alias("count"), r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"),
         r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q75"),
         r("max").alias("max"), r("skewness").alias("skewness"), r("kurtosis").alias("kurtosis"))
@@ -122,11 +144,11 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> dict[str,
 
 
 def outlier_cells(df: DataFrame, cols: Sequence[str], bounds: dict[str, tuple[float, float]], key: str) -> DataFrame:
-    hits = F.array_compact(F.array(*[
+    hits = F.array(*[
         F.when((F.col(c) < lo) | (F.col(c) > hi),
                F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")))
-        for c, (lo, hi) in bounds.items()]))
-    return df.select(F.col(key).alias("key"), F.explode(hits).alias("_x")).select("key", "_x.*")
+        for c, (lo, hi) in bounds.items()])
+    return df.select(F.col(key).alias("key"), F.explode(hits).alias("_x")).where("_x IS NOT NULL").select("key", "_x.*")
 
 
 def outlier_summary(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:

@@ -30,8 +30,8 @@ MIN_SAMPLES = 10
 
 
 def _findings(*rules: tuple[str, str, Column]) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(test, F.struct(F.lit(level).alias("severity"), F.lit(rule).alias("rule"))) for level, rule, test in rules]))
+    return F.array(*[
+        F.when(test, F.struct(F.lit(level).alias("severity"), F.lit(rule).alias("rule"))) for level, rule, test in rules])
 
 
 def quality_report(df: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def quality_report(df: DataFrame) -> DataFrame:
         ("warning", "many_missing", (F.col("pct") > 20) & (F.col("pct") <= 50)),
         ("warning", "no_numeric_column", F.lit(n_cols > 0 and not numeric_columns(df))),
     )
-    return one.select(F.explode(rules).alias("_x"), "n_rows", "pct").select(
+    return one.select(F.explode(rules).alias("_x"), "n_rows", "pct").where("_x IS NOT NULL").select(
         "_x.severity", "_x.rule", "n_rows", F.col("pct").alias("missing_percent"))
 
 
@@ -81,7 +81,7 @@ def filename_rules(df: DataFrame, key: str, name: str) -> DataFrame:
         ("error", "disguised_extension", (F.size(parts) > 2) & F.lower(F.get(parts, F.size(parts) - 2)).isin(DISGUISED)),
         ("warning", "script_extension_inside", F.rlike(F.lower(c), F.lit(SCRIPT_PARTS))),
     )
-    return df.select(F.col(key), F.explode(rules).alias("_x")).select(key, "_x.severity", "_x.rule")
+    return df.select(F.col(key), F.explode(rules).alias("_x")).where("_x IS NOT NULL").select(key, "_x.severity", "_x.rule")
 
 
 def file_size_rules(df: DataFrame, key: str, size: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -91,7 +91,7 @@ def file_size_rules(df: DataFrame, key: str, size: str, max_bytes: int = MAX_FIL
         ("error", "file_too_large", c > max_bytes),
         ("warning", "very_small_file", c < SMALL_FILE_BYTES),
     )
-    return df.select(F.col(key), F.explode(rules).alias("_x")).select(key, "_x.severity", "_x.rule")
+    return df.select(F.col(key), F.explode(rules).alias("_x")).where("_x IS NOT NULL").select(key, "_x.severity", "_x.rule")
 
 
 def training_report(df: DataFrame, target: str, features: Sequence[str] = ()) -> DataFrame:
@@ -105,7 +105,7 @@ def training_report(df: DataFrame, target: str, features: Sequence[str] = ()) ->
     static = spark.createDataFrame(found, "severity string, rule string, column string")
     n = df.agg(F.count(target).alias("n"))
     rules = _findings(("error", "target_all_null", F.col("n") == 0), ("error", "too_few_rows", F.col("n") < MIN_SAMPLES))
-    counted = n.select(F.explode(rules).alias("_x")).select("_x.severity", "_x.rule", F.lit(target).alias("column"))
+    counted = n.select(F.explode(rules).alias("_x")).where("_x IS NOT NULL").select("_x.severity", "_x.rule", F.lit(target).alias("column"))
     return static.unionByName(counted)
 
 

@@ -43,7 +43,7 @@ def scan_issues(df: DataFrame, key: str, cols: Sequence[str] | None = None) -> D
         cut = F.substring(c, 1, ISSUE_EXCERPT)
         for issue, test in (("formula_detected", has_formula), ("script_detected", has_script), ("sql_injection_detected", has_sql)):
             found.append(F.when(test(c), F.struct(F.lit(c).alias("column"), F.lit(issue).alias("issue"), cut.alias("excerpt"))))
-    cells = df.select(F.col(key), F.explode(F.array_compact(F.array(*found))).alias("_x")).select(key, "_x.*")
+    cells = df.select(F.col(key), F.explode(F.array(*found)).alias("_x")).where("_x IS NOT NULL").select(key, "_x.*")
     bad = [c for c in df.columns if not valid_name(c)]
     if not bad:
         return cells

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tablesmith.functions.text import INTEGER, NUMBER, number_or_null
 from tablesmith.schema import nan_to_null, sanitize_columns, trim_columns
 
 # Texts that mean "missing" in delimited files.
@@ -60,9 +61,8 @@ def _typed(df: DataFrame) -> DataFrame:
     def tests(c):
         v = F.col(c)
         return (
-            F.count(v), F.count_if(v.isNotNull() & F.expr(f"try_cast(trim(`{c}`) AS bigint)").isNull()),
-            F.count_if(v.isNotNull() & F.expr(f"try_cast(trim(`{c}`) AS double)").isNull()),
-            F.count_if(v.isNotNull() & ~v.isin("True", "False", "true", "false", "TRUE", "FALSE")))
+            F.count(v), F.count_if(~F.rlike(v, F.lit(INTEGER))), F.count_if(~F.rlike(v, F.lit(NUMBER))),
+            F.count_if(~v.isin("True", "False", "true", "false", "TRUE", "FALSE")))
 
     row = df.agg(*[e.alias(f"t{j}_{i}") for i, c in enumerate(df.columns) for j, e in enumerate(tests(c))]).first()
     casts = {}
@@ -71,7 +71,7 @@ def _typed(df: DataFrame) -> DataFrame:
         if n and not no_long:
             casts[c] = F.expr(f"try_cast(trim(`{c}`) AS bigint)")
         elif not n or not no_double:
-            casts[c] = F.expr(f"try_cast(trim(`{c}`) AS double)")
+            casts[c] = number_or_null(c)
         elif not no_bool:
             casts[c] = F.lower(c) == "true"
     return df.withColumns(casts) if casts else df

@@ -44,6 +44,6 @@ def score_stream(model: PipelineModel, sdf: DataFrame) -> DataFrame:
 
 def notifications(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
     """One record per row and matching rule: ``kind`` and ``message`` next to the row's columns."""
-    found = F.array_compact(F.array(*[
-        F.when(test, F.struct(F.lit(kind).alias("kind"), text.alias("message"))) for kind, (test, text) in rules.items()]))
-    return df.select("*", F.explode(found).alias("_x")).select(*df.columns, "_x.*")
+    found = F.array(*[
+        F.when(test, F.struct(F.lit(kind).alias("kind"), text.alias("message"))) for kind, (test, text) in rules.items()])
+    return df.select("*", F.explode(found).alias("_x")).where("_x IS NOT NULL").select(*df.columns, "_x.*")
