@@ -47,8 +47,12 @@ def _pair_moments(df: DataFrame, cols: list[str], centre: list[float]) -> DataFr
     return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 50, direct: int = 10) -> DataFrame:
-    """All ordered pairs ``col_a, col_b, r``; r is NULL where it is undefined."""
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 50, direct: int = 4) -> DataFrame:
+    """All ordered pairs ``col_a, col_b, r``; r is NULL where it is undefined.
+
+    Up to ``direct`` columns are one SQL aggregate; more would outgrow generated code, so they are
+    summed as small matrices in Arrow batches.
+    """
     cols = list(cols or numeric_columns(df))[:max_cols]
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")

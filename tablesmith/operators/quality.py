@@ -119,6 +119,6 @@ def cap_rows(df: DataFrame, n: int = 1_000_000, on_exceed: str = "error") -> Dat
     """Refuse a table with more than ``n`` rows, or keep its first ``n``."""
     if on_exceed == "truncate":
         return df.limit(n)
-    if df.limit(n + 1).count() > n:
+    if df.count() > n:
         raise ValueError(f"more than {n} rows")
     return df

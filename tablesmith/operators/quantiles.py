@@ -109,11 +109,6 @@ def _whole_columns(df, cols, probs, small_group, gather_rows, bins) -> DataFrame
     data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"_c{i}") for i, c in enumerate(cols)])
     v = {c: F.col(f"_c{i}") for i, c in enumerate(cols)}
     schema = "column string, n long, q array<double>"
-    if df.limit(small_group + 1).count() <= small_group:
-        wide = data.agg(*[e for i, c in enumerate(cols) for e in (
-            F.count(v[c]).alias(f"n{i}"), F.percentile(v[c], F.array(*[F.lit(p) for p in probs])).alias(f"q{i}"))])
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("q")) for i, c in enumerate(cols)])
-        return wide.select(F.explode(cells).alias("_x")).select("_x.*").where("n > 0")
 
     def bounds(cells: list[_Cell]) -> list[tuple]:
         row = data.agg(*[e for c in cells for e in (
@@ -123,6 +118,12 @@ def _whole_columns(df, cols, probs, small_group, gather_rows, bins) -> DataFrame
 
     whole = [_Cell(c, 0, 0) for c in cols]
     extent = bounds(whole)
+    if max(e[0] for e in extent) <= small_group:
+        wide = data.agg(*[e for i, c in enumerate(cols) for e in (
+            F.count(v[c]).alias(f"n{i}"), F.percentile(v[c], F.array(*[F.lit(p) for p in probs])).alias(f"q{i}"))])
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("q")) for i, c in enumerate(cols)])
+        return wide.select(F.explode(cells).alias("_x")).select("_x.*").where("n > 0")
+
     sizes = {c: e[0] for c, e in zip(cols, extent) if e[0]}
     ranks = {c: sorted({r for p in probs for r in (math.floor((n - 1) * p), min(math.floor((n - 1) * p) + 1, n - 1))}) for c, n in sizes.items()}
     at: dict[tuple[str, int], _Cell] = {}

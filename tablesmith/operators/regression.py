@@ -1,8 +1,8 @@
 """Linear models.
 
-``fit`` trains an MLlib pipeline that can be saved and applied to batches and streams. Model
-selection (folds, grids, elimination, comparison) reads everything from cross-product sums, which
-one pass over the data yields for all folds at once; what reaches the driver is p x p numbers.
+All fits read cross-product sums, which one pass over the data yields, for all folds of a search at
+once; what reaches the driver is p x p numbers. A fitted model is a pipeline of SQL stages: it can be
+saved, applies to batches and streams alike, and scoring stays in generated code (no vectors, no UDF).
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesmith.operators.features import Scaler, fit_scaler, fold_column, split_column
@@ -161,15 +160,8 @@ class FittedRegression:
     features: list[str]
     config: RegressionConfig
     n_train: int
-    means: dict[str, float] = field(default_factory=dict)
-
-    @property
-    def coefficients(self) -> list[float]:
-        return [float(c) for c in self.model.stages[-1].coefficients]
-
-    @property
-    def intercept(self) -> float:
-        return float(self.model.stages[-1].intercept)
+    coefficients: list[float]
+    intercept: float
 
     def predict(self, df: DataFrame, mode: str = "fitted") -> DataFrame:
         return predict(self.model, df, self.features, mode)
@@ -180,7 +172,7 @@ def fit(df: DataFrame, target: str, features: Sequence[str], config: RegressionC
     config, features = config or RegressionConfig(), list(features)
     validate_training(df, target, features)
     rows = df.where(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double")))
-    stats = rows.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("sd"), *[F.avg(f).alias(f) for f in features]).first()
+    stats = rows.agg(*[F.avg(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))).alias(f) for f in features]).first()
     means = {f: float(stats[f] or 0.0) for f in features}
     filled = rows.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")), F.lit(means[f])) for f in features})
     scaler = fit_scaler(filled, features, config.scaling) if config.scaling else Scaler({f: 0.0 for f in features}, {f: 1.0 for f in features})
@@ -191,22 +183,12 @@ def fit(df: DataFrame, target: str, features: Sequence[str], config: RegressionC
 
     names = [f"_x_{i}" for i in range(len(features))]
     cols = ", ".join(f"{prepared(f)} AS `{n}`" for f, n in zip(features, names))
-    sd = float(stats["sd"] or 0.0)
-    l1, l2 = config.penalties()
-    if config.kind == "ridge":
-        l2 = config.alpha / stats["n"]
-    # MLlib divides the L2 term by the label's deviation; this undoes it.
-    reg = l1 + l2 * sd
-    lr = LinearRegression(
-        featuresCol="_features", labelCol=target, predictionCol="prediction", standardization=False, solver="auto",
-        regParam=reg, elasticNetParam=l1 / reg if reg else 0.0, tol=1e-10, maxIter=1000)
-    stages = [
-        SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__"),
-        VectorAssembler(inputCols=names, outputCol="_features"),
-        lr,
-    ]
-    model = Pipeline(stages=stages).fit(rows)
-    return FittedRegression(model, target, features, config, int(stats["n"]), means)
+    prepare = SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
+    m = moments(prepare.transform(rows), [*names, target])[0]
+    w, intercept = solve(m, config)
+    terms = " + ".join(f"({float(c)!r}D) * `{n}`" for c, n in zip(w, names))
+    score = SQLTransformer(statement=f"SELECT *, ({intercept!r}D) + {terms} AS prediction FROM __THIS__")
+    return FittedRegression(PipelineModel([prepare, score]), target, features, config, int(m.n), [float(c) for c in w], intercept)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], mode: str = "fitted") -> DataFrame:
@@ -216,7 +198,7 @@ def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], mode:
         from tablesmith.functions.formats import fill_scoring
         df = df.withColumns({f: fill_scoring(f) for f in features})
     out = model.transform(df)
-    return out.drop(*[c for c in out.columns if c == "_features" or c.startswith("_x_")])
+    return out.drop(*[c for c in out.columns if c.startswith("_x_")])
 
 
 def predict_many(model: PipelineModel, tables: dict[str, DataFrame], features: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:

@@ -21,6 +21,8 @@ def test_every_check_belongs_to_a_query():
 def test_query(spark, sf, con, name):
     df = QUERIES[name](spark, sf)
     assert len(set(df.columns)) == len(df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name in ORACLES:
         assert mismatch(df, con, ORACLES[name]) is None
     else:
