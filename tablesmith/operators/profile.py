@@ -16,11 +16,11 @@ def percent(part, whole, digits: int = 2):
 
 def rows_from_wide(wide: DataFrame, names: Sequence[str], fields: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """Turn a one-row table with columns ``<field>__<i>`` into one row per name."""
-    items = F.array(*[
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{src}__{i}").alias(dst) for dst, src in fields.items()])
-        for i, c in enumerate(names)
-    ])
-    return wide.select(*keep, F.explode(items).alias("_x")).select(*keep, "_x.*")
+    quoted = [c.replace("\\", "\\\\").replace("'", "\\'") for c in names]
+    items = ", ".join(
+        f"named_struct('column', '{c}', " + ", ".join(f"'{dst}', `{src}__{i}`" for dst, src in fields.items()) + ")"
+        for i, c in enumerate(quoted))
+    return wide.selectExpr(*keep, f"explode(array({items})) AS _x").select(*keep, "_x.*")
 
 
 def profile_shape(df: DataFrame) -> DataFrame:
@@ -64,15 +64,15 @@ def central_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     moment aggregates outgrow it from a handful of columns on.
     """
     cols = list(cols)
-    means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"_c{i}") for i, c in enumerate(cols)])
+    means = [float(m or 0.0) for m in data.agg(*[F.expr(f"avg(_c{i})") for i in range(len(cols))]).first()]
     sums = []
-    for i, c in enumerate(cols):
-        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        d = v - F.lit(float(means[i] or 0.0))
-        sums += [F.count(v).alias(f"n__{i}"), F.min(v).alias(f"min__{i}"), F.max(v).alias(f"max__{i}"), F.sum(d).alias(f"s1__{i}"),
-                 F.sum(d * d).alias(f"s2__{i}"), F.sum(d * d * d).alias(f"s3__{i}"), F.sum(d * d * d * d).alias(f"s4__{i}"),
-                 F.lit(float(means[i] or 0.0)).alias(f"c__{i}")]
-    raw = rows_from_wide(df.agg(*sums), cols, {k: k for k in ("n", "min", "max", "s1", "s2", "s3", "s4", "c")}).where("n > 0")
+    for i, m in enumerate(means):
+        d = f"(_c{i} - ({m!r}D))"
+        parts = {"n": f"count(_c{i})", "min": f"min(_c{i})", "max": f"max(_c{i})", "s1": f"sum({d})", "s2": f"sum({d} * {d})",
+                 "s3": f"sum({d} * {d} * {d})", "s4": f"sum({d} * {d} * {d} * {d})", "c": f"{m!r}D"}
+        sums += [F.expr(e).alias(f"{k}__{i}") for k, e in parts.items()]
+    raw = rows_from_wide(data.agg(*sums), cols, {k: k for k in ("n", "min", "max", "s1", "s2", "s3", "s4", "c")}).where("n > 0")
     # The centre is off the exact mean by rounding only; e corrects for it.
     e, p2, p3, p4 = (F.col(k) / F.col("n") for k in ("s1", "s2", "s3", "s4"))
     m2 = F.greatest(p2 - e * e, F.lit(0.0))

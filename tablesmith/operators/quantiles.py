@@ -10,10 +10,11 @@ repeat end in a bin of their own, whatever their share of the rows.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablesmith.session import settle
 
@@ -24,12 +25,20 @@ ROUNDS = 60
 SKETCH = 10_000            # sketch accuracy for approx=True: rank error at most n / SKETCH
 
 
+def _number(df: DataFrame, c: str) -> Column:
+    """The value as a double; NaN is missing and an infinity is the largest double of its sign."""
+    v = F.col(c).cast("double")
+    if not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+        return v
+    return F.when(v.isNotNull() & ~F.isnan(v), F.greatest(F.least(v, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max)))
+
+
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     cells = F.array(*[
-        F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)
+        F.struct(F.lit(i).alias("_c"), _number(df, c).alias("_v")) for i, c in enumerate(cols)
     ])
     long = df.select(*by, F.explode(cells).alias("_x")).select(*by, "_x._c", "_x._v")
-    keep = F.col("_v").isNotNull() & ~F.isnan("_v")
+    keep = F.col("_v").isNotNull()
     for b in by:
         keep = keep & F.col(b).isNotNull()
     return long.where(keep)
@@ -96,33 +105,35 @@ class _Cell:
     parent_rows: int = 0
     value: float | None = None      # set when all its values are equal
 
-    def holds(self, v: Column, bins: int) -> Column:
-        out = v.isNotNull()
-        for lo, hi, log, at in self.path:
-            out = out & (_bin(v, F.lit(lo), F.lit(hi), F.lit(log), bins) == at)
-        return out
+    def holds(self, v: str, bins: int) -> str:
+        return " AND ".join([f"{v} IS NOT NULL", *[f"{_bin_sql(v, lo, hi, log, bins)} = {at}" for lo, hi, log, at in self.path]])
+
+
+def _bin_sql(v: str, lo: float, hi: float, log: bool, bins: int) -> str:
+    """The bin of a value as SQL text: built once per column, it saves a driver call per sub-expression."""
+    if log:
+        v, lo, hi = f"signum({v}) * log1p(abs({v}))", *(math.copysign(math.log1p(abs(x)), x) for x in (lo, hi))
+    return f"least(CAST(floor(({v} - ({lo!r}D)) * {bins / (hi - lo)!r}D) AS INT), {bins - 1})"
 
 
 def _whole_columns(df, cols, probs, small_group, gather_rows, bins) -> DataFrame:
     spark = df.sparkSession
     bins = max(min(bins, 400_000 // max(len(cols), 1)), 2)
-    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"_c{i}") for i, c in enumerate(cols)])
-    v = {c: F.col(f"_c{i}") for i, c in enumerate(cols)}
+    data = df.select(*[_number(df, c).alias(f"_c{i}") for i, c in enumerate(cols)])
+    v = {c: f"_c{i}" for i, c in enumerate(cols)}
     schema = "column string, n long, q array<double>"
 
     def bounds(cells: list[_Cell]) -> list[tuple]:
-        row = data.agg(*[e for c in cells for e in (
-            F.count(F.when(c.holds(v[c.col], bins), 1)), F.min(F.when(c.holds(v[c.col], bins), v[c.col])),
-            F.max(F.when(c.holds(v[c.col], bins), v[c.col])))]).first()
+        within = [v[c.col] if not c.path else f"CASE WHEN {c.holds(v[c.col], bins)} THEN {v[c.col]} END" for c in cells]
+        row = data.agg(*[F.expr(f"{fn}({x})") for x in within for fn in ("count", "min", "max")]).first()
         return [tuple(row[3 * i: 3 * i + 3]) for i in range(len(cells))]
 
     whole = [_Cell(c, 0, 0) for c in cols]
     extent = bounds(whole)
     if max(e[0] for e in extent) <= small_group:
-        wide = data.agg(*[e for i, c in enumerate(cols) for e in (
-            F.count(v[c]).alias(f"n{i}"), F.percentile(v[c], F.array(*[F.lit(p) for p in probs])).alias(f"q{i}"))])
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("q")) for i, c in enumerate(cols)])
-        return wide.select(F.explode(cells).alias("_x")).select("_x.*").where("n > 0")
+        share = f"array({', '.join(f'{p!r}D' for p in probs)})"
+        wide = data.agg(*[F.expr(f"percentile({v[c]}, {share})").alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        return spark.createDataFrame([(c, e[0], wide[f"q{i}"]) for i, (c, e) in enumerate(zip(cols, extent)) if e[0]], schema)
 
     sizes = {c: e[0] for c, e in zip(cols, extent) if e[0]}
     ranks = {c: sorted({r for p in probs for r in (math.floor((n - 1) * p), min(math.floor((n - 1) * p) + 1, n - 1))}) for c, n in sizes.items()}
@@ -141,15 +152,15 @@ def _whole_columns(df, cols, probs, small_group, gather_rows, bins) -> DataFrame
             # Linear bins; a logarithmic scale where the last linear ones did not spread the rows.
             last = cell.path[-1] if cell.path else None
             stuck = last is not None and not last[2] and cell.rows * 2 > cell.parent_rows
-            split.append((cell, lo, hi, stuck or not math.isfinite((hi - lo) * bins)))
+            split.append((cell, lo, hi, stuck or not math.isfinite((hi - lo) * bins) or not math.isfinite(bins / (hi - lo))))
         if not split:
             break
         # (Nulls are dropped after explode: that keeps the whole pass in generated code.)
-        parts = F.array(*[
-            F.when(c.holds(v[c.col], bins), F.lit(k * bins) + _bin(v[c.col], F.lit(lo), F.lit(hi), F.lit(log), bins))
-            for k, (c, lo, hi, log) in enumerate(split)])
+        parts = ", ".join(
+            f"CASE WHEN {c.holds(v[c.col], bins)} THEN {k * bins} + {_bin_sql(v[c.col], lo, hi, log, bins)} END"
+            for k, (c, lo, hi, log) in enumerate(split))
         # What comes back is a count per bin: at most `bins` numbers for each of the cells.
-        counts = sorted((r[0], r[1]) for r in data.select(F.explode(parts).alias("b")).where("b IS NOT NULL").groupBy("b").count().collect())
+        counts = sorted((r[0], r[1]) for r in data.selectExpr(f"explode(array({parts})) AS b").where("b IS NOT NULL").groupBy("b").count().collect())
         fresh = {}
         for k, (cell, lo, hi, log) in enumerate(split):
             below, mine = cell.below, [(b - k * bins, m) for b, m in counts if b // bins == k]
@@ -177,11 +188,11 @@ def _whole_columns(df, cols, probs, small_group, gather_rows, bins) -> DataFrame
             families.setdefault((cell.col, tuple(cell.path[:-1]), cell.path[-1][:3]), []).append(cell)
         hits, wanted = [], []
         for k, ((c, head, (lo, hi, log)), cells) in enumerate(families.items()):
-            at_bin = _bin(v[c], F.lit(lo), F.lit(hi), F.lit(log), bins)
-            inside = _Cell(c, 0, 0, list(head)).holds(v[c], bins) & at_bin.isin([x.path[-1][3] for x in cells])
-            hits.append(F.when(inside, F.struct(F.lit(k).alias("k"), at_bin.alias("b"), v[c].alias("v"))))
+            at_bin = _bin_sql(v[c], lo, hi, log, bins)
+            inside = f"{_Cell(c, 0, 0, list(head)).holds(v[c], bins)} AND {at_bin} IN ({', '.join(str(x.path[-1][3]) for x in cells)})"
+            hits.append(f"CASE WHEN {inside} THEN named_struct('k', {k}, 'b', {at_bin}, 'v', {v[c]}) END")
             wanted += [(k, x.path[-1][3], c, r, r - x.below) for x in cells for (_, r), y in at.items() if y is x]
-        found = data.select(F.explode(F.array(*hits)).alias("_h")).where("_h IS NOT NULL").groupBy("_h.k", "_h.b", "_h.v").agg(
+        found = data.selectExpr(f"explode(array({', '.join(hits)})) AS _h").where("_h IS NOT NULL").groupBy("_h.k", "_h.b", "_h.v").agg(
             F.count("*").alias("m"))
         w = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         places = spark.createDataFrame(wanted, "k int, b int, column string, rank long, place long")

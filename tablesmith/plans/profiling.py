@@ -85,7 +85,14 @@ def topn_per_column(spark, sf):
     return profile.top_values(table(spark, sf, "customer"), ["c_nationkey", "c_mktsegment", "c_name"], 10)
 
 
-@query("ingest_metadata")
+KINDS = {"o_orderkey": ("bigint", "numeric"), "o_custkey": ("bigint", "numeric"), "o_orderstatus": ("string", "categorical"),
+         "o_totalprice": ("double", "numeric"), "o_orderpriority": ("string", "categorical")}
+
+
+@query("ingest_metadata", f"WITH {GAPPY_ORDERS_SQL}, head AS (SELECT * FROM gappy ORDER BY o_orderkey LIMIT 3)" + union_sql([
+    f"SELECT {i} AS position, '{c}' AS \"column\", '{KINDS[c][0]}' AS data_type, '{KINDS[c][1]}' AS kind, count(*) AS n_rows, "
+    f"count(*) - count({c}) AS n_missing, (SELECT string_agg(coalesce(CAST({c} AS VARCHAR), 'null'), ' | ' ORDER BY o_orderkey) FROM head) AS sample FROM gappy"
+    for i, c in enumerate(GAPPY)]))
 def ingest_metadata(spark, sf):
     return profile.ingest_metadata(gappy_orders(spark, sf), "o_orderkey")
 

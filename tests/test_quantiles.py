@@ -49,3 +49,11 @@ def test_empty_column_is_absent(spark):
 def test_approx_is_close(spark):
     df = _frame(spark, range(10001))
     assert quantile_values(df, ["v"], [0.5], approx=True)["v"][0] == pytest.approx(5000, abs=5)
+
+
+def test_infinities_count_as_the_largest_double(spark):
+    df = _frame(spark, [float("inf"), float("-inf"), float("nan"), *range(200)])
+    for kw in ({}, {"small_group": 0, "gather_rows": 50, "bins": 64}):
+        assert quantile_values(df, ["v"], [0.5], **kw)["v"] == [99.5]
+    rows = exact_quantiles(df, ["v"], [0.5], by=["g"], small_group=0, gather_rows=50, bins=64).collect()
+    assert rows[0]["q"] == [99.5] and rows[0]["n"] == 202
