@@ -129,11 +129,11 @@ def stream_file_ingest(spark, sf):
 
 
 @query("stream_rollup", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
-round(sum(value), 2) AS value_sum, round(avg(value), 4) AS value_mean FROM events GROUP BY 1, 2""")
+round(sum(value), 2) AS value_sum, round(avg(value), 8) AS value_mean FROM events GROUP BY 1, 2""")
 def stream_rollup(spark, sf):
     out = ev.drained(ev.rollup_stream(replay(spark, sf), "ts", "value", "event_type"), "update", ["w", "event_type"])
     out = out.select(time_text("w.start").alias("window_start"), "event_type", "n", "value_sum", "value_mean")
-    return rounded(rounded(out, 2, "value_sum"), 4, "value_mean")
+    return rounded(rounded(out, 2, "value_sum"), 8, "value_mean")
 
 
 @query("stream_score", """WITH m AS (SELECT regr_slope(o_totalprice, o_custkey) AS s, regr_intercept(o_totalprice, o_custkey) AS i FROM orders)
