@@ -22,20 +22,17 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        # One machine only: driver and tasks share its folders.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tablesmith-"))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
-
-    Only a local session may do without the setting; it then gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the folder that the session was started with."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tablesmith-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return base.rstrip("/")
 
 
