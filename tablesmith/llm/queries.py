@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.llm import decontaminate, pii, simhash
-from tablesmith.llm.common import free_shuffles
+from tablesmith.llm import crf, decontaminate, mixing, passages, pii, revisits, simhash
+from tablesmith.llm.common import fold, free_shuffles
 from tablesmith.plans.base import query, table
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,3 +96,110 @@ def op8(spark, sf_dir):
     return found.select(
         "doc_id", *[count(k) for k in pii.BASE],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
+
+
+@query("op3_line_field_quality")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    field = crf.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), crf.quality(field, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= crf.ACCEPT).cast("int"))
+
+
+def _op9_sql() -> str:
+    cells = """
+WITH d AS (
+  SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT doc_id, source, lang, CAST(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens,
+         CASE WHEN regexp_matches(text, '[A-Za-z0-9]@[A-Za-z0-9]|\\+[0-9]') THEN 'contact' WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence'
+              WHEN contains(text, '|') THEN 'table' WHEN length(text) < 400 THEN 'short' ELSE 'prose' END AS topic
+  FROM d),
+c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM t GROUP BY ALL),
+""" + ",\n".join(f"a_{m} AS (SELECT {m}, sqrt(sum(n)) / sum(sqrt(sum(n))) OVER () AS aim FROM c GROUP BY {m})" for m in mixing.MARGINS)
+    steps, last = [], "w0"
+    steps.append("w0 AS MATERIALIZED (SELECT *, n / sum(n) OVER () AS w FROM c)")
+    for i in range(mixing.SWEEPS):
+        for m in mixing.MARGINS:
+            name = f"w{i}_{m}"
+            steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, n, w * aim / sum(w) OVER (PARTITION BY {m}) AS w FROM {last} JOIN a_{m} USING ({m}))")
+            last = name
+    end = f"""
+f AS (SELECT source, lang, topic, w * (SELECT sum(n) FROM c) / n AS weight FROM {last} WHERE n > 0),
+g AS (SELECT *, least(1.0, weight) AS p, greatest(1.0, weight) AS again FROM f)
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(p, 6) AS probability, round(again, 6) AS repeat,
+       CAST(('0x' || substr(md5('7:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < p AS kept
+FROM t JOIN g USING (source, lang, topic)
+"""
+    return cells + ",\n" + ",\n".join(steps) + "," + end
+
+
+@query("op9_raked_mixture", _op9_sql())
+def op9(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+        F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"), F.round("_repeat", 6).alias("repeat"),
+        F.col("_kept").alias("kept"))
+
+
+def captures(spark, sf_dir):
+    """Each page as a full response and a later revisit; validators and times follow from the page.
+
+    Every fourth revisit names another tag, every fifth no validator, every seventh comes before its response.
+    """
+    p = table(spark, sf_dir, "pages")
+    i, tag = F.col("page_id"), F.md5(F.coalesce(F.col("html"), F.lit("")))
+    size = F.char_length(F.coalesce(F.col("html"), F.lit(""))).cast("string")
+    day = F.concat(F.lit("day "), i.cast("string"))
+    first = F.struct(
+        (i * 2).alias("record_id"), "url", (i * 60).alias("ts"), F.lit(200).alias("status"),
+        F.create_map(F.lit("ETag"), F.concat(F.lit('"'), tag, F.lit('"')), F.lit("Content-Length"), size, F.lit("Date"), day).alias("headers"))
+    again = F.struct(
+        (i * 2 + 1).alias("record_id"), "url", F.when(i % 7 == 0, i * 60 - 30).otherwise(i * 60 + 5000).alias("ts"), F.lit(304).alias("status"),
+        F.map_concat(
+            F.when(i % 5 == 0, F.create_map().cast("map<string,string>")).when(i % 4 == 0, F.create_map(F.lit("etag"), F.lit('"other"')))
+            .otherwise(F.create_map(F.lit("etag"), F.concat(F.lit('W/"'), tag, F.lit('"')))),
+            F.create_map(F.lit("date"), F.concat(day, F.lit(" again")), F.lit("content-length"), F.lit("0"))).alias("headers"))
+    return p.select(F.inline(F.array(first, again)))
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id AS i, md5(coalesce(html, '')) AS tag, CAST(length(coalesce(html, '')) AS VARCHAR) AS size,
+         regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages WHERE url IS NOT NULL),
+q AS (
+  SELECT i, tag, size, regexp_replace(bare, '\?.*$', '') AS place,
+         list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+                               lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)'))) AS params FROM p),
+u AS (
+  SELECT i, tag, size,
+         regexp_replace(regexp_replace(lower(regexp_extract(place, '^[^/]*')), '^www\.', ''), ':(?:80|443)$', '')
+         || regexp_replace(regexp_extract(place, '^[^/]*(.*)$', 1), '/+$', '')
+         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url FROM q),
+f AS (SELECT i * 2 AS id, url, i * 60 AS ts, tag, size, i FROM u),
+r AS (SELECT i * 2 + 1 AS id, url, CASE WHEN i % 7 = 0 THEN i * 60 - 30 ELSE i * 60 + 5000 END AS ts, i,
+             CASE WHEN i % 5 = 0 THEN NULL WHEN i % 4 = 0 THEN 'other' ELSE tag END AS tag, CASE WHEN i % 5 <> 0 AND i % 4 <> 0 THEN 'W/' ELSE '' END AS w FROM u),
+m AS (
+  SELECT r.id, r.url, r.ts, r.i, r.tag, r.w, f.id AS was, f.tag AS ftag, f.size,
+         row_number() OVER (PARTITION BY r.id ORDER BY f.ts DESC NULLS LAST, f.id DESC) AS k
+  FROM r LEFT JOIN f ON f.url = r.url AND f.ts <= r.ts),
+o AS (SELECT *, CASE WHEN was IS NULL THEN 'missing' WHEN tag IS NULL THEN 'unvalidated' WHEN tag = ftag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM m WHERE k = 1)
+SELECT id AS record_id, url, CAST(ts AS BIGINT) AS ts, CASE WHEN outcome IN ('resolved', 'unvalidated') THEN was END AS refers_to, outcome,
+       'content-length=' || CASE WHEN outcome IN ('resolved', 'unvalidated') THEN size ELSE '0' END || ';date=day ' || i || ' again'
+       || CASE WHEN tag IS NOT NULL THEN ';etag=' || w || '"' || tag || '"' WHEN outcome = 'unvalidated' THEN ';etag="' || ftag || '"' ELSE '' END AS headers
+FROM o
+"""
+
+
+@query("op10_revisit_resolution", OP10_SQL)
+def op10(spark, sf_dir):
+    found = revisits.resolve(captures(spark, sf_dir))
+    listed = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.withColumn("headers", F.array_join(listed, ";"))
+
+
+@query("op1_passage_automata")
+def op1(spark, sf_dir):
+    free_shuffles(spark)
+    return passages.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
