@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.llm import crf, decontaminate, mixing, passages, pii, revisits, simhash
+from tablesmith.llm import crf, decontaminate, mixing, passages, pii, pivots, revisits, simhash
 from tablesmith.llm.common import fold, free_shuffles
 from tablesmith.plans.base import query, table
 
@@ -203,3 +203,9 @@ def op10(spark, sf_dir):
 def op1(spark, sf_dir):
     free_shuffles(spark)
     return passages.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+@query("op4_pivot_permutations")
+def op4(spark, sf_dir):
+    free_shuffles(spark)
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
