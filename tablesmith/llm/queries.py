@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.llm import crf, decontaminate, mixing, passages, pii, pivots, revisits, simhash
+from tablesmith.llm import crf, decontaminate, lbl, mixing, passages, pii, pivots, revisits, simhash
 from tablesmith.llm.common import fold, free_shuffles
 from tablesmith.plans.base import query, table
 
@@ -209,3 +209,9 @@ def op1(spark, sf_dir):
 def op4(spark, sf_dir):
     free_shuffles(spark)
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_log_bilinear")
+def op5(spark, sf_dir):
+    free_shuffles(spark)
+    return lbl.train_and_score(table(spark, sf_dir, "documents"))
