@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.llm import crf, decontaminate, lbl, mixing, passages, pii, pivots, revisits, simhash
+from tablesmith.llm import crf, decontaminate, lbl, mixing, passages, pii, pivots, revisits, simhash, wrappers
 from tablesmith.llm.common import fold, free_shuffles
 from tablesmith.plans.base import query, table
 
@@ -215,3 +215,9 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     free_shuffles(spark)
     return lbl.train_and_score(table(spark, sf_dir, "documents"))
+
+
+@query("op6_wrapper_induction")
+def op6(spark, sf_dir):
+    free_shuffles(spark)
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
