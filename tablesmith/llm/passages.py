@@ -206,22 +206,31 @@ class PassageShard:
         if self.tiles:
             self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             for key, places in self.tiles.items():
+                places.sort(key=lambda p: (-len(self.passages[p[0]][1]), p))
                 self.automaton.add_word(key, places)
             self.automaton.make_automaton()
         self.tiles = {}
 
-    def stretches(self, doc: int, words: list[bytes]) -> list[tuple[int, int]]:
-        """Word ranges of the document that it shares, in at least n words, with a passage of a smaller document."""
-        if self.automaton is None or len(words) < self.n:
-            return []
-        get = self.numbers.get
+    def covered(self, doc: int, words: list[bytes]) -> bytearray:
+        """1 for each word in a stretch of at least n words that a passage of a smaller document shares.
+
+        A window found through a tile lies within n - tile words around it. A tile with all of these covered already
+        adds nothing, and a tile's longest passages come first, so among many near copies few are extended.
+        """
+        size = len(words)
+        gone = bytearray(size)
+        if self.automaton is None or size < self.n:
+            return gone
+        get, passages, around = self.numbers.get, self.passages, self.n - self.tile
         ids = tuple([get(w, 0) for w in words])
         reached: dict[tuple[int, int], int] = {}
-        found, size = [], len(ids)
         for end, places in self.automaton.iter(ids):
             begin = end - self.tile + 1
+            low, high = max(begin - around, 0), end + around + 1
             for passage, offset in places:
-                source, text = self.passages[passage]
+                if gone.find(0, low, high) < 0:
+                    break
+                source, text = passages[passage]
                 if source >= doc:
                     continue
                 diagonal = (passage, begin - offset)
@@ -235,8 +244,8 @@ class PassageShard:
                     right += 1
                 reached[diagonal] = right - 1
                 if right - (begin - left) >= self.n:
-                    found.append((begin - left, right))
-        return found
+                    gone[begin - left:right] = b"\x01" * (right - begin + left)
+        return gone
 
 
 _RESULT = "doc bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string"
@@ -261,10 +270,7 @@ def _stream(n: int, with_text: bool):
                     shard.compile()
                     ready = True
                 words = raw.split()
-                gone = bytearray(len(words))
-                if doc is not None:
-                    for s, e in shard.stretches(doc, words):
-                        gone[s:e] = b"\x01" * (e - s)
+                gone = shard.covered(doc, words) if doc is not None else bytearray(len(words))
                 removed = sum(gone)
                 kept = b" ".join([w for w, g in zip(words, gone) if not g] if removed else words)
                 rows.append((doc, len(words), removed, kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest()))
