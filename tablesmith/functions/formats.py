@@ -102,7 +102,7 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
     unsafe = " OR ".join(f"c RLIKE {q(p)}" for p in (
         text.FORMULA_START, text.SCRIPT, text.SQL_DROP, text.SQL_SELECT, text.SQL_UPDATE))
     bodies = {
-        "ts_sanitize_text(c STRING)": ("STRING", f"substring({removed}, 1, {text.MAX_CELL})"),
+        "ts_sanitize_text(c STRING)": ("STRING", removed),
         "ts_is_safe(c STRING)": ("BOOLEAN", f"NOT coalesce({unsafe}, false)"),
         "ts_safe_ratio(a DOUBLE, b DOUBLE)": ("DOUBLE", "try_divide(a, b)"),
         "ts_clip(c DOUBLE, lo DOUBLE, hi DOUBLE)": ("DOUBLE", "CASE WHEN c IS NOT NULL THEN greatest(least(c, hi), lo) END"),

@@ -21,11 +21,10 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 SQL_DROP = rf"(?iu)DROP{SPACE}+(TABLE|DATABASE)"
 SQL_SELECT = rf"(?iu)SELECT{SPACE}+\*{SPACE}+FROM"
 SQL_UPDATE = rf"(?iu)UPDATE{SPACE}+[\p{{L}}\p{{N}}_]+{SPACE}+SET"
-MAX_CELL = 10_000
 ISSUE_EXCERPT = 100
 # Texts that convert to a number. Testing the pattern first avoids a costly failed conversion per row.
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
-INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER = r"^\s*[+-]?\d+\s*$"
 
 
 def _col(c: str | Column) -> Column:
@@ -38,17 +37,20 @@ def _remove(c: Column, *patterns: str) -> Column:
     return c
 
 
-def sanitize_text(c: str | Column, level: str = "full", line_comments: str = "cell") -> Column:
+def sanitize_text(c: str | Column, level: str = "full", line_comments: str = "cell", max_chars: int | None = None) -> Column:
     """Remove formula prefixes, scripts, SQL and control characters from a text.
 
-    ``full``: every leading formula character, keyword pairs, comments, at most 10,000 characters.
+    ``full``: every leading formula character, keyword pairs, comments.
     A ``--`` comment runs to the end of the cell (``line_comments='line'``: of its line).
-    ``basic``: one leading formula character, three narrow SQL patterns, no comments, no cut.
+    ``basic``: one leading formula character, three narrow SQL patterns, no comments.
+    Texts stay whole unless ``max_chars`` asks for a cut.
     """
     if level == "basic":
-        return _remove(_col(c), FORMULA_START, SCRIPT, SQL_DROP, SQL_SELECT, SQL_UPDATE, CONTROL)
-    comment = COMMENT_TO_END if line_comments == "cell" else COMMENT_TO_LINE_END
-    return F.substring(_remove(_col(c), FORMULA_PREFIX, SCRIPT, SQL_PAIR, comment, CONTROL), 1, MAX_CELL)
+        out = _remove(_col(c), FORMULA_START, SCRIPT, SQL_DROP, SQL_SELECT, SQL_UPDATE, CONTROL)
+    else:
+        comment = COMMENT_TO_END if line_comments == "cell" else COMMENT_TO_LINE_END
+        out = _remove(_col(c), FORMULA_PREFIX, SCRIPT, SQL_PAIR, comment, CONTROL)
+    return out if max_chars is None else F.substring(out, 1, max_chars)
 
 
 def has_formula(c: str | Column) -> Column:

@@ -47,7 +47,7 @@ def _pair_moments(df: DataFrame, cols: list[str], centre: list[float]) -> DataFr
     return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 50, direct: int = 4) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int | None = None, direct: int = 4) -> DataFrame:
     """All ordered pairs ``col_a, col_b, r``; r is NULL where it is undefined.
 
     Up to ``direct`` columns are one SQL aggregate; more would outgrow generated code, so they are
@@ -103,6 +103,6 @@ def select_kbest(df: DataFrame, features: Sequence[str], target: str, k: int = 1
                       for i, f in enumerate(features)])
     r2 = F.col("r") * F.col("r")
     scored = wide.select(F.explode(cells).alias("_x")).select("_x.*").withColumn(
-        "f_score", F.try_divide(r2 * (F.col("n") - 2), F.lit(1.0) - r2))
+        "f_score", F.when(r2 >= 1.0, F.lit(float("inf"))).otherwise(F.try_divide(r2 * (F.col("n") - 2), F.lit(1.0) - r2)))
     return scored.orderBy(F.desc_nulls_last("f_score"), "feature").limit(k).select("feature", "r", "f_score")
 

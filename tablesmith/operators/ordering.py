@@ -66,8 +66,13 @@ def running(
         match = match & F.col(b).eqNullSafe(F.col(f"_b{i}"))
     # At most one group per range continues from earlier ranges: carry has no more rows than ranges.
     joined = fixed.join(F.broadcast(carry), match, "left")
-    return joined.select(*df.columns, *[
-        (F.coalesce(F.col(f"_off_{name}"), F.lit(0)) + F.sum(e).over(inner)).alias(name) for name, e in sums.items()])
+
+    def total(name: str, e: Column) -> Column:
+        # NULL until the first value, as in a plain window.
+        off, own = F.col(f"_off_{name}"), F.sum(e).over(inner)
+        return F.when(off.isNotNull() | own.isNotNull(), F.coalesce(off, F.lit(0)) + F.coalesce(own, F.lit(0))).alias(name)
+
+    return joined.select(*df.columns, *[total(name, e) for name, e in sums.items()])
 
 
 def with_position(df: DataFrame, order, by: Sequence[str] = (), name: str = "pos", small: int = SMALL) -> DataFrame:

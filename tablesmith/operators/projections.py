@@ -18,7 +18,7 @@ def select_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols)
 
 
-def numeric_features(df: DataFrame, target: str | None = None, max_cols: int = 1000) -> DataFrame:
+def numeric_features(df: DataFrame, target: str | None = None, max_cols: int | None = None) -> DataFrame:
     return df.select(*[c for c in numeric_columns(df) if c != target][:max_cols])
 
 

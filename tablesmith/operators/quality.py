@@ -110,7 +110,7 @@ def training_report(df: DataFrame, target: str, features: Sequence[str] = ()) ->
 
 
 def validate_training(df: DataFrame, target: str, features: Sequence[str] = ()) -> None:
-    broken = training_report(df, target, features).limit(20).collect()
+    broken = training_report(df, target, features).collect()
     if broken:
         raise ValueError("; ".join(f"{r['rule']}: {r['column']}" for r in broken))
 

@@ -61,7 +61,7 @@ def _typed(df: DataFrame) -> DataFrame:
     def tests(c):
         v = F.col(c)
         return (
-            F.count(v), F.count_if(~F.rlike(v, F.lit(INTEGER))), F.count_if(~F.rlike(v, F.lit(NUMBER))),
+            F.count(v), F.count_if(~F.rlike(v, F.lit(INTEGER)) | (v.isNotNull() & F.trim(v).try_cast("bigint").isNull())), F.count_if(~F.rlike(v, F.lit(NUMBER))),
             F.count_if(~v.isin("True", "False", "true", "false", "TRUE", "FALSE")))
 
     row = df.agg(*[e.alias(f"t{j}_{i}") for i, c in enumerate(df.columns) for j, e in enumerate(tests(c))]).first()

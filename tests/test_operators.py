@@ -62,6 +62,25 @@ def test_correlation_edge_cases(spark):
         assert wide[k] == (None if small[k] is None else pytest.approx(small[k]))
 
 
+def test_running_totals_with_gaps(spark):
+    df = spark.createDataFrame([(i, None if i < 30 or i % 3 else float(i)) for i in range(100)], "k int, v double").repartition(5)
+    one, many = (
+        {r["k"]: r["cumulative"] for r in charts.cumulative_sum(df, ["k"], "v", small=small).collect()} for small in (1000, 0))
+    assert one == many and many[29] is None and many[31] == 30.0
+
+
+def test_long_ids_stay_apart(spark):
+    from tablesmith.sources import readers
+    ids = ["1234567890123456789", "1234567890123456788", "-9223372036854775808"]
+    df = readers._typed(spark.createDataFrame([(i,) for i in ids], "id string"))
+    assert dict(df.dtypes)["id"] == "bigint" and sorted(str(r[0]) for r in df.collect()) == sorted(ids)
+
+
+def test_perfect_feature_comes_first(spark):
+    df = spark.createDataFrame([(float(i), float(i * i % 7), 3.0 * i + 2) for i in range(20)], "a double, b double, y double")
+    assert [r["feature"] for r in correlation.select_kbest(df, ["b", "a"], "y").collect()] == ["a", "b"]
+
+
 @pytest.mark.parametrize("small", [10_000, 0])
 def test_order_operators_agree_with_plain_loops(spark, small):
     rng = np.random.default_rng(1)

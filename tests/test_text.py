@@ -20,10 +20,11 @@ def test_sanitize_cells(spark):
         "=SUM(A1:A10)": "SUM(A1:A10)", "+B1*2": "B1*2", "-C1": "C1", "@D1": "D1", "normal_value": "normal_value",
         "==+-x": "x", "<script>alert(1)</script>": "", "<SCRIPT src='a'>b</SCRIPT>": "", "plain text": "plain text",
         "DROP TABLE users": " users", "SELECT * FROM users": "SELECT * FROM users", "UPDATE users SET a = 1": "UPDATE users SET a = 1",
-        "a -- b\nc": "a ", "a /* b\n */ c": "a  c", "test\x00\x01\x02content": "testcontent", "x" * 15000: "x" * 10000,
+        "a -- b\nc": "a ", "a /* b\n */ c": "a  c", "test\x00\x01\x02content": "testcontent", "x" * 15000: "x" * 15000,
         "delete from t": " t", "inſert into t": " t",
     }
     assert _map(spark, list(cases), text.sanitize_text) == list(cases.values())
+    assert _map(spark, ["x" * 15000], lambda c: text.sanitize_text(c, max_chars=10000)) == ["x" * 10000]
     assert _map(spark, ["a -- b\nc"], lambda c: text.sanitize_text(c, line_comments="line")) == ["a \nc"]
 
 
