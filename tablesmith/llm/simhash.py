@@ -2,7 +2,7 @@
 
 Every pair of fingerprints within radius 3 agrees in at least three of six bit blocks, so each of the 20 choices of
 three blocks deals the distinct fingerprints into shards that together hold every such pair. A shard above
-``SHARD_ROWS`` is dealt once more by three of six blocks of its free bits; what is left varies in at most 17 bits, which
+``SHARD_ROWS`` is dealt once more by three of six blocks of its free bits; what is left varies in at most 18 bits, which
 bounds a shard whatever the data. The trees are built where their shard is and not broadcast, since they grow with the
 corpus. A tree hands back links to the smallest fingerprint of each cluster in the shard, which keeps every connection
 with a number of rows linear in the shard.
