@@ -215,6 +215,19 @@ def test_language_model(spark, docs, empty):
     assert np.allclose(total, 1)
     assert lbl.train_and_score(empty).count() == 0
     assert lbl.score(docs, *lbl.learn(empty), F.lit(True)).count() == docs.count()
+    shares = np.bincount(model.labels[:-1], 10 ** model.shares[:-1])
+    assert np.allclose(shares[:model.rare], 1)
+
+
+def test_language_model_held_out(spark, sf):
+    got = [r for r in entry.queries()["op5_log_bilinear"](spark, sf).collect() if r.held_out]
+    assert sum(r.score for r in got) > 0.98 * sum(r.base_score for r in got)
+
+
+def test_head_groups():
+    blocks = np.kron(np.eye(3), np.full((4, 4), 50.0)) + 1
+    groups = lbl.head_groups(blocks, groups=3)
+    assert len(set(groups)) == 3 and all(len(set(groups[i:i + 4])) == 1 for i in (0, 4, 8))
 
 
 def test_pages(spark, sf):
