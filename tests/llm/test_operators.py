@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import connect, mismatch
@@ -194,6 +195,34 @@ def test_vectors(spark):
     assert pivots.near_vectors(none).count() == 0
 
 
+def test_vectors_in_a_crowd(spark):
+    """Distinct near vectors in one large group, in a field of others, against brute force."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64) / 8
+    crowd = centre / np.linalg.norm(centre) * np.sqrt(0.94) + rng.normal(size=(10500, 64)) * np.sqrt(0.06 / 64)
+    x = np.concatenate([crowd, rng.normal(size=(15000, 64)) / 8])
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x)), "label": np.zeros(len(x), int)}))
+    got = pivots.near_vectors(table.repartition(8)).toPandas().set_index("vec_id").sort_index()
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    links = np.concatenate([(x[i:i + 500] @ x.T >= 0.93).sum(axis=1) - 1 for i in range(0, len(x), 500)])
+    assert (got.n_links.to_numpy() <= links).all()
+    assert got.n_links.sum() >= 0.99 * links.sum()
+    assert (got.n_links >= 0.9 * links).mean() >= 0.99
+    linked = np.flatnonzero(links[:10500] > 100)
+    assert len(linked) > 9000 and (got.component_id.to_numpy()[linked] == linked.min()).all()
+
+
+def test_directions_suit_any_length():
+    rng = np.random.default_rng(9)
+    for dim in (1, 2, 3, 4, 8, 64):
+        p = pivots.directions(dim, 4096)
+        x, w = pivots.unit(rng.normal(size=(3000, dim))), rng.normal(size=(3000, dim))
+        w -= (x * w).sum(axis=1, keepdims=True) * x
+        y = x if dim == 1 else 0.93 * x + np.sqrt(1 - 0.93**2) * pivots.unit(w)
+        a, b = pivots.nearest_pivots(x, p), pivots.nearest_pivots(y, p)
+        assert ((a[:, :, None] == b[:, None, :]).sum(axis=(1, 2)) >= pivots.SHARED).mean() > 0.99
+
+
 def test_language_model(spark, docs, empty):
     from pyspark.sql import functions as F
 
