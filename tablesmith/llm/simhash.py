@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tablesmith.llm.common import components, written
+from tablesmith.llm.common import components, text_key, written
 
 BITS = 64
 #: Shards with more fingerprints are dealt a second time.
@@ -168,6 +168,12 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return split.repartition("t", "k").sortWithinPartitions("t", "k", "fp").mapInArrow(_links(radius), "a bigint, b bigint").distinct()
 
 
+def _rooted(firsts: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root) of distinct fingerprints with their ``first``."""
+    roots = written(components(links(firsts.select("fp"), radius)), "roots")
+    return firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint as a long, component_id): component_id is the smallest id reachable over links.
 
@@ -176,26 +182,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")), "prints")
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = written(components(links(firsts.select("fp"), radius)), "roots")
-    named = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(firsts, radius)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = named.join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+    """``docs`` with one row of each group: the one with the smallest id, null ids last, then the smallest text hash.
 
-    Rows with a repeated id count as one document, of which one row stays. Rows without an id go when their group
-    has a document with one; else one of them stays.
+    A row is known by its id and text, so rows that share an id but not the text, or have no id, are judged one by one.
+    Of rows alike in both, one stays.
     """
-    near = written(near_copies(docs, id_col, text_col, words, radius), "near")
-    gone = near.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    again = near.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_again"))
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    single = kept.join(again, F.col(id_col).eqNullSafe(F.col("_again")), "left_anti")
-    twice = kept.join(again, F.col(id_col).eqNullSafe(F.col("_again")), "left_semi")
+    key = text_key(F.col(text_col))
+    prints = written(docs.select(F.col(id_col).alias("doc_id"), key.alias("h"), fingerprint(F.col(text_col), words).alias("fp")), "prints")
+    row = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")
+    named = _rooted(prints.groupBy("fp").agg(F.min(row).alias("first")), radius)
+    least = named.groupBy("root").agg(F.min("first").alias("stays"))
+    by_print = named.join(least, "root").select("fp", "stays")
+    stays = F.col("stays.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("stays.h") == F.col("h"))
+    near = written(prints.join(by_print, "fp").select("doc_id", "h", stays.alias("stays")), "near")
+    gone = near.where(~F.col("stays")).select("doc_id", "h").distinct()
+    again = near.where("stays").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+
+    def among(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("_some_id"), F.col("h").alias("_some_h"))
+        return rows.join(some, F.col(id_col).eqNullSafe(F.col("_some_id")) & (F.col("_h") == F.col("_some_h")), how)
+
+    kept = among(docs.withColumn("_h", key), gone, "left_anti")
     if again.isEmpty():
-        return kept
-    marked = twice.withColumn("_fp", F.when(F.col(id_col).isNull(), fingerprint(F.col(text_col), words)))
-    return single.unionByName(marked.dropDuplicates([id_col, "_fp"]).drop("_fp"))
+        return kept.drop("_h")
+    single, twice = among(kept, again, "left_anti"), among(kept, again, "left_semi")
+    return single.unionByName(twice.dropDuplicates([id_col, "_h"])).drop("_h")

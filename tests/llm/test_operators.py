@@ -121,6 +121,18 @@ def test_near_copies(docs, empty):
     assert len(ids) == len(set(ids)) and set(ids) == set(least.values())
 
 
+def test_near_copies_go_by_row(spark):
+    """Rows without an id, and rows that share one, stay or go by their own text."""
+    a, b, c, d, e, f, g = (prose(40 + i, 80) for i in range(7))
+    long = prose(4, 30000)
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (3, d), (7, d), (7, e), (8, e), (9, f), (9, f), (9, g), (None, long), (None, long + " x")]
+    kept = rows_of(simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    of_long = [r for r in kept if (r[1] or "").startswith(long)]
+    assert len(of_long) == 1
+    rest = sorted((r for r in kept if r not in of_long), key=str)
+    assert rest == sorted([(1, a), (None, b), (None, c), (3, d), (7, e), (9, f), (9, g)], key=str)
+
+
 def test_large_shards_are_dealt_again(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 2)
     rng = np.random.default_rng(5)
