@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.llm import crf, decontaminate, lbl, mixing, passages, pii, pivots, revisits, simhash, wrappers
+from tablesmith.llm import alignment, crf, decontaminate, lbl, mixing, passages, pii, pivots, revisits, simhash, wrappers
 from tablesmith.llm.common import fold, free_shuffles
 from tablesmith.plans.base import query, table
 
@@ -221,3 +221,9 @@ def op5(spark, sf_dir):
 def op6(spark, sf_dir):
     free_shuffles(spark)
     return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark, sf_dir):
+    free_shuffles(spark)
+    return alignment.align(table(spark, sf_dir, "documents"), with_groups=False).drop("groups")
