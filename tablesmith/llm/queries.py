@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.llm import alignment, crf, decontaminate, lbl, mixing, passages, pii, pivots, revisits, simhash, wrappers
+from tablesmith.llm import alignment, crf, decontaminate, lbl, mixing, passages, pii, pivots, prefixes, revisits, simhash, wrappers
 from tablesmith.llm.common import fold, free_shuffles
 from tablesmith.plans.base import query, table
 
@@ -227,3 +227,44 @@ def op6(spark, sf_dir):
 def op11(spark, sf_dir):
     free_shuffles(spark)
     return alignment.align(table(spark, sf_dir, "documents"), with_groups=False).drop("groups")
+
+
+#: The CRC-32 of the id's decimal digits, bit by bit; the constants are the checksum's own.
+_CRC = """
+xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda u, i: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END, xor(a, b)),
+    CAST(4294967295 AS BIGINT)), 4294967295) % 6
+"""
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                            sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, {_CRC} AS h FROM (SELECT DISTINCT conv_id AS c FROM t)),
+r AS (
+  SELECT c, 0 AS part, p, k, chars FROM i JOIN t ON t.conv_id = c - c % 100 AND p <= h
+  UNION ALL SELECT c, 1, p, k, chars FROM i JOIN t ON t.conv_id = c AND p > h),
+n AS (SELECT c, k, chars, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d FROM r),
+s AS (
+  SELECT c, d, chars, sha256(string_agg(k, ',') OVER (PARTITION BY c ORDER BY d)) AS path FROM n
+  UNION ALL SELECT c, 0, 0, 'root' FROM i),
+z AS (SELECT c, max(d) AS last FROM s GROUP BY c),
+u AS (SELECT d, path, min(c) AS conv, count(*) AS n_convs, min(chars) AS chars FROM s GROUP BY d, path),
+up AS (SELECT u.d, u.path, s.path AS above FROM u JOIN s ON s.c = u.conv AND s.d = u.d - 1),
+kids AS (SELECT above AS path, d - 1 AS d, count(*) AS n FROM up GROUP BY ALL),
+v AS (SELECT u.*, coalesce(kids.n, 0) AS n_children, (u.n_convs - 1) * u.chars AS saved FROM u LEFT JOIN kids USING (d, path)),
+sums AS (
+  SELECT s.d, s.path, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(v.saved) AS saved
+  FROM v JOIN s ON s.c = v.conv AND s.d <= v.d GROUP BY ALL),
+ends AS (SELECT s.d, s.path, sha256(string_agg(CAST(s.c AS VARCHAR), ',' ORDER BY s.c)) AS h FROM s JOIN z ON z.c = s.c AND z.last = s.d GROUP BY ALL)
+SELECT v.conv AS conv_id, CAST(v.d AS BIGINT) AS depth, a.conv AS parent_conv_id, v.n_convs, CAST(v.n_children AS BIGINT) AS n_children,
+       CAST(sums.n_leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, coalesce(ends.h, sha256('')) AS ends_sha256
+FROM v JOIN sums USING (d, path) LEFT JOIN ends USING (d, path) LEFT JOIN up USING (d, path) LEFT JOIN u a ON a.d = v.d - 1 AND a.path = up.above
+"""
+
+
+@query("op12_prefix_tries", OP12_SQL)
+def op12(spark, sf_dir):
+    free_shuffles(spark)
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
