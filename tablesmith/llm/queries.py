@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.llm import alignment, crf, decontaminate, lbl, mixing, passages, pii, pivots, prefixes, revisits, simhash, wrappers
+from tablesmith.llm import alignment, crf, decontaminate, lbl, mixing, passages, pii, pivots, prefixes, revisits, simhash, toxicity, wrappers
 from tablesmith.llm.common import fold, free_shuffles
 from tablesmith.plans.base import query, table
 
@@ -268,3 +268,12 @@ FROM v JOIN sums USING (d, path) LEFT JOIN ends USING (d, path) LEFT JOIN up USI
 def op12(spark, sf_dir):
     free_shuffles(spark)
     return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_toxic_span_field")
+def op13(spark, sf_dir):
+    free_shuffles(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), toxicity.toxicity(model, F.col("text")).alias("_it"))
+    return scored.select("doc_id", "held_out", "_it.score", (F.col("_it.score") >= toxicity.ACCEPT).cast("int").alias("predicted"), "_it.spans")
