@@ -1,13 +1,13 @@
 """Alignment of two tokenizers over a corpus, with corpus-wide counts of the token pairs that end together.
 
 1. Align. Documents are dealt to chunks by a hash of the row. A task tokenises its chunks both ways, lays the tokens over
-   the text's bytes and takes the pairs whose ends meet. Only distinct pairs with their counts leave a chunk, as packed
-   arrays, one for each slice of the pairs' hash space.
+   the text's bytes and takes the pairs whose ends meet. A chunk writes its distinct pairs with their counts, as packed
+   arrays, one for each slice of the pairs' hash space, and its documents as packed token ids.
 2. Hash. Each slice's distinct pairs get a minimal perfect hash. Its partial counts become dense vectors over the hash's
    indexes, every pair verified against the key stored at its index, and the vectors are summed over a tree: first within a
    branch of chunks, then over branches.
 3. Look up. Each chunk's distinct pairs get their corpus-wide counts from the slices, again through the hash with verified
-   keys. In a second pass the chunk's documents are tokenised and aligned again, and every link finds its count.
+   keys. In a second pass the chunk's documents are aligned again from their token ids, and every link finds its count.
 
 Nothing but the highest count of each id of the second tokenizer (as many numbers as its vocabulary) passes the driver.
 Slices and chunks are bounded by the number of bytes, so neither grows with the corpus.
@@ -20,11 +20,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -53,15 +55,12 @@ class TokenPair:
     """Both tokenizers, each token's bytes and its text in a list of groups."""
 
     def __init__(self, byte_json: bytes, piece_model: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.slow = Tokenizer.from_str(byte_json.decode())
-        self.slow.encode_special_tokens = True
+        self.byte_json = byte_json
         letters = _byte_letters()
         spec = json.loads(byte_json)
         special = {t["id"] for t in spec["added_tokens"]}
         vocab = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in special}
-        # The same merges as the slow one, in order of ids; it has no room for very long white space.
-        self.fast = tiktoken.Encoding("pair", pat_str=PATTERN, mergeable_ranks={t: i for i, t in vocab.items()}, special_tokens={})
+        self.vocab = vocab
         self.a_bytes = [vocab.get(i, b"") for i in range(max(vocab) + 1)]
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         self.b_bytes = [self._piece(i) for i in range(self.pieces.get_piece_size())]
@@ -71,6 +70,18 @@ class TokenPair:
         self.texts = [
             *[b"%d," % i for i in range(na)], *[b"%d|" % i for i in range(na)], *[b"%d," % i for i in range(nb)], *[b"%d;" % i for i in range(nb)]]
 
+    @cached_property
+    def slow(self) -> Tokenizer:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        made = Tokenizer.from_str(self.byte_json.decode())
+        made.encode_special_tokens = True
+        return made
+
+    @cached_property
+    def fast(self) -> tiktoken.Encoding:
+        """The same merges as the slow one, in order of ids; it has no room for very long white space."""
+        return tiktoken.Encoding("pair", pat_str=PATTERN, mergeable_ranks={t: i for i, t in self.vocab.items()}, special_tokens={})
+
     def _piece(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
@@ -93,23 +104,37 @@ class Aligned:
     ``a_ids[a_last[k]]`` and ``b_ids[b_last[k]]`` end together in link k, which ends group k.
     """
 
-    def __init__(self, pair: TokenPair, texts: list[str]) -> None:
-        a, b = pair.encode(texts)
-        self.pair = pair
-        self.n_a, self.n_b = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
-        self.a_ids = np.fromiter((i for x in a for i in x), dtype=np.int64, count=int(self.n_a.sum()))
-        self.b_ids = np.fromiter((i for x in b for i in x), dtype=np.int64, count=int(self.n_b.sum()))
+    def __init__(self, pair: TokenPair, n_a: np.ndarray, n_b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> None:
+        self.pair, self.n_a, self.n_b, self.a_ids, self.b_ids = pair, n_a, n_b, a_ids, b_ids
         # Both cover the same bytes, so ends of all texts laid end to end meet only within a text.
         ends_a, ends_b = np.cumsum(pair.a_len[self.a_ids]), np.cumsum(pair.b_len[self.b_ids])
         at = np.searchsorted(ends_b, ends_a)
         meets = ends_b[np.minimum(at, max(len(ends_b) - 1, 0))] == ends_a if len(ends_b) else np.zeros(0, dtype=bool)
         self.a_last = np.flatnonzero(meets)
         self.b_last = at[meets]
-        text_of = np.repeat(np.arange(len(texts)), self.n_a)
-        self.text = text_of[self.a_last]
-        self.n_groups = np.bincount(self.text, minlength=len(texts))
+        self.text = np.repeat(np.arange(len(n_a)), n_a)[self.a_last]
+        self.n_groups = np.bincount(self.text, minlength=len(n_a))
         self.keys = self.a_ids[self.a_last] << 16 | self.b_ids[self.b_last]
 
+    @classmethod
+    def of(cls, pair: TokenPair, texts: list[str]) -> "Aligned":
+        lists = pair.encode(texts)
+        counts = [np.array([len(x) for x in some], dtype=np.int64) for some in lists]
+        return cls(pair, *counts, *[np.fromiter((i for x in some for i in x), dtype=np.int64, count=int(n.sum())) for some, n in zip(lists, counts)])
+
+    def packed(self) -> bytes:
+        """Token numbers and ids, squeezed; ids fit into 16 bits."""
+        return zstandard.compress(b"".join([
+            np.r_[self.n_a, self.n_b].astype(np.int32).tobytes(), self.a_ids.astype(np.uint16).tobytes(), self.b_ids.astype(np.uint16).tobytes()]))
+
+    @classmethod
+    def unpacked(cls, pair: TokenPair, texts: int, data: bytes) -> "Aligned":
+        raw = zstandard.decompress(data)
+        n = np.frombuffer(raw, dtype=np.int32, count=2 * texts).astype(np.int64)
+        ids = np.frombuffer(raw, dtype=np.uint16, offset=8 * texts).astype(np.int64)
+        cut = int(n[:texts].sum())
+        return cls(pair, n[:texts], n[texts:], ids[:cut], ids[cut:])
+
     def groups(self) -> list[bytes]:
         """Each text's groups as ``a1,a2|b1;a3|b2,b3``."""
         na, nb = len(self.pair.a_bytes), len(self.pair.b_bytes)
@@ -161,42 +186,48 @@ class _Load:
         return TokenPair(*self.files)
 
 
-_PARTS = "chunk int, slice int, keys binary, counts binary"
+_PARTS = "chunk int, slice int, keys binary, counts binary, docs array<bigint>, tokens binary"
 
 
 def _pairs(load: _Load, slices: int):
-    """Rows (chunk, text) sorted by chunk to each chunk's distinct pairs and counts, by slice."""
+    """Rows (chunk, doc, text) sorted by chunk to each chunk's documents, and its distinct pairs and counts by slice."""
+    names = [c.split()[0] for c in _PARTS.split(", ")]
 
-    def packed(chunk: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def counted(chunk: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys, counts = _summed(held)
         part = (mixed(keys) % np.uint64(slices)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part, keys, counts = part[order], keys[order], counts[order]
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, dtype=np.int64)
         bounds = list(zip(first, np.r_[first[1:], len(part)]))
+        n = len(bounds)
         return pa.record_batch([
-            pa.array([chunk] * len(bounds), pa.int32()), pa.array(part[first].astype(np.int32)),
-            pa.array([keys[s:e].tobytes() for s, e in bounds], pa.binary()), pa.array([counts[s:e].tobytes() for s, e in bounds], pa.binary())],
-            names=["chunk", "slice", "keys", "counts"])
+            pa.array([chunk] * n, pa.int32()), pa.array(part[first].astype(np.int32)),
+            pa.array([keys[s:e].tobytes() for s, e in bounds], pa.binary()), pa.array([counts[s:e].tobytes() for s, e in bounds], pa.binary()),
+            pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, now, held = None, None, []
         for batch in batches:
-            chunks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            chunks, docs, texts = (batch.column(i).to_pylist() for i in range(3))
             pair = pair or load()
             changes = [i for i in range(len(chunks)) if i == 0 or chunks[i] != chunks[i - 1]]
             for s, e in zip(changes, [*changes[1:], len(chunks)]):
                 if chunks[s] != now:
                     if held:
-                        yield packed(now, held)
+                        yield counted(now, held)
                     now, held = chunks[s], []
                 mine = [t or "" for t in texts[s:e]]
                 for x, y in _steps(mine):
-                    held.append(np.unique(Aligned(pair, mine[x:y]).keys, return_counts=True))
+                    got = Aligned.of(pair, mine[x:y])
+                    held.append(np.unique(got.keys, return_counts=True))
                     if len(held) > 1 and sum(len(k) for k, _ in held) > _HELD:
                         held = [_summed(held)]
+                    yield pa.record_batch([
+                        pa.array([now], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+                        pa.array([docs[s + x:s + y]], pa.list_(pa.int64())), pa.array([got.packed()], pa.binary())], names=names)
         if held:
-            yield packed(now, held)
+            yield counted(now, held)
 
     return run
 
@@ -299,50 +330,43 @@ _RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigin
 
 
 def _looked_up(load: _Load, highest: np.ndarray, with_groups: bool):
-    """Rows (chunk, is_doc, doc, text, keys, counts), sorted by chunk with its counts first, to a row per document."""
-
-    def rows_of(pair: TokenPair, docs: list, texts: list[str], keys: np.ndarray, counts: np.ndarray):
-        for s, e in _steps(texts):
-            got = Aligned(pair, texts[s:e])
-            at = np.searchsorted(keys, got.keys)
-            if len(got.keys) and not (keys[np.minimum(at, len(keys) - 1)] == got.keys).all():
+    """Rows (chunk, is_doc, docs, tokens, keys, counts), sorted by chunk with its counts first, to a row per document."""
+    names = [c.split()[0] for c in _RESULT.split(", ")]
+
+    def found(got: Aligned, docs: list, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        n = np.zeros(0, dtype=np.int64)
+        if len(got.keys):
+            at = np.minimum(np.searchsorted(keys, got.keys), len(keys) - 1)
+            if not (keys[at] == got.keys).all():
                 raise ValueError("a link has no count")
-            n = counts[at] if len(got.keys) else np.zeros(0, dtype=np.int64)
-            best = n == highest[got.keys & 0xFFFF]
-            of = lambda w: np.bincount(got.text, weights=w, minlength=e - s)
-            total = np.zeros(e - s, dtype=np.int64)
-            np.add.at(total, got.text, n)
-            groups = got.groups()
-            names = [c.split()[0] for c in _RESULT.split(", ")]
-            yield pa.record_batch([
-                pa.array(docs[s:e], pa.int64()), pa.array(got.n_a), pa.array(got.n_b), pa.array(got.n_groups.astype(np.int64)), pa.array(got.n_groups.astype(np.int64)),
-                pa.array(of(best).astype(np.int64)), pa.array(total), pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string()),
-                pa.array([g.decode() if with_groups else None for g in groups], pa.string())], names=names)
+            n = counts[at]
+        best, total = np.zeros((2, len(docs)), dtype=np.int64)
+        np.add.at(best, got.text, n == highest[got.keys & 0xFFFF])
+        np.add.at(total, got.text, n)
+        groups = got.groups()
+        links = got.n_groups.astype(np.int64)
+        return pa.record_batch([
+            pa.array(docs, pa.int64()), pa.array(got.n_a), pa.array(got.n_b), pa.array(links), pa.array(links), pa.array(best), pa.array(total),
+            pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string()),
+            pa.array([g.decode() if with_groups else None for g in groups], pa.string())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, now, held = None, None, []
         keys = counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
             pair = pair or load()
-            chunks, is_doc = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            docs, texts, some, known = (batch.column(i).to_pylist() for i in range(2, 6))
-            i = 0
-            while i < len(chunks):
-                if chunks[i] != now:
-                    now, held = chunks[i], []
+            for chunk, is_doc, docs, tokens, some, known in zip(*(batch.column(i) for i in range(6))):
+                if chunk.as_py() != now:
+                    now, held = chunk.as_py(), []
                     keys = counts = np.zeros(0, dtype=np.int64)
-                if not is_doc[i]:
-                    held.append((_longs(some[i]), _longs(known[i])))
-                    i += 1
+                if not is_doc.as_py():
+                    held.append((_longs(some.as_py()), _longs(known.as_py())))
                     continue
                 if held:
                     keys, counts = _summed(held)
                     held = []
-                end = i
-                while end < len(chunks) and chunks[end] == now and is_doc[end]:
-                    end += 1
-                yield from rows_of(pair, docs[i:end], [t or "" for t in texts[i:end]], keys, counts)
-                i = end
+                docs = docs.as_py()
+                yield found(Aligned.unpacked(pair, len(docs), tokens.as_py()), docs, keys, counts)
 
     return run
 
@@ -364,9 +388,10 @@ class Alignment:
         space = len(TokenPair(*self.load.files).texts) // 2
         self.slices = max(1, min(-(-size // SLICE_BYTES), -(-(space * space // 4) // SLICE_PAIRS)))
         doc, text = F.col(id_col).cast("long"), F.col(text_col)
-        self.docs = docs.select(F.pmod(F.xxhash64(doc, text), F.lit(self.chunks)).cast("int").alias("chunk"), doc.alias("doc"), text.alias("text"))
-        known = _dealt(self.docs.where("length(text) > 0").select("chunk", "text"), self.parts, F.col("chunk"), "chunk")
-        self.partials = written(known.mapInArrow(_pairs(self.load, self.slices), _PARTS), "pairs")
+        rows = docs.select(F.pmod(F.xxhash64(doc, text), F.lit(self.chunks)).cast("int").alias("chunk"), doc.alias("doc"), text.alias("text"))
+        first = written(_dealt(rows, self.parts, F.col("chunk"), "chunk").mapInArrow(_pairs(self.load, self.slices), _PARTS), "aligned")
+        self.partials = first.where("docs IS NULL").select("chunk", "slice", "keys", "counts")
+        self.docs = first.where("docs IS NOT NULL").select("chunk", "docs", "tokens")
         self.table = written(self._count(), "pair-counts")
         top = self.table.select("keys", "counts").mapInArrow(_highest, "b bigint, n bigint").groupBy("b").agg(F.max("n").alias("n"))
         self.highest = np.zeros(1 << 16, dtype=np.int64)
@@ -411,8 +436,8 @@ class Alignment:
         each = parts.select("key").distinct().select("key", F.floor(F.col("key") / self.branches).alias("slice"))
         tables = each.join(self.table, "slice").select("key", F.lit(False).alias("is_part"), "hash", "keys", "counts", F.lit(None).cast("int").alias("chunk"))
         found = _dealt(tables.unionByName(parts), self.parts, F.col("key"), "key", "is_part").mapInArrow(_found, "chunk int, keys binary, counts binary")
-        rows = found.select("chunk", F.lit(False).alias("is_doc"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("text"), "keys", "counts").unionByName(
-            self.docs.select("chunk", F.lit(True).alias("is_doc"), "doc", "text", none.alias("keys"), none.alias("counts")))
+        rows = found.select("chunk", F.lit(False).alias("is_doc"), F.lit(None).cast("array<bigint>").alias("docs"), none.alias("tokens"), "keys", "counts").unionByName(
+            self.docs.select("chunk", F.lit(True).alias("is_doc"), "docs", "tokens", none.alias("keys"), none.alias("counts")))
         return _dealt(rows, self.parts, F.col("chunk"), "chunk", "is_doc").mapInArrow(_looked_up(self.load, self.highest, with_groups), _RESULT)
 
 

@@ -38,7 +38,7 @@ class DoubleArray:
         self.base = np.zeros(1024, dtype=np.int64)
         self.check = np.full(1024, -1, dtype=np.int64)
         self.check[0] = 0
-        self.free = 1
+        self.free = self.taken = self.end = 1
 
     def _grow(self, size: int) -> None:
         if size > len(self.check):
@@ -56,6 +56,22 @@ class DoubleArray:
             self.free = min(self.free + 4096, len(self.check))
             self._grow(self.free + 4096)
 
+    def _fit(self, offset: np.ndarray) -> int:
+        """A free slot from which all slots at ``offset`` are free: among the first free ones, then anywhere, then at the end."""
+        start = self._first_free()
+        self._grow(self.end + int(offset[-1]) + 2)
+        for low, high in ((start, start + 512), (start, self.end)):
+            spots = low + np.flatnonzero(self.check[low:high] < 0)
+            spots = spots[::max(1, len(spots) // 256)]
+            good = spots[(self.check[spots] < 0) & (spots + offset[-1] < len(self.check))]
+            for o in offset[1:]:
+                good = good[self.check[good + o] < 0]
+                if not len(good):
+                    break
+            if len(good):
+                return int(good[0])
+        return max(self.end, start)
+
     def add(self, parents: np.ndarray, labels: np.ndarray) -> None:
         """Children of slots without children so far; rows sorted by parent, labels distinct and ascending within one."""
         if not len(parents):
@@ -64,25 +80,21 @@ class DoubleArray:
         count = np.diff(np.r_[first, len(parents)])
         for s, n in zip(first[count > 1].tolist(), count[count > 1].tolist()):
             mine = labels[s:s + n]
-            offset, spot = mine - mine[0], self._first_free()
-            for _ in range(8):
-                self._grow(spot + int(offset[-1]) + 2)
-                if (self.check[spot + offset] < 0).all():
-                    break
-                ahead = np.flatnonzero(self.check[spot + 1:spot + 4096] < 0)
-                spot += 1 + int(ahead[0]) if len(ahead) else 4096
-            else:
-                spot = int(np.flatnonzero(self.check >= 0)[-1]) + 1  # behind all others there is room
-                self._grow(spot + int(offset[-1]) + 2)
+            offset = mine - mine[0]
+            spot = self._fit(offset)
             self.base[parents[s]] = spot - mine[0]
             self.check[spot + offset] = parents[s]
+            self.taken += n
+            self.end = max(self.end, spot + int(offset[-1]) + 1)
         single = first[count == 1]
         if len(single):
             start = self._first_free()
-            self._grow(len(self.check) + len(single))
+            self._grow(self.taken + len(single))  # at least so many slots are free
             spots = start + np.flatnonzero(self.check[start:] < 0)[:len(single)]
             self.base[parents[single]] = spots - labels[single]
             self.check[spots] = parents[single]
+            self.taken += len(single)
+            self.end = max(self.end, int(spots[-1]) + 1)
 
     def step(self, slots: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """The child of each slot by each label, -1 where there is none."""
