@@ -37,19 +37,42 @@ def stream_audit_ingest(spark, sf):
     return count("audit", a).unionByName(count("security", b))
 
 
+#: Events arrive in so many spans of time; the job is started anew for each.
+SLICES = 4
+DELAY = "1 hour"
+
+
+def timed(spark, sf, build, mode="append", keys=None, progress=None):
+    """The event table through ``build``, slice by slice, with state carried from run to run."""
+    df = table(spark, sf, "events")
+    return ev.arriving(ev.time_slices(df, "ts", SLICES), build, mode, "ts", keys, progress=progress)
+
+
+def closed(sql, end):
+    """``sql``'s windows that the last watermark closes."""
+    return f"SELECT * FROM ({sql}) WHERE strptime(window_start, '%Y-%m-%d %H:%M:%S') + {end} <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
 def _windows(df):
     return df.select(time_text("w.start").alias("window_start"), "total_events", "security_events", "failed_logins", "access_denials")
 
 
-@query("stream_tumbling_security", f"{A} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, {COUNTS} FROM audit GROUP BY 1")
-def stream_tumbling_security(spark, sf):
-    return _windows(ev.drained(ev.security_windows(audit_replay(spark, sf), "1 day"), "complete"))
+@query("stream_tumbling_security", closed(
+    f"{A} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, {COUNTS} FROM audit GROUP BY 1", "INTERVAL 1 DAY"))
+def stream_tumbling_security(spark, sf, progress=None):
+    return _windows(timed(spark, sf, lambda s: ev.security_windows(ev.with_lateness(as_audit(s), "ts", DELAY), "1 day"), progress=progress))
+
+
+@query("stream_sliding_security", closed(f"""{A} SELECT strftime(date_trunc('hour', ts) - to_hours(CAST(h AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS window_start, {COUNTS}
+FROM audit, (SELECT unnest(range(24)) AS h) GROUP BY 1""", "INTERVAL 24 HOUR"))
+def stream_sliding_security(spark, sf, progress=None):
+    return _windows(timed(spark, sf, lambda s: ev.security_windows(ev.with_lateness(as_audit(s), "ts", DELAY), "24 hours", "1 hour"), progress=progress))
 
 
-@query("stream_sliding_security", f"""{A} SELECT strftime(date_trunc('hour', ts) - to_hours(CAST(h AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS window_start, {COUNTS}
+@query("sliding_security_batch", f"""{A} SELECT strftime(date_trunc('hour', ts) - to_hours(CAST(h AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS window_start, {COUNTS}
 FROM audit, (SELECT unnest(range(24)) AS h) GROUP BY 1""")
-def stream_sliding_security(spark, sf):
-    return _windows(ev.drained(ev.security_windows(audit_replay(spark, sf), "24 hours", "1 hour"), "complete"))
+def sliding_security_batch(spark, sf):
+    return _windows(ev.security_windows(as_audit(table(spark, sf, "events")), "24 hours", "1 hour"))
 
 
 SESSIONS_SQL = """
@@ -60,9 +83,10 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftim
 FROM s GROUP BY user_id, sid"""
 
 
-@query("stream_sessions", SESSIONS_SQL.format(" + INTERVAL 30 MINUTE", "session_end"))
-def stream_sessions(spark, sf):
-    s = ev.drained(sessions.sessionize_stream(replay(spark, sf), "user_id", "ts", "30 minutes"), "complete")
+@query("stream_sessions", SESSIONS_SQL.format(" + INTERVAL 30 MINUTE", "session_end")
+       + " HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def stream_sessions(spark, sf, progress=None):
+    s = timed(spark, sf, lambda e: sessions.sessionize_stream(e, "user_id", "ts", "30 minutes", DELAY), progress=progress)
     return s.withColumns({c: time_text(c) for c in ("session_start", "session_end")})
 
 
@@ -72,30 +96,36 @@ def sessions_batch(spark, sf):
     return s.withColumns({c: time_text(c) for c in ("session_start", "last_event")})
 
 
-LIMIT_SQL = """
-WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-r(user_id, event_id, rn, allowed, recent) AS (
-  SELECT user_id, event_id, rn, true, [t] FROM e WHERE rn = 1
-  UNION ALL
-  SELECT user_id, event_id, rn, len(live) < {calls}, CASE WHEN len(live) < {calls} THEN list_append(live, t) ELSE live END FROM (
-    SELECT e.user_id, e.event_id, e.rn, e.t, list_filter(r.recent, lambda x: e.t - x < {window}000000) AS live
-    FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
-SELECT user_id, event_id, allowed FROM r"""
-CALLS, WINDOW = 3, 6 * 3600
+CALLS = 3
+BURSTS_SQL = f"""SELECT user_id, strftime(date_trunc('hour', ts) - to_hours(CAST(h AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS window_start,
+count(*) AS calls, count(*) > {CALLS} AS over_limit FROM events, (SELECT unnest(range(6)) AS h) WHERE user_id IS NOT NULL GROUP BY 1, 2"""
+
+
+def _bursts(df):
+    return df.select("user_id", time_text("w.start").alias("window_start"), "calls", "over_limit")
+
 
+@query("call_bursts_batch", BURSTS_SQL)
+def call_bursts_batch(spark, sf):
+    return _bursts(ev.call_bursts(table(spark, sf, "events"), "ts", "user_id", CALLS, "6 hours", "1 hour"))
 
-@query("rate_limit_batch", LIMIT_SQL.format(calls=CALLS, window=WINDOW))
-def rate_limit_batch(spark, sf):
-    return sessions.rate_limit(table(spark, sf, "events"), "user_id", "ts", "event_id", CALLS, WINDOW)
 
+@query("stream_call_bursts", closed(BURSTS_SQL, "INTERVAL 6 HOUR"))
+def stream_call_bursts(spark, sf, progress=None):
+    return _bursts(timed(spark, sf, lambda s: ev.call_bursts(ev.with_lateness(s, "ts", DELAY), "ts", "user_id", CALLS, "6 hours", "1 hour"), progress=progress))
 
-@query("stream_rate_limit", LIMIT_SQL.format(calls=CALLS, window=WINDOW))
-def stream_rate_limit(spark, sf):
-    return ev.drained(sessions.rate_limit_stream(replay(spark, sf), "user_id", "ts", "event_id", CALLS, WINDOW))
 
+@query("stream_dedup", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events")
+def stream_dedup(spark, sf, progress=None):
+    """Events that are delivered twice: each slice comes again, in part, with the next one."""
+    parts = ev.time_slices(table(spark, sf, "events"), "ts", SLICES)
+    again = [parts[0].unionAll(parts[0].where("event_id % 3 = 0")), *[b.unionAll(a.where("event_id % 2 = 0")) for a, b in zip(parts, parts[1:])]]
+    seen = ev.arriving(again, lambda s: ev.dedup_stream(s, ["event_id"], "ts", DELAY), ts="ts", progress=progress)
+    return seen.select("event_id", time_text("ts").alias("ts"))
 
-@query("stream_dedup", "SELECT DISTINCT md5(text) AS content_hash FROM documents")
-def stream_dedup(spark, sf):
+
+@query("stream_dedup_documents", "SELECT DISTINCT md5(text) AS content_hash FROM documents")
+def stream_dedup_documents(spark, sf):
     docs = ev.file_stream(spark, sf, table(spark, sf, "documents").schema, glob="documents.parquet")
     # The documents carry no time; one time stamp for all keeps every hash inside the delay.
     hashed = docs.select(F.md5(F.col("text").cast("binary")).alias("content_hash"), F.lit("2024-01-01").cast("timestamp").alias("seen"))
@@ -128,10 +158,42 @@ def stream_file_ingest(spark, sf):
     return ev.drained(jobs.ingest_stream(spark, folder, upload.schema, required=["doc_id", "text"]))
 
 
+def _uploads(spark, sf):
+    """Documents with missing and blank texts, in three deliveries."""
+    d, k = tainted(spark, sf), F.col("doc_id")
+    text = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, F.lit("  ")).otherwise(F.col("text"))
+    lang = F.when(k % 13 == 0, F.lit(None)).otherwise(F.col("lang"))
+    d = d.select("doc_id", lang.alias("lang"), text.alias("text"))
+    return [d.where(k % 3 == i) for i in range(3)]
+
+
+UPLOADS_SQL = f"""{TAINTED_SQL}, u AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN lang END AS lang,
+CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '  ' ELSE text END AS text FROM tainted),
+c AS (SELECT doc_id, lang, {full_sql('text')} AS text FROM u),
+j AS (SELECT *, list_filter([CASE WHEN lang IS NULL THEN 'missing lang' END, CASE WHEN trim(lang) = '' THEN 'blank lang' END,
+CASE WHEN text IS NULL THEN 'missing text' END, CASE WHEN trim(text) = '' THEN 'blank text' END], lambda x: x IS NOT NULL) AS r FROM c)"""
+
+
+def _ingested(spark, sf):
+    job = jobs.CheckedIngest(scratch_path(spark, "ingested"), ["doc_id", "lang", "text"])
+    ev.arriving(_uploads(spark, sf), job.judged, each=job.write)
+    return job
+
+
+@query("stream_ingest_accepted", f"WITH {UPLOADS_SQL} SELECT doc_id, lang, text FROM j WHERE len(r) = 0")
+def stream_ingest_accepted(spark, sf):
+    return _ingested(spark, sf).accepted(spark)
+
+
+@query("stream_ingest_refused", f"WITH {UPLOADS_SQL} SELECT doc_id, lang, text, array_to_string(r, '; ') AS reasons FROM j WHERE len(r) > 0")
+def stream_ingest_refused(spark, sf):
+    return _ingested(spark, sf).refused(spark).withColumn("reasons", F.array_join("reasons", "; "))
+
+
 @query("stream_rollup", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
 round(sum(value), 2) AS value_sum, round(avg(value), 8) AS value_mean FROM events GROUP BY 1, 2""")
 def stream_rollup(spark, sf):
-    out = ev.drained(ev.rollup_stream(replay(spark, sf), "ts", "value", "event_type"), "update", ["w", "event_type"])
+    out = timed(spark, sf, lambda s: ev.rollup_stream(s, "ts", "value", "event_type"), "update", ["w", "event_type"])
     out = out.select(time_text("w.start").alias("window_start"), "event_type", "n", "value_sum", "value_mean")
     return rounded(rounded(out, 2, "value_sum"), 8, "value_mean")
 

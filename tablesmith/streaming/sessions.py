@@ -1,13 +1,8 @@
-"""Inactivity sessions and the call limiter, for batches and streams."""
+"""Inactivity sessions, for batches and streams."""
 
 from __future__ import annotations
 
-from collections import deque
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _micros(ts: str) -> Column:
@@ -39,79 +34,3 @@ def sessionize_stream(sdf: DataFrame, user: str, ts: str, gap: str, delay: str =
     """Sessions of a stream; the window's end is the last event plus the gap."""
     return sdf.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("s"), user).agg(F.count("*").alias("n")).select(
         user, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
-
-
-def _admit(times: np.ndarray, recent: deque, max_calls: int, window_us: int) -> np.ndarray:
-    """Greedy limiter over sorted times; ``recent`` holds the accepted times and is carried on."""
-    ok = np.zeros(len(times), dtype=bool)
-    for i, t in enumerate(times):
-        while recent and t - recent[0] >= window_us:
-            recent.popleft()
-        if len(recent) < max_calls:
-            recent.append(t)
-            ok[i] = True
-    return ok
-
-
-def rate_limit(df: DataFrame, user: str, ts: str, key: str, max_calls: int, window_seconds: int) -> DataFrame:
-    """Allow a call if fewer than ``max_calls`` accepted calls lie within the trailing window.
-
-    A pause of a full window empties the limiter, so each run between pauses stands alone: runs with at
-    most ``max_calls`` rows are accepted without Python, longer ones are spread by (user, run), sorted by
-    Spark and scanned in Arrow batches. Memory per task is one batch and ``max_calls`` times.
-    """
-    window_us = window_seconds * 1_000_000
-    runs = _islands(df, user, ts, window_us)
-    sizes = runs.groupBy(user, "_island").agg(F.sum("_n").alias("_size"))
-    place = runs.select(user, "_bucket", "_island").join(sizes, [user, "_island"])
-    rows = df.select(user, F.col(key), _micros(ts).alias("_t")).withColumn("_bucket", F.floor(F.col("_t") / window_us))
-    placed = rows.join(place, [user, "_bucket"])
-    cols = [user, key]
-    free = placed.where(F.col("_size") <= max_calls).select(*cols, F.lit(True).alias("allowed"))
-    tight = placed.where(F.col("_size") > max_calls).select(*cols, "_island", "_t")
-    spread = tight.repartition(F.col(user), F.col("_island")).sortWithinPartitions(user, "_island", "_t", key)
-    schema = f"{user} {df.schema[user].dataType.simpleString()}, {key} {df.schema[key].dataType.simpleString()}, allowed boolean"
-
-    def scan(batches):
-        current, recent = None, deque()
-        for pdf in batches:
-            run = list(zip(pdf[user], pdf["_island"]))
-            cuts = [0, *[i for i in range(1, len(run)) if run[i] != run[i - 1]], len(run)]
-            times, ok = pdf["_t"].to_numpy(), np.zeros(len(run), dtype=bool)
-            for a, b in zip(cuts, cuts[1:]):
-                if a < b:
-                    if run[a] != current:
-                        current, recent = run[a], deque()
-                    ok[a:b] = _admit(times[a:b], recent, max_calls, window_us)
-            yield pd.DataFrame({user: pdf[user], key: pdf[key], "allowed": ok})
-
-    return free.unionByName(spread.mapInPandas(scan, schema))
-
-
-def rate_limit_stream(sdf: DataFrame, user: str, ts: str, key: str, max_calls: int, window_seconds: int, delay: str = "1 hour") -> DataFrame:
-    """The limiter on a stream, exact while events arrive in time order across batches.
-
-    Rows of a batch are ordered by (time, key); later than the delay they are dropped. State per user is at
-    most ``max_calls`` times and leaves when the user has been quiet for a window. The rows of one user in
-    one micro-batch are sorted in memory; the source's files-per-batch setting bounds them.
-    """
-    window_us = window_seconds * 1_000_000
-    user_type = sdf.schema[user].dataType.simpleString()
-    key_type = sdf.schema[key].dataType.simpleString()
-    prepared = sdf.withWatermark(ts, delay).select(F.col(user), F.col(key), F.col(ts), _micros(ts).alias("_t"))
-
-    def step(group, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["_t", key])
-        recent = deque(state.get[0]) if state.exists else deque()
-        ok = _admit(rows["_t"].to_numpy(), recent, max_calls, window_us)
-        state.update((list(int(t) for t in recent),))
-        if recent:
-            expires = int(recent[-1] + window_us) // 1000 + 1
-            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({user: group[0], key: rows[key].to_numpy(), "allowed": ok})
-
-    return prepared.groupBy(user).applyInPandasWithState(
-        step, f"{user} {user_type}, {key} {key_type}, allowed boolean", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tablesmith.operators import audit, charts, cleaning, correlation, features, ordering, paging, profile, quality, regression, registry
 from tablesmith.operators.regression import RegressionConfig
 from tablesmith.sources import readers
-from tablesmith.streaming import sessions
 
 
 def people(spark):
@@ -202,20 +201,6 @@ def test_severity_table(spark):
     assert [r[0] for r in df.select(audit.severity(F.col("r"), F.col("o"), F.col("t"))).collect()] == [c[3] for c in cases]
 
 
-def test_rate_limit_denies_and_recovers(spark):
-    start = datetime(2024, 1, 1)
-    # A burst, a pause shorter than the window, another burst, then a long pause.
-    seconds = [0, 1, 2, 3, 9, 10, 11, 12, 40, 41]
-    df = spark.createDataFrame([(1, i, start + timedelta(seconds=s)) for i, s in enumerate(seconds)], "u int, k int, ts timestamp").repartition(3)
-    got = {r["k"]: r["allowed"] for r in sessions.rate_limit(df, "u", "ts", "k", 2, 10).collect()}
-    allowed, want = [], {}
-    for i, s in enumerate(seconds):
-        live = [a for a in allowed if s - a < 10]
-        want[i] = len(live) < 2
-        allowed = live + ([s] if want[i] else [])
-    assert got == want and not all(got.values())
-
-
 def test_delimiters_and_missing_texts(spark, tmp_path):
     assert readers.pick_delimiter(["a;b;c", "1;2;3", "4;5;6"]) == ";"
     assert readers.pick_delimiter(["a,b", "1,2,3"]) == ","
