@@ -21,7 +21,6 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 SQL_DROP = rf"(?iu)DROP{SPACE}+(TABLE|DATABASE)"
 SQL_SELECT = rf"(?iu)SELECT{SPACE}+\*{SPACE}+FROM"
 SQL_UPDATE = rf"(?iu)UPDATE{SPACE}+[\p{{L}}\p{{N}}_]+{SPACE}+SET"
-ISSUE_EXCERPT = 100
 # Texts that convert to a number. Testing the pattern first avoids a costly failed conversion per row.
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
 INTEGER = r"^\s*[+-]?\d+\s*$"
@@ -93,6 +92,27 @@ def sanitize_filename(c: str | Column) -> Column:
     return F.when((capped == "") | capped.startswith("."), fallback).otherwise(capped)
 
 
+#: Number types from narrow to wide; a column takes the narrowest that keeps all its values.
+LATTICE = ["bigint", "decimal(38,0)", "double", "string"]
+
+
+def type_tests(c: Column) -> list[Column]:
+    """For a text column: how many values there are, and how many each type of the lattice but text cannot keep."""
+    whole, digits = F.rlike(c, F.lit(INTEGER)), F.trim(c)
+    return [F.count(c), *[F.count_if(c.isNotNull() & ~F.coalesce(whole & digits.try_cast(t).isNotNull(), F.lit(False))) for t in LATTICE[:2]],
+            F.count_if(c.isNotNull() & ~F.rlike(c, F.lit(NUMBER)))]
+
+
+def joined_type(counts: list[int]) -> str:
+    """The lattice type that joins all values of a column, from the results of ``type_tests``; without values: double."""
+    n, *lost = counts
+    return "double" if not n else next((t for t, x in zip(LATTICE, lost) if not x), "string")
+
+
+def as_type(name: str, kind: str) -> Column:
+    return number_or_null(name) if kind == "double" else F.expr(f"try_cast(trim(`{name}`) AS {kind})") if kind != "string" else F.col(f"`{name}`")
+
+
 def number_or_null(name: str) -> Column:
     """The double a text stands for, NULL where it is none."""
     c = F.col(f"`{name}`")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,34 +65,65 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, k: float = 1.5) ->
         F.count_if(~within).alias("n_outliers"))
 
 
+#: Bins for each bandwidth, moments kept of a bin, and bandwidths beyond which a kernel is nothing.
+BINS, MOMENTS, REACH = 8, 8, 9.0
+
+
+def _hermite() -> list[list[float]]:
+    """Coefficients, by rising power, of the polynomials He_k(z) / k! for k below ``MOMENTS``."""
+    he = [[1.0], [0.0, 1.0]]
+    for k in range(1, MOMENTS - 1):
+        up = [0.0, *he[k]]
+        he.append([c - k * (he[k - 1][j] if j < len(he[k - 1]) else 0.0) for j, c in enumerate(up)])
+    return [[c / math.factorial(k) for c in p] for k, p in enumerate(he)]
+
+
 def kde(df: DataFrame, col: str, points: int = 100, by: str | None = None) -> DataFrame:
     """Gaussian density on an even grid from minimum to maximum, Scott bandwidth.
 
-    Equal values are merged first. Each remaining row adds to the grid points inside its task, so
-    what is shuffled is one partial sum per group and grid point.
+    One pass finds each group's range and bandwidth h. A second adds up, in bins of h / 8, the powers of the values'
+    distances t to the middle of their bin, in bandwidths. A bin's kernels at a grid point at distance z are the sum over k of
+    He_k(z) / k! times the k-th power sum, times exp(-z*z/2); with eight power sums and abs(t) up to 1/16 the rest is
+    below 2e-12 of a kernel's height. What is shuffled is eight sums per bin, whatever the number of rows, and a bin
+    goes only to grid points within nine bandwidths, beyond which a kernel is below 1e-17. NaN counts as missing.
     """
     keys = [by] if by else []
-    data = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
+    value = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+    data = df.select(*keys, value.alias("_v")).where("_v IS NOT NULL")
     if by:
         data = data.where(F.col(by).isNotNull())
     shape = data.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.stddev_samp("_v").alias("_s"))
     shape = shape.where((F.col("_n") > 1) & (F.col("_s") > 0)).withColumn("_h", F.col("_s") * F.pow("_n", F.lit(-0.2)))
     shape, few = settle(shape)
-    weighted = data.groupBy(*keys, "_v").agg(F.count("*").alias("_m"))
     if by:
-        rows = weighted.join(F.broadcast(shape) if few else shape, by)
+        rows = data.join(F.broadcast(shape) if few else shape, by)
     else:
         one = shape.first()
         if one is None:
             return df.sparkSession.createDataFrame([], "point int, x double, density double")
-        rows = weighted.withColumns({c: F.lit(one[c]) for c in ("_n", "_lo", "_hi", "_h")})
+        rows = data.withColumns({c: F.lit(one[c]) for c in ("_n", "_lo", "_hi", "_h")})
+    place = (F.col("_v") - F.col("_lo")) / F.col("_h")
+    bin_ = F.floor(place * BINS)
+    t = place - (bin_ + 0.5) / BINS
+    facts = ["_n", "_lo", "_hi", "_h"]
+    bins = rows.groupBy(*keys, *facts, bin_.alias("_bin")).agg(*[F.sum(F.pow(t, F.lit(float(k)))).alias(f"_m{k}") for k in range(MOMENTS)])
+    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
+    middle = F.col("_lo") + (F.col("_bin") + 0.5) / BINS * F.col("_h")
+    first = F.greatest(F.ceil((middle - REACH * F.col("_h") - F.col("_lo")) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((middle + REACH * F.col("_h") - F.col("_lo")) / step), F.lit(points - 1)).cast("int")
+    near = bins.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
+    z = (F.col("_lo") + step * F.col("point") - middle) / F.col("_h")
+    # The sum over k as one polynomial in z.
+    powers = [reduce(lambda x, y: x + y, [F.col(f"_m{k}") * p[j] for k, p in enumerate(_hermite()) if j < len(p) and p[j]]) for j in range(MOMENTS)]
+    kernel = reduce(lambda x, y: x * F.col("_z") + y, reversed(powers)) * F.exp(F.col("_z") * F.col("_z") * -0.5)
+    summed = near.withColumn("_z", z).groupBy(*keys, *facts, "point").agg(F.sum(kernel).alias("_k"))
+    # Grid points out of every kernel's reach have density 0.
+    grid = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    full = grid.join(summed.select(*keys, "point", "_k"), [*keys, "point"], "left")
     x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / (points - 1)
-    spread = rows.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    z = (F.col("_v") - x) / F.col("_h")
-    return spread.groupBy(*keys, "point", x.alias("x"), "_n", "_h").agg(
-        F.sum(F.col("_m") * F.exp(-0.5 * z * z)).alias("_k")).select(
-        *keys, "point", "x", (F.col("_k") / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"))
+    return full.select(
+        *keys, "point", x.alias("x"), (F.coalesce("_k", F.lit(0.0)) / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"))
 
 
 def regression_line(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablesmith.functions.text import NUMBER, number_or_null
+from tablesmith.functions.text import INTEGER, as_type, joined_type, type_tests
 from tablesmith.operators.ordering import with_position
 from tablesmith.operators.profile import iqr_bounds
 from tablesmith.operators.quantiles import quantile_values
@@ -88,12 +88,19 @@ def remove_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float =
 
 
 def infer_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Cast text columns to double where every non-null value converts."""
+    """Make text columns numbers where every non-null value is one, without changing any value.
+
+    The narrowest of bigint, decimal(38,0) and double that keeps all values of a column, decided in one aggregate;
+    whole numbers beyond 38 digits stay texts if they stand alone, since a double would merge them.
+    """
     cols = list(cols or string_columns(df))
     if not cols:
         return df
-    bad = df.agg(*[F.count_if(~F.rlike(F.col(c), F.lit(NUMBER))).alias(c) for c in cols]).first()
-    return df.withColumns({c: number_or_null(c) for c in cols if bad[c] == 0})
+    tests = [type_tests(F.col(f"`{c}`")) for c in cols]
+    long = [F.count_if(F.rlike(F.col(f"`{c}`"), F.lit(INTEGER)) & F.trim(F.col(f"`{c}`")).try_cast("decimal(38,0)").isNull()) for c in cols]
+    row = df.agg(*[e.alias(f"t{i}_{j}") for i, some in enumerate(tests) for j, e in enumerate(some)], *[e.alias(f"l{i}") for i, e in enumerate(long)]).first()
+    kinds = {c: "string" if row[f"l{i}"] else joined_type([row[f"t{i}_{j}"] for j in range(4)]) for i, c in enumerate(cols)}
+    return df.withColumns({c: as_type(c, kind) for c, kind in kinds.items() if kind != "string"})
 
 
 @dataclass

@@ -67,8 +67,19 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard") -> Sc
     return Scaler(centre, {c: s if s else 1.0 for c, s in spread.items()})
 
 
-def _indicator(code: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == code).cast("double"))
+def _indicator(code: Column, n: Column) -> Column:
+    """A sparse vector: its length, the place of the one, and the one; values outside the vocabulary have no place."""
+    inside = code < n
+    return F.struct(
+        n.cast("int").alias("size"), F.when(inside, F.array(code)).otherwise(F.array().cast("array<int>")).alias("indices"),
+        F.when(inside, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values"))
+
+
+def dense(onehot: str | Column) -> Column:
+    """A sparse vector written out, for small vocabularies."""
+    v = F.col(onehot) if isinstance(onehot, str) else onehot
+    places = F.when(v["size"] > 0, F.sequence(F.lit(0), v["size"] - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_contains(v["indices"], i).cast("double"))
 
 
 @dataclass
@@ -79,7 +90,10 @@ class Encoder:
     sizes: dict[str, int]
 
     def apply(self, df: DataFrame, onehot: bool = False) -> DataFrame:
-        """Add ``<c>_code`` (unseen and missing values get the next free code) or ``<c>_onehot``."""
+        """Add ``<c>_code`` (unseen and missing values get the next free code) and, if asked, ``<c>_onehot``.
+
+        One-hot vectors are sparse (size, indices, values), so a row's size does not depend on the vocabulary.
+        """
         for c, vocab in self.vocabularies.items():
             n = self.sizes[c]
             known = vocab.select(F.col("value").alias("_value"), F.col("code").cast("int").alias(f"{c}_code"))
@@ -87,7 +101,7 @@ class Encoder:
             df = df.withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(n)))
             if onehot:
                 code = F.col(f"{c}_code")
-                df = df.withColumn(f"{c}_onehot", _indicator(code, n))
+                df = df.withColumn(f"{c}_onehot", _indicator(code, F.lit(n)))
         return df
 
 

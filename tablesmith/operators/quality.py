@@ -115,10 +115,6 @@ def validate_training(df: DataFrame, target: str, features: Sequence[str] = ())
         raise ValueError("; ".join(f"{r['rule']}: {r['column']}" for r in broken))
 
 
-def cap_rows(df: DataFrame, n: int = 1_000_000, on_exceed: str = "error") -> DataFrame:
-    """Refuse a table with more than ``n`` rows, or keep its first ``n``."""
-    if on_exceed == "truncate":
-        return df.limit(n)
-    if df.count() > n:
-        raise ValueError(f"more than {n} rows")
-    return df
+def row_limit_report(df: DataFrame, n: int = 1_000_000) -> DataFrame:
+    """``n_rows, row_limit, exceeded``: says whether a table is above a limit. No row is ever cut off."""
+    return df.agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(n).cast("long").alias("row_limit"), (F.col("n_rows") > n).alias("exceeded"))

@@ -38,11 +38,45 @@ def ratio_of_sums(df: DataFrame, by: str, num: str, den: str) -> DataFrame:
     return df.groupBy(by).agg(F.try_divide(F.sum(num).cast("double"), F.sum(den)).alias("ratio"))
 
 
-def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str], fn: str = "count", val: str | None = None, fill=None) -> DataFrame:
-    """Pivot with the wide columns named up front (no extra pass to find them)."""
-    agg = F.count(F.lit(1) if val is None else val) if fn == "count" else AGGREGATES[fn](val)
-    out = df.groupBy(row).pivot(col, list(values)).agg(agg)
-    return out if fill is None else out.na.fill(fill, list(values))
+#: Columns that a pivot may open.
+MAX_WIDTH = 1000
+
+
+def pivot_values(df: DataFrame, col: str, first: Sequence = (), width: int = MAX_WIDTH) -> list[tuple[str, object]]:
+    """(column name, value) for every value of ``col``, those in ``first`` in front, then ascending; NULL is named ``null``.
+
+    One distinct pass; only as many values as columns may open reach the driver, more are an error.
+    """
+    found = [r[0] for r in df.select(col).distinct().limit(width + 1).collect()]
+    if len(found) > width:
+        raise ValueError(f"{col} has more than {width} values; group by it instead of pivoting")
+    known = list(first) + sorted((v for v in found if v is not None and v not in set(first)), key=lambda v: (str(type(v)), v))
+    names = [(str(v), v) for v in known] + ([("null", None)] if None in found else [])
+    if len({n for n, _ in names}) < len(names):
+        raise ValueError(f"two values of {col} have the same column name")
+    return names
+
+
+def _wide(df: DataFrame, keys: Sequence[Column], col: str, values: Sequence[tuple[str, object]], agg) -> DataFrame:
+    """One aggregate of one scan: a conditional aggregate per column."""
+    if not values:
+        return df.select(*keys).distinct()
+    return df.groupBy(*keys).agg(*[agg(F.col(col).eqNullSafe(F.lit(v))).alias(n) for n, v in values])
+
+
+def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str] | None = None, fn: str = "count", val: str | None = None, fill=None) -> DataFrame:
+    """Pivot in two phases: find the values of ``col``, then aggregate once with a column for each.
+
+    ``values`` only says which columns come first (and come even if empty); no row is left out, rows without a value
+    get the column ``null``. Cells without rows are 0 for counts of rows and NULL otherwise, or ``fill``.
+    """
+    columns = pivot_values(df, col, values or ())
+
+    def agg(test: Column) -> Column:
+        return AGGREGATES[fn](F.when(test, F.lit(1) if val is None else F.col(val)))
+
+    out = _wide(df, [F.col(row)], col, columns, agg)
+    return out if fill is None else out.na.fill(fill, [n for n, _ in columns])
 
 
 def month_of(ts: str) -> Column:
@@ -53,9 +87,11 @@ def rollup_month(df: DataFrame, ts: str, specs: dict[str, Sequence[str]], by: st
     return df.groupBy(month_of(ts).alias("month"), *([by] if by else [])).agg(*metric_columns(specs, digits))
 
 
-def month_by_category(df: DataFrame, ts: str, col: str, by: str, values: Sequence[str]) -> DataFrame:
-    """Month by category sums, one column per category, 0 where there is none."""
-    return df.groupBy(month_of(ts).alias("month")).pivot(by, list(values)).agg(F.sum(col)).na.fill(0, list(values))
+def month_by_category(df: DataFrame, ts: str, col: str, by: str, values: Sequence[str] | None = None) -> DataFrame:
+    """Month by category sums, one column per category that occurs, 0 where there is none; see ``crosstab``."""
+    columns = pivot_values(df, by, values or ())
+    out = _wide(df, [month_of(ts).alias("month")], by, columns, lambda test: F.sum(F.when(test, F.col(col))))
+    return out.na.fill(0, [n for n, _ in columns])
 
 
 def seasonal(df: DataFrame, ts: str, col: str) -> DataFrame:

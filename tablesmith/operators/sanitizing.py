@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablesmith.functions.text import ISSUE_EXCERPT, has_formula, has_script, has_sql, sanitize_text
+from tablesmith.functions.text import FORMULA_START, SCRIPT, SQL_PAIR, has_formula, has_script, has_sql, sanitize_text
 from tablesmith.operators.profile import rows_from_wide
 from tablesmith.schema import sanitize_columns, string_columns, valid_name
 
@@ -36,18 +36,23 @@ def count_changes(before: DataFrame, after: DataFrame, key: str, cols: Sequence[
 
 
 def scan_issues(df: DataFrame, key: str, cols: Sequence[str] | None = None) -> DataFrame:
-    """One row per finding: ``key, column, issue, excerpt``; bad column names have a null key."""
+    """One row per finding: ``key, column, issue, excerpt, position``; bad column names have a null key.
+
+    ``excerpt`` is the first text that gave rise to the finding, whole, and ``position`` where it starts, from 1.
+    """
     cols = list(cols or [c for c in string_columns(df) if c != key])
     found = []
     for c in cols:
-        cut = F.substring(c, 1, ISSUE_EXCERPT)
-        for issue, test in (("formula_detected", has_formula), ("script_detected", has_script), ("sql_injection_detected", has_sql)):
-            found.append(F.when(test(c), F.struct(F.lit(c).alias("column"), F.lit(issue).alias("issue"), cut.alias("excerpt"))))
+        for issue, test, pattern in (
+                ("formula_detected", has_formula, FORMULA_START), ("script_detected", has_script, SCRIPT), ("sql_injection_detected", has_sql, SQL_PAIR)):
+            match = F.regexp_substr(F.col(c), F.lit(pattern))
+            found.append(F.when(test(c), F.struct(
+                F.lit(c).alias("column"), F.lit(issue).alias("issue"), match.alias("excerpt"), F.position(match, F.col(c)).alias("position"))))
     cells = df.select(F.col(key), F.explode(F.array(*found)).alias("_x")).where("_x IS NOT NULL").select(key, "_x.*")
     bad = [c for c in df.columns if not valid_name(c)]
     if not bad:
         return cells
     names = df.sparkSession.createDataFrame([(c,) for c in bad], "column string").select(
         F.lit(None).cast(df.schema[key].dataType).alias(key), "column", F.lit("invalid_column_name").alias("issue"),
-        F.substring("column", 1, ISSUE_EXCERPT).alias("excerpt"))
+        F.col("column").alias("excerpt"), F.lit(1).alias("position"))
     return cells.unionByName(names)

@@ -55,10 +55,9 @@ def filtered_count(spark, sf):
     return projections.filtered_count(table(spark, sf, "orders"), o_orderstatus="F", o_orderpriority="1-URGENT")
 
 
-@query("row_cap_guard", "SELECT o_orderkey FROM orders")
-def row_cap_guard(spark, sf):
-    # The guard is an error above its limit, so within it the whole table comes back.
-    return quality.cap_rows(table(spark, sf, "orders").select("o_orderkey"), 1_000_000_000)
+@query("row_limit_report", "SELECT count(*) AS n_rows, CAST(10000 AS BIGINT) AS row_limit, count(*) > 10000 AS exceeded FROM orders")
+def row_limit_report(spark, sf):
+    return quality.row_limit_report(table(spark, sf, "orders"), 10_000)
 
 
 @query("drop_duplicates", "SELECT DISTINCT text, lang, source FROM documents")
@@ -165,6 +164,21 @@ def infer_numeric_columns(spark, sf):
     return cleaning.infer_numeric(df)
 
 
+_LONG = "'98765432109876' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0')"
+
+
+@query("infer_numeric_ids", f"""SELECT o_orderkey, {_LONG} AS id20, 'decimal(38,0)' AS id20_type, o_orderkey + 9007199254740993 AS id16, 'bigint' AS id16_type,
+{_LONG} || {_LONG} AS id40, 'string' AS id40_type FROM orders""")
+def infer_numeric_ids(spark, sf):
+    k = F.col("o_orderkey")
+    long = F.concat(F.lit("98765432109876"), F.lpad(k.cast("string"), 6, "0"))
+    df = table(spark, sf, "orders").select(
+        "o_orderkey", long.alias("id20"), (k + 9007199254740993).cast("string").alias("id16"), F.concat(long, long).alias("id40"))
+    out = cleaning.infer_numeric(df)
+    return out.select("o_orderkey", F.col("id20").cast("string").alias("id20"), F.typeof("id20").alias("id20_type"), "id16", F.typeof("id16").alias("id16_type"),
+                      F.col("id40").cast("string").alias("id40"), F.typeof("id40").alias("id40_type"))
+
+
 @query("rule_segment", """SELECT o_custkey, round(sum(o_totalprice), 2) AS total, count(*) AS n,
 CASE WHEN sum(o_totalprice) > 1000000 AND count(*) > 10 THEN 'Premium' WHEN sum(o_totalprice) > 300000 THEN 'Standard'
 ELSE 'Budget' END AS segment FROM orders GROUP BY o_custkey""")

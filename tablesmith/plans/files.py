@@ -36,6 +36,29 @@ def read_csv_latin1(spark, sf):
     return readers.read_csv_auto(spark, sinks.export(df, scratch_path(spark, "latin1"), "csv", encoding="ISO-8859-1"))
 
 
+def _both_encodings(spark, sf):
+    """A folder with customers' names in UTF-8 in one file and in Latin-1 in another; only the first breaks lines in quotes."""
+    df = table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" Größe")).alias("c_name"), "c_acctbal")
+    base, odd = scratch_path(spark, "mixed"), F.col("c_custkey") % 2 == 1
+    sinks.export(df.where(odd), f"{base}/latin", "csv", encoding="ISO-8859-1")
+    sinks.export(df.where(~odd).withColumn("c_name", F.concat("c_name", F.lit("\nsecond line"))).coalesce(2), f"{base}/utf", "csv")
+    return f"{base}/*"
+
+
+@query("read_csv_mixed_encodings", """SELECT c_custkey, c_name || ' Größe' || CASE WHEN c_custkey % 2 = 1 THEN '' ELSE chr(10) || 'second line' END AS c_name, c_acctbal FROM customer""")
+def read_csv_mixed_encodings(spark, sf):
+    return readers.read_csv_auto(spark, _both_encodings(spark, sf), sep=",")
+
+
+@query("read_csv_long_ids", """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, '98765432109876' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS id20, 'decimal(38,0)' AS kind,
+o_orderkey + 9007199254740993 AS id16 FROM orders""")
+def read_csv_long_ids(spark, sf):
+    k = F.col("o_orderkey")
+    df = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("98765432109876"), F.lpad(k.cast("string"), 6, "0")).alias("id20"), (k + 9007199254740993).alias("id16"))
+    out = readers.read_csv_auto(spark, sinks.export(df, scratch_path(spark, "ids"), "csv"))
+    return out.select("o_orderkey", F.col("id20").cast("string").alias("id20"), F.typeof("id20").alias("kind"), "id16")
+
+
 @query("read_csv_multiline", "SELECT doc_id, text FROM documents")
 def read_csv_multiline(spark, sf):
     # Texts with commas, quotes and line breaks come back whole.
@@ -59,6 +82,19 @@ def read_json_records(spark, sf):
     return readers.read_json(spark, path).select(*cols)
 
 
+@query("read_json_long_lines", "SELECT doc_id, text, lang FROM documents")
+def read_json_long_lines(spark, sf):
+    # Every third document comes in a file of one long array, every third spread over lines, the others a line each.
+    d, base = table(spark, sf, "documents").select("doc_id", "text", "lang"), scratch_path(spark, "layouts")
+    k, record = F.col("doc_id") % 3, F.to_json(F.struct("doc_id", "text", "lang"))
+    arrays = lambda rows, start, comma, end: rows.groupBy(F.floor(F.col("doc_id") / 200)).agg(
+        F.concat(F.lit(start), F.array_join(F.collect_list(record), comma), F.lit(end)).alias("value")).select("value")
+    arrays(d.where(k == 0), "[", ", ", "]").write.text(f"{base}/array")
+    arrays(d.where(k == 1), "[\n", ",\n   ", "\n]\n").write.text(f"{base}/spread")
+    d.where(k == 2).write.json(f"{base}/lines")
+    return readers.read_json(spark, f"{base}/*").select("doc_id", "text", "lang")
+
+
 @query("read_parquet", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def read_parquet(spark, sf):
     return readers.read_parquet(spark, f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
@@ -105,11 +141,17 @@ def write_csv(spark, sf):
     return readers.read_delimited(spark, path, schema=gappy_orders(spark, sf).schema)
 
 
-@query("write_parquet", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority = '2-HIGH'")
+@query("write_parquet", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
 def write_parquet(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     path = sinks.export(df, scratch_path(spark, "out"), "parquet", partition_by=["o_orderpriority"])
-    return spark.read.parquet(path).where("o_orderpriority = '2-HIGH'")
+    return spark.read.parquet(path)
+
+
+@query("write_parquet_partition", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority = '2-HIGH'")
+def write_parquet_partition(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return spark.read.parquet(sinks.export(df, scratch_path(spark, "out"), "parquet", partition_by=["o_orderpriority"])).where("o_orderpriority = '2-HIGH'")
 
 
 @query("write_json_records", G)

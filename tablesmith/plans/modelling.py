@@ -76,7 +76,7 @@ def encode_labels(spark, sf):
 def encode_onehot(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     out = features.fit_encoder(orders, ["o_orderpriority"]).apply(orders, onehot=True)
-    return out.select("o_orderkey", F.array_join(F.transform("o_orderpriority_onehot", lambda v: v.cast("int").cast("string")), ",").alias("onehot"))
+    return out.select("o_orderkey", F.array_join(F.transform(features.dense("o_orderpriority_onehot"), lambda v: v.cast("int").cast("string")), ",").alias("onehot"))
 
 
 @query("detect_task_type", """SELECT 'o_orderstatus' AS target, 'classification' AS task UNION ALL

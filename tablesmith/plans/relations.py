@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesmith.operators import joins, paging, rollups
-from tablesmith.plans.base import day_text, query, rounded, table, time_text, union_sql
+from tablesmith.plans.base import GAPPY_ORDERS_SQL, day_text, gappy_orders, query, rounded, table, time_text, union_sql
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -80,14 +80,20 @@ def ratio_of_sums(spark, sf):
 @query("pivot_count", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", "
        "count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1")
 def pivot_count(spark, sf):
-    return rollups.crosstab(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], fill=0)
+    return rollups.crosstab(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", fill=0)
+
+
+@query("pivot_count_gaps", f"WITH {GAPPY_ORDERS_SQL} SELECT coalesce(o_orderpriority, 'none') AS o_orderpriority, " + ", ".join(
+    f"count(*) FILTER (WHERE o_orderstatus = '{x}') AS \"{x}\"" for x in "FOP") + ", count(*) FILTER (WHERE o_orderstatus IS NULL) AS \"null\" FROM gappy GROUP BY 1")
+def pivot_count_gaps(spark, sf):
+    return rollups.crosstab(gappy_orders(spark, sf), "o_orderpriority", "o_orderstatus", fill=0).na.fill("none", ["o_orderpriority"])
 
 
 @query("pivot_mean", "SELECT o_orderpriority, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS \"F\", "
        "round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 4) AS \"O\", "
-       "round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'X'), 4) AS \"X\" FROM orders GROUP BY 1")
+       "round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 4) AS \"P\" FROM orders GROUP BY 1")
 def pivot_mean(spark, sf):
-    return rounded(rollups.crosstab(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "X"], "mean", "o_totalprice"))
+    return rounded(rollups.crosstab(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", fn="mean", val="o_totalprice"))
 
 
 MONTH = "strftime(date_trunc('month', {}), '%Y-%m-%d')"
@@ -104,7 +110,7 @@ def monthly_rollup(spark, sf):
     f"round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '{p}'), 0), 2) AS \"{p}\"" for p in PRIORITIES)
     + " FROM orders GROUP BY 1")
 def monthly_by_category(spark, sf):
-    out = rollups.month_by_category(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "o_orderpriority", PRIORITIES)
+    out = rollups.month_by_category(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "o_orderpriority")
     return rounded(out, 2, *PRIORITIES).withColumn("month", day_text("month"))
 
 
@@ -221,9 +227,10 @@ def union_feeds(spark, sf):
 
 
 @query("union_same_header", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'
-UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'""")
+UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'
+UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'""")
 def union_same_header(spark, sf):
     o = table(spark, sf, "orders")
     sheets = [o.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), o.select("o_orderkey"),
-              o.where("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice")]
+              *[o.where(F.col("o_orderstatus") == x).select("o_orderkey", "o_totalprice") for x in ("P", "O")]]
     return paging.union_same_header(sheets)[0]

@@ -86,7 +86,8 @@ def count_changed_cells(spark, sf):
 
 
 @query("scan_issues", f"WITH {TAINTED_SQL}" + union_sql([
-    f"SELECT doc_id, '{c}' AS \"column\", '{issue}' AS issue, substring({c}, 1, 100) AS excerpt FROM tainted WHERE {_match(c, p)}"
+    f"SELECT doc_id, '{c}' AS \"column\", '{issue}' AS issue, regexp_extract({c}, '{p}') AS excerpt, "
+    f"CAST(position(regexp_extract({c}, '{p}') IN {c}) AS INTEGER) AS position FROM tainted WHERE {_match(c, p)}"
     for c in ("lang", "text")
     for issue, p in (("formula_detected", r"^[=+\-@]"), ("script_detected", SCRIPT), ("sql_injection_detected", PAIR))]))
 def scan_issues(spark, sf):

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tablesmith.functions.text import INTEGER, NUMBER, number_or_null
+from tablesmith.functions.text import as_type, joined_type, type_tests
 from tablesmith.schema import nan_to_null, sanitize_columns, trim_columns
+from tablesmith.session import scratch_path
 
 # Texts that mean "missing" in delimited files.
 MISSING_TEXTS = [
@@ -47,51 +53,69 @@ def sniff_delimiter(spark: SparkSession, path: str, candidates: list[str] = DELI
     return pick_delimiter(_head(spark, path), candidates)
 
 
-def _text_traits(spark: SparkSession, path: str) -> tuple[bool, bool]:
-    """One pass over the whole text: is it UTF-8, and do quoted fields span lines?"""
+def _file(df: DataFrame) -> DataFrame:
+    """``df`` with the path of each row's file as readers take it."""
+    return df.withColumn("_file", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
+def file_traits(spark: SparkSession, path: str) -> dict[tuple[bool, bool], list[str]]:
+    """Files by (valid UTF-8, quoted fields span lines), found in one pass over all bytes of all files.
+
+    One row per file reaches the driver, which lists the files in any case.
+    """
+    text = _file(spark.read.text(path))
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    row = spark.read.text(path).agg(
-        F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)),
-        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()
-    return not row[0], row[1]
+    rows = text.groupBy("_file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("spans")).collect()
+    groups: dict[tuple[bool, bool], list[str]] = {}
+    for r in sorted(rows):
+        groups.setdefault((r["utf8"], r["spans"]), []).append(r["_file"])
+    return groups
 
 
 def _typed(df: DataFrame) -> DataFrame:
-    """Give each text column the narrowest type that all its values fit: long, double, boolean."""
+    """Give each text column the narrowest type that keeps all its values: bigint, decimal(38,0), double, boolean, else text."""
     def tests(c):
-        v = F.col(c)
-        return (
-            F.count(v), F.count_if(~F.rlike(v, F.lit(INTEGER)) | (v.isNotNull() & F.trim(v).try_cast("bigint").isNull())), F.count_if(~F.rlike(v, F.lit(NUMBER))),
-            F.count_if(~v.isin("True", "False", "true", "false", "TRUE", "FALSE")))
+        v = F.col(f"`{c}`")
+        return [*type_tests(v), F.count_if(~v.isin("True", "False", "true", "false", "TRUE", "FALSE"))]
 
     row = df.agg(*[e.alias(f"t{j}_{i}") for i, c in enumerate(df.columns) for j, e in enumerate(tests(c))]).first()
     casts = {}
     for i, c in enumerate(df.columns):
-        n, no_long, no_double, no_bool = (row[f"t{j}_{i}"] for j in range(4))
-        if n and not no_long:
-            casts[c] = F.expr(f"try_cast(trim(`{c}`) AS bigint)")
-        elif not n or not no_double:
-            casts[c] = number_or_null(c)
+        *counts, no_bool = (row[f"t{j}_{i}"] for j in range(5))
+        kind = joined_type(counts)
+        if kind != "string":
+            casts[c] = as_type(c, kind)
         elif not no_bool:
             casts[c] = F.lower(c) == "true"
     return df.withColumns(casts) if casts else df
 
 
+def _raw(spark: SparkSession, path, sep: str, encoding: str, multiline: bool) -> DataFrame:
+    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False, quote='"', escape='"', multiLine=multiline)
+    return df.toDF(*[c.strip() for c in df.columns])
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, schema: T.StructType | None = None,
                    missing: list[str] = MISSING_TEXTS, multiline: bool | None = None) -> DataFrame:
     """Delimited text with a header. The texts in ``missing`` become NULL before types are decided.
 
-    Without ``encoding`` and ``multiline`` a pass over the text decides them: UTF-8 unless it is not
-    valid (then Latin-1), and unsplittable multi-line parsing only if quoted fields span lines. With a
-    schema there is no type pass either.
+    Without ``encoding`` and ``multiline`` a pass over the text decides them for every file on its own: UTF-8 unless
+    the file is not valid (then Latin-1), and unsplittable multi-line parsing only where quoted fields span lines. Files of
+    a kind are one scan, and the scans are put together by column name; a column that a file lacks is NULL there. With
+    a schema there is no type pass.
     """
     if encoding is None or multiline is None:
-        utf8, spans = _text_traits(spark, path)
-        encoding = encoding or ("UTF-8" if utf8 else "ISO-8859-1")
-        multiline = spans if multiline is None else multiline
-    raw = spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False, quote='"', escape='"', multiLine=multiline)
-    blanked = raw.select(*[
-        F.when(~F.col(f"`{c}`").isin(missing), F.col(f"`{c}`")).alias(c.strip()) for c in raw.columns])
+        groups: dict[tuple[str, bool], list[str]] = {}
+        for (utf8, spans), files in file_traits(spark, path).items():
+            kind = encoding or ("UTF-8" if utf8 else "ISO-8859-1"), spans if multiline is None else multiline
+            groups.setdefault(kind, []).extend(files)
+    else:
+        groups = {(encoding, multiline): []}
+    if len(groups) < 2:
+        raw = _raw(spark, path, sep, *next(iter(groups), ("UTF-8", False)))
+    else:
+        raw = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [_raw(spark, files, sep, *kind) for kind, files in sorted(groups.items())])
+    blanked = raw.select(*[F.when(~F.col(f"`{c}`").isin(missing), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     if schema is None:
         return _typed(blanked)
     return blanked.select(*[F.trim(F.col(f.name)).cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType)
@@ -106,16 +130,67 @@ def read_tsv(spark: SparkSession, path: str, **kw) -> DataFrame:
     return read_delimited(spark, path, "\t", **kw)
 
 
+class BrokenRecords(ValueError):
+    """A file holds text that is no JSON."""
+
+
+def split_records(text: str, name: str = "text") -> Iterator[str]:
+    """The JSON values that stand one after the other in ``text``, arrays taken apart, each on one line.
+
+    Follows brackets and strings, so layout means nothing. Broken text is an error that names the place.
+    """
+    scan, gap = json.JSONDecoder().raw_decode, re.compile(r"\s*")
+    at, inside, wants = gap.match(text).end(), False, True
+    while at < len(text):
+        c = text[at]
+        if not inside and c == "[":
+            inside, at, wants = True, gap.match(text, at + 1).end(), True
+            if text[at:at + 1] == "]":
+                inside, at = False, gap.match(text, at + 1).end()
+            continue
+        if inside and not wants:
+            if c == ",":
+                at, wants = gap.match(text, at + 1).end(), True
+                continue
+            if c == "]":
+                inside, at, wants = False, gap.match(text, at + 1).end(), True
+                continue
+            raise BrokenRecords(f"{name}: expected , or ] at character {at}")
+        try:
+            _, end = scan(text, at)
+        except ValueError as e:
+            raise BrokenRecords(f"{name}: no JSON value at character {at}: {e}") from None
+        # Line breaks stand between tokens only; inside strings JSON has them escaped.
+        yield re.sub(r"[\r\n]+", " ", text[at:end])
+        at, wants = gap.match(text, end).end(), not inside
+    if inside:
+        raise BrokenRecords(f"{name}: the array does not end")
+
+
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Arrays of records or one record per line; a document spread over lines is parsed whole."""
-    first = next((line for line in _head(spark, path) if line.strip()), "").strip()
-    try:
-        json.loads(first)
-        spread = False
-    except ValueError:
-        spread = len(first) <= SNIFF_BYTES
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(path, multiLine=spread)
+    """Records as JSON: one or many arrays, values one after the other or spread over lines, decided for every file on its own.
+
+    Files whose every line is a value of its own are read line by line, in parallel. Any other file is one task, which
+    splits it into records; these are written to the shared folder and read like the others. A file that is no JSON
+    fails the read with its name and the place.
+    """
+    lines = _file(spark.read.text(path)).where(F.trim("value") != "")
+    rows = lines.groupBy("_file").agg(F.bool_and(F.try_parse_json("value").isNotNull()).alias("by_line")).collect()
+    good, spread = [r["_file"] for r in rows if r["by_line"]], [r["_file"] for r in rows if not r["by_line"]]
+    if spread:
+        def split(batches):
+            for batch in batches:
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    records = split_records(text.removeprefix("\ufeff"), name)
+                    while part := list(itertools.islice(records, 1000)):
+                        yield pa.record_batch([pa.array(part, pa.string())], names=["value"])
+
+        whole = _file(spark.read.text(sorted(spread), wholetext=True)).select("_file", "value").repartition(len(spread), "_file")
+        out = scratch_path(spark, "records")
+        whole.mapInArrow(split, "value string").write.text(out)
+        good.append(out)
+    reader = (spark.read if schema is None else spark.read.schema(schema)).option("mode", "FAILFAST")
+    return reader.json(sorted(good) if spread else path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
