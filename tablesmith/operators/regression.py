@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablesmith.operators.features import Scaler, fit_scaler, fold_column, split_column
 from tablesmith.operators.quality import validate_training
@@ -72,15 +72,25 @@ class Moments:
         return self.centre + self.sums / self.n
 
 
-def moments(df: DataFrame, cols: Sequence[str], by: Column | None = None, direct: int = 12) -> dict:
-    """Moments of the complete rows, per value of ``by`` (folds or train/test: a handful)."""
-    cols = list(cols)
-    values = df.select((F.lit(0) if by is None else by).alias("_by"), *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    first = values.agg(*[F.avg(c) for c in cols]).first()
+def _number(c: str) -> Column:
+    """The column as a double, NaN as NULL."""
+    return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+
+
+def moments(df: DataFrame, cols: Sequence[str], by: Column | None = None, direct: int = 12, learn=None) -> dict:
+    """Moments of all rows with a target (the last of ``cols``), per value of ``by`` (folds or train/test: a handful).
+
+    A missing feature counts as its column's mean over all rows with a target, or over those whose ``by`` is
+    ``learn``. Everything is measured from these means, so a missing value just adds nothing to sums and products.
+    """
+    names, cols = list(cols), [f"c{i}" for i in range(len(cols))]
+    values = df.select((F.lit(0) if by is None else by).alias("_by"), *[_number(c).alias(n) for n, c in zip(cols, names)]).where(F.col(cols[-1]).isNotNull())
+    known = values if learn is None else values.where(F.col("_by") == learn)
+    first = known.agg(*[F.avg(c) for c in cols]).first()
     centre = np.array([v or 0.0 for v in first], dtype=float)
     k = len(cols)
     if k <= direct:
-        dev = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, centre)]
+        dev = [F.coalesce(F.col(c) - F.lit(float(m)), F.lit(0.0)) for c, m in zip(cols, centre)]
         upper = [(i, j) for i in range(k) for j in range(i, k)]
         rows = values.groupBy("_by").agg(
             F.count("*").alias("n"), *[F.sum(d).alias(f"s{i}") for i, d in enumerate(dev)],
@@ -95,7 +105,7 @@ def moments(df: DataFrame, cols: Sequence[str], by: Column | None = None, direct
         acc: dict = {}
         for pdf in batches:
             for key, part in pdf.groupby("_by"):
-                x = part[cols].to_numpy() - centre
+                x = np.nan_to_num(part[cols].to_numpy(dtype=float) - centre, nan=0.0)
                 x = np.column_stack([np.ones(len(x)), x])
                 acc[key] = acc.get(key, 0.0) + x.T @ x
         for key, g in acc.items():
@@ -259,7 +269,10 @@ def residual_diagnostics(df: DataFrame, residual: str = "residual") -> DataFrame
 
 def cross_validate(df: DataFrame, target: str, features: Sequence[str], key: str, folds: int = 5, seed: int = 42,
                    config: RegressionConfig | None = None) -> DataFrame:
-    """R2 of each held-out fold, with mean and population deviation; plain least squares by default."""
+    """R2 of each held-out fold, with mean and population deviation; plain least squares by default.
+
+    All rows with a target take part; missing features count as their means, as in ``fit``.
+    """
     parts = moments(df, [*features, target], fold_column(key, folds, seed))
     whole = total(parts)
     scores = []
@@ -308,31 +321,40 @@ def select_rfe(df: DataFrame, features: Sequence[str], target: str, k: int = 10)
 
 def compare_models(df: DataFrame, target: str, features: Sequence[str], configs: dict[str, RegressionConfig], key: str,
                    test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Train and test quality of several models: one pass fits them all, a second one measures them."""
+    """Train and test quality of several models: one pass fits them all, a second one measures them.
+
+    All rows with a target take part, missing features count as their training means. ``scaling`` of a config is
+    standard, minmax, robust or none; the scaler learns from training rows. ``best`` marks the highest test R2, the first
+    by name among equals.
+    """
     features = list(features)
     side = split_column(key, test, seed)
-    parts = moments(df, [*features, target], side)
-    train = parts["train"]
-    spread = np.sqrt(np.diag(train.covariance()))[:-1]
+    train = moments(df, [*features, target], side, learn="train")["train"]
+    means = dict(zip(features, train.centre))
+    filled = df.select(side.alias("_side"), _number(target).alias("_y"), *[F.coalesce(_number(f), F.lit(float(means[f]))).alias(f"_f{i}") for i, f in enumerate(features)])
+    filled = filled.where("_y IS NOT NULL")
+    spreads: dict[str, np.ndarray] = {"standard": np.sqrt(np.maximum(np.diag(train.covariance()), 0.0))[:-1]}
     fitted = {}
     for name, config in configs.items():
-        if config.scaling == "standard":
-            w, b = solve(_scaled(train, spread), config)
-            fitted[name] = (w / np.where(spread > 0, spread, 1.0), b)
-        elif config.scaling is None:
+        if config.scaling is None:
             fitted[name] = solve(train, config)
-        else:
-            raise ValueError("comparison supports no scaling or standard scaling")
+            continue
+        if config.scaling not in spreads:
+            scaler = fit_scaler(filled.where("_side = 'train'"), [f"_f{i}" for i in range(len(features))], config.scaling)
+            spreads[config.scaling] = np.array([scaler.spread.get(f"_f{i}", 1.0) for i in range(len(features))])
+        spread = spreads[config.scaling]
+        w, b = solve(_scaled(train, spread), config)
+        fitted[name] = (w / np.where(spread > 0, spread, 1.0), b)
 
     def error(w, b) -> Column:
-        out = F.col(target) - F.lit(float(b))
-        for f, c in zip(features, w):
-            out = out - F.lit(float(c)) * F.col(f)
+        out = F.col("_y") - F.lit(float(b))
+        for i, c in enumerate(w):
+            out = out - F.lit(float(c)) * F.col(f"_f{i}")
         return out
 
     names = list(fitted)
-    measured = df.select(side.alias("_side"), target, *features).na.drop().groupBy("_side").agg(
-        F.var_pop(target).alias("_v"), *[e for i, n in enumerate(names) for e in (
+    measured = filled.groupBy("_side").agg(
+        F.var_pop("_y").alias("_v"), *[e for i, n in enumerate(names) for e in (
             F.avg(error(*fitted[n]) ** 2).alias(f"mse{i}"), F.avg(F.abs(error(*fitted[n]))).alias(f"mae{i}"))])
     cells = F.array(*[F.struct(
         F.lit(n).alias("model"), F.col(f"mse{i}").alias("mse"), F.col(f"mae{i}").alias("mae")) for i, n in enumerate(names)])
@@ -343,7 +365,8 @@ def compare_models(df: DataFrame, target: str, features: Sequence[str], configs:
         on("train", r2).alias("train_r2"), on("test", r2).alias("test_r2"), on("train", F.col("mse")).alias("train_mse"),
         on("test", F.col("mse")).alias("test_mse"), on("test", F.col("mae")).alias("test_mae"))
     gap = F.col("train_r2") - F.col("test_r2")
-    return wide.withColumn("overfit_gap", gap).withColumn("overfits", F.abs(gap) > 0.1)
+    top = Window.orderBy(F.desc_nulls_last("test_r2"), "model")  # one row per model
+    return wide.withColumn("overfit_gap", gap).withColumn("overfits", F.abs(gap) > 0.1).withColumn("best", F.row_number().over(top) == 1)
 
 
 def best_model(df: DataFrame, metric: str = "test_r2", name: str = "model") -> DataFrame:

@@ -284,7 +284,8 @@ m AS (SELECT model, 1 - avg(r*r) FILTER (WHERE side = 'train') / var_pop(y) FILT
   avg(r*r) FILTER (WHERE side = 'train') AS train_mse, avg(r*r) FILTER (WHERE side = 'test') AS test_mse,
   avg(abs(r)) FILTER (WHERE side = 'test') AS test_mae FROM e GROUP BY model)
 SELECT model, round(train_r2, 4) AS train_r2, round(test_r2, 4) AS test_r2, round(train_mse, 1) AS train_mse, round(test_mse, 1) AS test_mse,
-round(test_mae, 3) AS test_mae, round(train_r2 - test_r2, 4) AS overfit_gap, abs(train_r2 - test_r2) > 0.1 AS overfits FROM m""")
+round(test_mae, 3) AS test_mae, round(train_r2 - test_r2, 4) AS overfit_gap, abs(train_r2 - test_r2) > 0.1 AS overfits,
+row_number() OVER (ORDER BY test_r2 DESC, model) = 1 AS best FROM m""")
 def compare_models(spark, sf):
     out = regression.compare_models(keyed_lines(spark, sf), Y, X, {
         "linear": RegressionConfig("linear"), "ridge": RegressionConfig("ridge", 1.0)}, "k")
@@ -298,6 +299,80 @@ def compare_models_scaled(spark, sf):
         "Lasso Regression": RegressionConfig("lasso", 0.1, scaling="standard")}, "k"))
 
 
+# --- the same on rows with gaps -------------------------------------------------------------------
+
+
+def gappy_lines(spark, sf):
+    """Lines with missing prices, discounts that are NaN, and missing targets."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    return keyed_lines(spark, sf).withColumns({
+        X[0]: F.when(p % 7 != 0, F.col(X[0])), X[1]: F.when(p % 5 == 0, F.lit(float("nan"))).otherwise(F.col(X[1])), Y: F.when(s % 11 != 0, F.col(Y))})
+
+
+def _filled_sql(means_from: str = "true") -> str:
+    """``keyed`` rows with a target, gaps filled with the means of the rows that ``means_from`` selects."""
+    side = "CASE WHEN substring(md5('42:' || k), 1, 4) < '3333' THEN 'test' ELSE 'train' END AS side"
+    fold = "CAST('0x' || substring(md5('42:' || k), 5, 4) AS INTEGER) % 5 AS fold"
+    fill = ", ".join(f"coalesce({c}, avg({c}) FILTER (WHERE {means_from}) OVER ()) AS {c}" for c in X)
+    return f"""WITH {KEYED_SQL}, g AS (SELECT k, {side}, {fold}, CASE WHEN l_partkey % 7 <> 0 THEN {X[0]} END AS {X[0]},
+CASE WHEN l_partkey % 5 <> 0 THEN {X[1]} END AS {X[1]}, {X[2]}, {Y} FROM keyed WHERE l_suppkey % 11 <> 0),
+f AS (SELECT k, side, fold, {fill}, {Y} FROM g)"""
+
+
+@query("cross_validate_gaps", f"{_filled_sql()}, r AS ({_cv_sql(['0.0'])}) SELECT CAST(fold AS INTEGER) AS fold, round(r2, 4) AS r2, "
+       "round((SELECT avg(r2) FROM r), 4) AS cv_mean, round((SELECT stddev_pop(r2) FROM r), 4) AS cv_std FROM r")
+def cross_validate_gaps(spark, sf):
+    return rounded(regression.cross_validate(gappy_lines(spark, sf), Y, X, "k"))
+
+
+@query("grid_search_gaps", f"{_filled_sql()}, r AS ({_cv_sql(['0.1', '1.0', '10.0', '100.0'])}), m AS (SELECT alpha, avg(r2) AS mean_r2 FROM r GROUP BY alpha) "
+       "SELECT CAST(alpha AS DOUBLE) AS alpha, round(mean_r2, 4) AS mean_r2, mean_r2 = (SELECT max(mean_r2) FROM m) AS best FROM m")
+def grid_search_gaps(spark, sf):
+    return rounded(regression.grid_search(gappy_lines(spark, sf), Y, X, "ridge", "k").drop("l1_ratio"), 4, "mean_r2")
+
+
+@query("select_rfe_gaps", f"""{_filled_sql()}, s AS ({_sums_sql('f')}), {_solve_sql('sol', 's')},
+w AS (SELECT '{X[0]}' AS feature, abs(wa) AS v FROM sol UNION ALL SELECT '{X[1]}', abs(wb) FROM sol UNION ALL SELECT '{X[2]}', abs(wc) FROM sol)
+SELECT feature, CAST(CASE WHEN v = (SELECT min(v) FROM w) THEN 2 ELSE 1 END AS INTEGER) AS rank, v > (SELECT min(v) FROM w) AS selected FROM w""")
+def select_rfe_gaps(spark, sf):
+    return regression.select_rfe(gappy_lines(spark, sf), X, Y, 2)
+
+
+def _measured_sql(fits: str) -> str:
+    """Quality of the models in ``sol`` on both sides; ``fits`` are the tables that make it."""
+    return f"""{_filled_sql("side = 'train'")}, {fits},
+e AS (SELECT model, side, {Y} AS y, {Y} - w0 - wa*{X[0]} - wb*{X[1]} - wc*{X[2]} AS r FROM f, sol),
+m AS (SELECT model, 1 - avg(r*r) FILTER (WHERE side = 'train') / var_pop(y) FILTER (WHERE side = 'train') AS train_r2,
+  1 - avg(r*r) FILTER (WHERE side = 'test') / var_pop(y) FILTER (WHERE side = 'test') AS test_r2,
+  avg(r*r) FILTER (WHERE side = 'test') AS test_mse FROM e GROUP BY model)
+SELECT model, round(train_r2, 4) AS train_r2, round(test_r2, 4) AS test_r2, round(test_mse, 1) AS test_mse,
+row_number() OVER (ORDER BY test_r2 DESC, model) = 1 AS best FROM m"""
+
+
+def _ridge_scaled_sql(name: str, spreads: list[str]) -> str:
+    """Ridge with alpha n / 2 on scaled features: the penalty of each coefficient grows with its squared spread."""
+    ds = [f"(0.5 * power({x}, 2))" for x in spreads]
+    m = [[f"(aa+{ds[0]})", "ab", "ac"], ["ab", f"(bb+{ds[1]})", "bc"], ["ac", "bc", f"(cc+{ds[2]})"]]
+    ws = [f"{_det([[rhs if k == j else m[r][k] for k in range(3)] for r, rhs in enumerate(('az', 'bz', 'cz'))])} / {_det(m)} AS {w}" for j, w in enumerate(("wa", "wb", "wc"))]
+    return f"{name} AS (SELECT *, mz - wa*ma - wb*mb - wc*mc AS w0 FROM (SELECT *, {', '.join(ws)} FROM s, q))"
+
+
+_SPREADS = ", ".join(
+    f"stddev_pop({c}) AS sd{i}, max({c}) - min({c}) AS mm{i}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS rb{i}" for i, c in enumerate(X))
+_KINDS = {"standard": "sd", "minmax": "mm", "robust": "rb"}
+
+
+@query("compare_models_gaps", _measured_sql(f"s AS ({_sums_sql('f', "side = 'train'")}), q AS (SELECT {_SPREADS} FROM f WHERE side = 'train'), {_solve_sql('lin', 's')}, "
+       + ", ".join(_ridge_scaled_sql(k, [f"{p}{i}" for i in range(3)]) for k, p in _KINDS.items())
+       + ", sol AS (SELECT 'linear' AS model, w0, wa, wb, wc FROM lin" + "".join(f" UNION ALL SELECT 'ridge {k}', w0, wa, wb, wc FROM {k}" for k in _KINDS) + ")"))
+def compare_models_gaps(spark, sf):
+    lines = gappy_lines(spark, sf)
+    n = lines.where(F.col(Y).isNotNull() & (features.split_column("k") == "train")).count()
+    configs = {"linear": RegressionConfig("linear")} | {f"ridge {k}": RegressionConfig("ridge", n / 2, scaling=k) for k in _KINDS}
+    out = regression.compare_models(lines, Y, X, configs, "k").select("model", "train_r2", "test_r2", "test_mse", "best")
+    return rounded(rounded(out, 1, "test_mse"), 4, "train_r2", "test_r2")
+
+
 # --- clustering and classification --------------------------------------------------------------
 
 RFM = ["total", "n_orders", "c_acctbal", "mean_price"]

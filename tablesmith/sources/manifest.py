@@ -46,7 +46,7 @@ def file_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTE
     large = files.where(F.col("length") > whole_bytes).select(*facts)
     read = large.select("path").repartition("path").mapInArrow(_pieces, "path string, sha256 string, head binary")
     # The source gives no rows for empty files; their names come from its listing.
-    listed = spark.createDataFrame([(urllib.parse.unquote(f),) for f in files.inputFiles()], "path string").join(files.select("path"), "path", "left_anti")
+    listed = spark.createDataFrame([(urllib.parse.unquote(f).replace("file:///", "file:/"),) for f in files.inputFiles()], "path string").join(files.select("path"), "path", "left_anti")
     empty = listed.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"), file_extension("path").alias("extension"), F.lit(0).cast("long").alias("size"),
         F.lit(None).cast("timestamp").alias("modified"), F.lit(hashlib.sha256(b"").hexdigest()).alias("sha256"), F.lit(b"").alias("head"))
