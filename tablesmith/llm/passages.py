@@ -48,13 +48,23 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return _mixed(out)
 
 
-def window_runs(text: bytes | None, n: int = N, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+class WordHashes(dict):
+    """Hashes of words, each worked out once for as long as there is room."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def window_runs(text: bytes | None, n: int = N, anchor: int = ANCHOR, known: WordHashes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """(anchor, first start, number of windows) of each run of windows, and 32 bits of each window's hash."""
     words = (text or b"").split()
     if len(words) < n:
         return None
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w) for w in words], dtype=np.uint64)
+    known = WordHashes() if known is None else known
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     small = _grams(h, anchor)
     at = sliding_window_view(small, n - anchor + 1).argmin(axis=1) + np.arange(len(h) - n + 1)
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
@@ -66,11 +76,12 @@ _RUN = "anchor bigint, salt int, doc bigint, shard int, start int, rest binary"
 
 def _runs(hot: np.ndarray, n: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             docs, shards, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
             held, size = [], 0
             for i, (doc, shard) in enumerate(zip(docs, shards)):
-                got = window_runs(texts[i].as_py(), n, anchor)
+                got = window_runs(texts[i].as_py(), n, anchor, known)
                 if got is None:
                     continue
                 a, starts, counts, rest = got
@@ -184,6 +195,14 @@ def _cut_passages(n: int):
     return run
 
 
+#: Size of the table of word pairs; other pairs in the same place only cost time.
+_PAIRS = 1 << 22
+
+
+def _pair_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * 0x9E3779B1 + b * 0x85EBCA77 >> 7) & (_PAIRS - 1)
+
+
 class PassageShard:
     """The passages of one document shard as an automaton over word numbers."""
 
@@ -209,8 +228,23 @@ class PassageShard:
                 places.sort(key=lambda p: (-len(self.passages[p[0]][1]), p))
                 self.automaton.add_word(key, places)
             self.automaton.make_automaton()
+            keys = np.array(list(self.tiles), dtype=np.int64)
+            self.pairs = np.zeros(_PAIRS, dtype=np.uint8)
+            self.pairs[_pair_places(keys[:, :-1], keys[:, 1:])] = 1
         self.tiles = {}
 
+    def stretches(self, ids: list[int]) -> list[tuple[int, int]]:
+        """Where a tile can lie: runs of words that follow each other in some tile, looked up in a table of word pairs."""
+        at = np.array(ids, dtype=np.int64)
+        good = self.pairs[_pair_places(at[:-1], at[1:])].tobytes()
+        least, found, start = self.tile - 1, [], 0
+        while (start := good.find(b"\x01" * least, start)) >= 0:
+            end = good.find(b"\x00", start)
+            end = len(good) if end < 0 else end
+            found.append((start, end + 1))
+            start = end
+        return found
+
     def covered(self, doc: int, words: list[bytes]) -> bytearray:
         """1 for each word in a stretch of at least n words that a passage of a smaller document shares.
 
@@ -222,9 +256,13 @@ class PassageShard:
         if self.automaton is None or size < self.n:
             return gone
         get, passages, around = self.numbers.get, self.passages, self.n - self.tile
-        ids = tuple([get(w, 0) for w in words])
+        listed = [get(w, 0) for w in words]
+        where = self.stretches(listed)
+        if not where:
+            return gone
+        ids = tuple(listed)
         reached: dict[tuple[int, int], int] = {}
-        for end, places in self.automaton.iter(ids):
+        for end, places in ((s + i, p) for s, e in where for i, p in self.automaton.iter(ids[s:e])):
             begin = end - self.tile + 1
             low, high = max(begin - around, 0), end + around + 1
             for passage, offset in places:
