@@ -9,6 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablesmith.llm.common import packed, unpacked
+
+# How many characters the account numbers of a country have.
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21,
+    "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26}
+#: A country's number has its length, whatever follows; other countries' numbers go on as far as they can.
+_IBAN = (
+    r"(?<![A-Za-z0-9])(?:" + "|".join(rf"{c}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items())
+    + r"|(?!" + "|".join(IBAN_LENGTHS) + r")[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 #: kind: (pattern, score before context, words that raise it, needs context to count)
 #: Base kinds always count; the score tells how sure a span is.
 BASE = {
@@ -18,7 +29,7 @@ BASE = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.7),
 }
 ADDED = {
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.7),
+    "iban": (_IBAN, 0.7),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3),
     "tel": (r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9-])", 0.3),
 }
@@ -139,10 +150,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; of overlapping spans the earliest one names it.
 
-    A null text stays null. The columns stay as they are.
+    A null text stays null. All other columns stay as they are, whatever their names.
     """
-    found = with_spans(docs, text_col)
-    text = F.col(text_col)
+    found = with_spans(packed(docs, text=F.col(text_col)))
+    text = F.col("text")
     ordered = F.array_sort(F.transform(
         F.concat(*[F.col(f"_{k}") for k in KINDS]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
@@ -153,4 +164,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">"))))).alias("out"),
             F.greatest(a["at"], s["end"]).alias("at")),
         lambda a: F.concat(F.concat_ws("", a["out"]), F.substring(text, a["at"] + 1, 2147483647)))
-    return found.withColumn(text_col, F.when(F.size(ordered) > 0, walked).otherwise(text)).select(*docs.columns)
+    return unpacked(found, docs.columns, **{text_col: F.when(F.size(ordered) > 0, walked).otherwise(text)})
