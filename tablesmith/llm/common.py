@@ -39,6 +39,29 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The caller's row as one struct ``row``, so that none of its names meets ``more`` or a name used further on."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The caller's columns back in order, those in ``changed`` with new values."""
+    return rows.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in columns])
+
+
+def without_rows(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """``docs`` without the rows in ``gone`` and with one of each of those in ``again``, both (doc_id, h: text key)."""
+
+    def among(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("some_id"), F.col("h").alias("some_h"))
+        return rows.join(some, F.col("id").eqNullSafe(F.col("some_id")) & F.col("h").eqNullSafe(F.col("some_h")), how)
+
+    kept = among(packed(docs, id=F.col(id_col), h=text_key(F.col(text_col))), gone, "left_anti")
+    if not again.isEmpty():
+        kept = among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates(["id", "h"]))
+    return unpacked(kept, docs.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of ``edges``: every node of an edge with ``root``, the same for a whole component.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablesmith.llm.common import lower_ascii, text_key
+from tablesmith.llm.common import lower_ascii, packed, text_key, unpacked
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
@@ -96,18 +96,22 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
 
 def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", n: int = 10, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated documents, or (``remove="spans"``) without the hit words in their texts."""
+    """``docs`` without the contaminated documents, or (``remove="spans"``) without the hit words in their texts.
+
+    Null and empty texts have no words and stay as they are, null ids too; repeated rows share their fate. Long texts are
+    scanned whole. An empty table gives an empty one, and without items all rows stay. Further columns may have any name.
+    """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
     found = hits(docs, items, n, id_col, text_col).select(F.col("_id").alias("_hid"), F.col("_h").alias("_hh"), F.col("spans").alias("_spans"))
-    same = F.col(id_col).eqNullSafe(F.col("_hid")) & (text_key(F.col(text_col)) == F.col("_hh"))
+    rows = packed(docs, id=F.col(id_col), h=text_key(F.col(text_col)), text=F.col(text_col))
+    same = F.col("id").eqNullSafe(F.col("_hid")) & (F.col("h") == F.col("_hh"))
     if remove == "documents":
-        return docs.join(found, same, "left_anti")
-    text = F.col(text_col)
+        return unpacked(rows.drop("text").join(found, same, "left_anti"), docs.columns)
+    text = F.col("text")
     kept = F.transform(
         F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0)),
         lambda w, i: F.when(F.exists(F.col("_spans"), lambda s: (s["start"] <= i) & (i < s["end"])), F.lit("")).otherwise(w))
     pieces = F.split(text, RAW_WORD, -1)
     cut = F.concat_ws("", F.zip_with(pieces, kept, lambda p, w: F.concat(p, F.coalesce(w, F.lit("")))))
-    joined = docs.join(found, same, "left").withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cut))
-    return joined.select(*docs.columns)
+    return unpacked(rows.join(found, same, "left"), docs.columns, **{text_col: F.when(F.col("_spans").isNull(), text).otherwise(cut)})

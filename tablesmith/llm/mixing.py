@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablesmith.llm.common import packed
+
 MARGINS = ("source", "lang", "topic")
 SWEEPS = 20
 #: More cells than this are an error: marginals are meant to be short lists.
@@ -26,10 +28,9 @@ def topic(text: Column) -> Column:
 def _described(docs: DataFrame, id_col: str, text_col: str, topic_of) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = {m: F.coalesce(F.col(m).cast("string"), F.lit("unknown")) for m in MARGINS[:2]}
-    return docs.withColumns({
-        "_source": named["source"], "_lang": named["lang"], "_topic": topic_of(text),
-        "_tokens": F.regexp_count(text, F.lit(WORD)).cast("long"),
-        "_key": F.coalesce(F.col(id_col).cast("string"), F.md5(text))})
+    return packed(
+        docs, _source=named["source"], _lang=named["lang"], _topic=topic_of(text), _tokens=F.regexp_count(text, F.lit(WORD)).cast("long"),
+        _key=F.coalesce(F.col(id_col).cast("string"), F.md5(text)))
 
 
 def rake(cells: list[tuple], targets: dict[str, dict] | None = None, power: float = 0.5, sweeps: int = SWEEPS) -> list[float]:
@@ -82,6 +83,6 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, id_col: str = "
         "_s string, _l string, _t string, _weight double, _probability double, _repeat double")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_key"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     same = (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t"))
-    return (
-        described.drop("_weight", "_probability", "_repeat", "_kept", "_s", "_l", "_t").join(F.broadcast(table), same)
-        .withColumn("_kept", draw < F.col("_probability")).drop("_s", "_l", "_t", "_key"))
+    added = ["_source", "_lang", "_topic", "_tokens", "_weight", "_probability", "_repeat"]
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in {*added, "_kept"}]
+    return described.join(F.broadcast(table), same).select(*own, *added, (draw < F.col("_probability")).alias("_kept"))

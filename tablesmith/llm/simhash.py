@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tablesmith.llm.common import components, text_key, written
+from tablesmith.llm.common import components, lower_ascii, text_key, without_rows, written
 
 BITS = 64
 #: Shards with more fingerprints are dealt a second time.
@@ -205,12 +205,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = near.where(~F.col("stays")).select("doc_id", "h").distinct()
     again = near.where("stays").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
 
-    def among(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
-        some = some.select(F.col("doc_id").alias("_some_id"), F.col("h").alias("_some_h"))
-        return rows.join(some, F.col(id_col).eqNullSafe(F.col("_some_id")) & (F.col("_h") == F.col("_some_h")), how)
-
-    kept = among(docs.withColumn("_h", key), gone, "left_anti")
-    if again.isEmpty():
-        return kept.drop("_h")
-    single, twice = among(kept, again, "left_anti"), among(kept, again, "left_semi")
-    return single.unionByName(twice.dropDuplicates([id_col, "_h"])).drop("_h")
+    return without_rows(docs, id_col, text_col, gone, again)

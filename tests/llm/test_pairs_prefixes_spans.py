@@ -271,3 +271,32 @@ def test_toxic_query_uses_no_held_out_label(spark, sf, monkeypatch):
     fewer = as_rows(entry.queries()["op13_toxic_span_field"](spark, sf))
     monkeypatch.setattr(toxicity, "train", train)
     assert seen and as_rows(entry.queries()["op13_toxic_span_field"](spark, sf)) == fewer
+
+
+# --- names that operators use themselves ------------------------------------------------------------
+
+NAMES = (
+    "row id h _h _some_id _some_h some_id some_h doc _hid _hh _spans spans _email _ip _card _phone _iban _ssn _tel _key _source _lang _topic _tokens _weight"
+    " _probability _repeat _kept _s _l _t _id _w _at _n _k _tk fp fingerprint root first stays none topic n_tokens weight probability repeat _c _q _it").split()
+
+
+def test_stages_keep_the_callers_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [" ".join(calm(rng, 60)) for _ in range(30)]
+    texts += [texts[0], texts[1] + " end", None, "", "call +1 (415) 555-0100 now", "IBAN DE89 3704 0044 0532 0130 00 USD"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[f"{n}{i}" for n in NAMES]) for i, t in enumerate(texts)], schema)
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, texts[5])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert name == "mixture" or out.columns == docs.columns, name
+        replaced = {"topic", "n_tokens", "weight", "probability", "repeat", "_topic", "_tokens", "_weight", "_probability", "_repeat", "_source", "_lang", "_kept"}
+        for r in out.collect():
+            for n in set(NAMES) & set(out.columns) - (replaced if name == "mixture" else set()):
+                assert r[n] == f"{n}{r['doc_id']}", (name, n)
+    clean = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["personal_data"](spark, docs, folder).collect()}
+    assert clean[34] == "call <phone> now" and clean[35] == "IBAN <iban> USD"
