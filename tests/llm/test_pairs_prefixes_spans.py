@@ -12,7 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from tablesmith.llm import alignment, prefixes, toxicity
+from tablesmith.llm import alignment, prefixes, toxicity, wrappers
 from tablesmith.llm.pairhash import PairHash
 
 FOLDER = "/opt/tokenizers"
@@ -300,3 +300,26 @@ def test_stages_keep_the_callers_columns(spark, tmp_path):
                 assert r[n] == f"{n}{r['doc_id']}", (name, n)
     clean = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["personal_data"](spark, docs, folder).collect()}
     assert clean[34] == "call <phone> now" and clean[35] == "IBAN <iban> USD"
+
+
+# --- wrappers: deep pages, slots over all pages, comments -------------------------------------------
+
+
+def test_wrapper_of_deep_pages(spark):
+    deep = "<div>" * 2000
+    rows = [(i, "https://deep.example/a", f"<html><body><p class='top'>Same line</p>{deep}words {i}{'</div>' * 2000}</body></html>") for i in range(24)]
+    got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(r.text for r in got.collect()) == [f"words {i}" for i in range(24)]
+
+
+def test_slot_that_differs_once_is_no_template(spark):
+    page = lambda i, note: f"<html><body><div class='lead'>{note}</div><div class='line'>Always here</div><article><p>Text {i} of this page</p></article></body></html>"
+    body = lambda i, note: page(i, note).replace("<article>", "<section>").replace("</article>", "</section>")
+    rows = [(i, "https://h.example/x", body(i, "Rare words" if i == 77 else "Common words")) for i in range(200)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[77] == "Rare words\n\nText 77 of this page" and got[5] == "Common words\n\nText 5 of this page"
+
+
+def test_comment_articles_are_no_text():
+    page = "<body><article><p>Story</p></article><article class='comment'><p>First!</p></article><div class='usercomments'><p>Second</p></div></body>"
+    assert wrappers.extract(page) == "Story"
