@@ -56,7 +56,7 @@ def without_rows(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame, a
         some = some.select(F.col("doc_id").alias("some_id"), F.col("h").alias("some_h"))
         return rows.join(some, F.col("id").eqNullSafe(F.col("some_id")) & F.col("h").eqNullSafe(F.col("some_h")), how)
 
-    kept = among(packed(docs, id=F.col(id_col), h=text_key(F.col(text_col))), gone, "left_anti")
+    kept = among(packed(docs, id=F.col(id_col), h=text_key(F.coalesce(F.col(text_col), F.lit("")))), gone, "left_anti")
     if not again.isEmpty():
         kept = among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates(["id", "h"]))
     return unpacked(kept, docs.columns)

@@ -194,7 +194,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A row is known by its id and text, so rows that share an id but not the text, or have no id, are judged one by one.
     Of rows alike in both, one stays.
     """
-    key = text_key(F.col(text_col))
+    key = text_key(F.coalesce(F.col(text_col), F.lit("")))
     prints = written(docs.select(F.col(id_col).alias("doc_id"), key.alias("h"), fingerprint(F.col(text_col), words).alias("fp")), "prints")
     row = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")
     named = _rooted(prints.groupBy("fp").agg(F.min(row).alias("first")), radius)

@@ -12,7 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from tablesmith.llm import alignment, prefixes, toxicity, wrappers
+from tablesmith.llm import alignment, near_texts, prefixes, toxicity, wrappers
 from tablesmith.llm.pairhash import PairHash
 
 FOLDER = "/opt/tokenizers"
@@ -309,7 +309,7 @@ def test_wrapper_of_deep_pages(spark):
     deep = "<div>" * 2000
     rows = [(i, "https://deep.example/a", f"<html><body><p class='top'>Same line</p>{deep}words {i}{'</div>' * 2000}</body></html>") for i in range(24)]
     got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    assert sorted(r.text for r in got.collect()) == [f"words {i}" for i in range(24)]
+    assert {r.page_id: r.text for r in got.collect()} == {i: f"words {i}" for i in range(24)}
 
 
 def test_slot_that_differs_once_is_no_template(spark):
@@ -323,3 +323,76 @@ def test_slot_that_differs_once_is_no_template(spark):
 def test_comment_articles_are_no_text():
     page = "<body><article><p>Story</p></article><article class='comment'><p>First!</p></article><div class='usercomments'><p>Second</p></div></body>"
     assert wrappers.extract(page) == "Story"
+
+
+# --- near texts -------------------------------------------------------------------------------------
+
+
+def groups_of(rows):
+    """Groups of row numbers whose five-word shingles have similarity 0.8 or more, by comparing all with all."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        n = min(5, len(w))
+        sets.append({b" ".join(w[i:i + n]) for i in range(len(w) - n + 1)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        union = len(sets[i] | sets[j])
+        if not union or len(sets[i] & sets[j]) >= 0.8 * union:
+            root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, n = [], 0
+    for size in (1, 3, 6, 40, 300):
+        for copies in (1, 2, 6):
+            base = [rng.choice(vocabulary) for _ in range(size)]
+            for c in range(copies):
+                words = list(base)
+                if c:
+                    words[rng.randrange(size)] = rng.choice(vocabulary) if size > 39 else words[0]
+                rows.append((n, " ".join(words).upper() if c == 3 else " ".join(words)))
+                n += 1
+    crowd = [rng.choice(vocabulary) for _ in range(200)]
+    for _ in range(60):
+        words = list(crowd)
+        words[rng.randrange(200)] = rng.choice(vocabulary)
+        rows.append((n, " ".join(words)))
+        n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, "  \n"), (None, rows[0][1]), (None, "only here and without an id"), (0, rows[0][1]), (5, "another text with the id five")]
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, s string, root int"), rows
+
+
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_near_texts_against_brute_force(alike, bucket, monkeypatch):
+    monkeypatch.setattr(near_texts, "BUCKET", bucket)
+    df, rows = alike
+    want = groups_of(rows)
+    kept = near_texts.drop_similar(df)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == len(set(want))
+    first = {}
+    for g, r in zip(want, rows):
+        first[g] = min(first.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+    assert sorted((d is None, d or 0) for d, _ in got) == sorted(first.values())
+    assert near_texts.drop_similar(df.limit(0)).count() == 0
+
+
+def test_near_texts_of_the_table(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    first = {}
+    for g, r in zip(groups_of(rows), rows):
+        first[g] = min(first.get(g, r[0]), r[0])
+    assert sorted(r.doc_id for r in near_texts.drop_similar(df).collect()) == sorted(first.values())
