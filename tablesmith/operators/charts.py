@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesmith.operators.ordering import running, trailing, with_position
 from tablesmith.operators.quantiles import exact_quantiles
+from tablesmith.schema import nan_to_null
 from tablesmith.session import settle
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30, density: bool = False, by: str | None = None) -> DataFrame:
     """Equal-width bins between minimum and maximum; every bin is listed, also the empty ones.
 
-    With ``by`` each group gets its own range. The last bin includes its right edge.
+    With ``by`` each group gets its own range. The last bin includes its right edge. NaN is missing.
     """
-    keys = [by] if by else []
+    keys, df = [by] if by else [], nan_to_null(df)
     data = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
     if by:
         data = data.where(F.col(by).isNotNull())
@@ -45,10 +46,10 @@ def histogram(df: DataFrame, col: str, bins: int = 30, density: bool = False, by
     return out.drop("_n", "_w")
 
 
-def box_stats(df: DataFrame, col: str, by: str | None = None, k: float = 1.5) -> DataFrame:
-    """Five numbers, whiskers (most extreme values inside the fences) and outlier count."""
-    keys = [by] if by else []
-    q = exact_quantiles(df, [col], [0.25, 0.5, 0.75], by=keys).select(
+def box_stats(df: DataFrame, col: str, by: str | None = None, k: float = 1.5, **kw) -> DataFrame:
+    """Five numbers, whiskers (most extreme values inside the fences) and outlier count. NaN is missing."""
+    keys, df = [by] if by else [], nan_to_null(df)
+    q = exact_quantiles(df, [col], [0.25, 0.5, 0.75], by=keys, **kw).select(
         *keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     fences, few = settle(q)
     lo, hi = (F.col("q1") - k * (F.col("q3") - F.col("q1"))), (F.col("q3") + k * (F.col("q3") - F.col("q1")))

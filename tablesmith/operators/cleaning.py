@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablesmith.functions.text import INTEGER, as_type, joined_type, type_tests
 from tablesmith.operators.ordering import with_position
 from tablesmith.operators.profile import iqr_bounds
 from tablesmith.operators.quantiles import quantile_values
-from tablesmith.schema import numeric_columns, string_columns
+from tablesmith.schema import nan_to_null, numeric_columns, string_columns
 
 
 def drop_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -27,8 +27,8 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 
 def sparse_columns(df: DataFrame, threshold: float = 0.5) -> list[str]:
-    """Columns whose share of nulls is above the threshold (one pass, one row of shares)."""
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in df.columns]).first()
+    """Columns whose share of nulls (NaN is one) is above the threshold (one pass, one row of shares)."""
+    shares = nan_to_null(df).agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in df.columns]).first()
     return [c for c in df.columns if (shares[c] or 0.0) > threshold]
 
 
@@ -43,13 +43,13 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def fill_values(df: DataFrame, method: str, cols: Sequence[str] | None = None, approx: bool = False) -> dict[str, float]:
-    """The fill value of each numeric column: its mean, exact median or smallest mode."""
-    cols = list(cols or numeric_columns(df))
+def fill_values(df: DataFrame, method: str, cols: Sequence[str] | None = None, approx: bool = False, **kw) -> dict[str, float]:
+    """The fill value of each numeric column: its mean, exact median or smallest mode. NaN is missing."""
+    cols, df = list(cols or numeric_columns(df)), nan_to_null(df)
     if method == "mean":
         row = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
     elif method == "median":
-        row = {c: q[0] for c, q in quantile_values(df, cols, [0.5], approx=approx).items()}
+        row = {c: q[0] for c, q in quantile_values(df, cols, [0.5], approx=approx, **kw).items()}
     elif method == "mode":
         cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])
         counts = df.select(F.explode(cells).alias("_x")).where("_x.v is not null").groupBy("_x.c", "_x.v").count()
@@ -62,12 +62,23 @@ def fill_values(df: DataFrame, method: str, cols: Sequence[str] | None = None, a
 
 
 def apply_fill(df: DataFrame, values: dict[str, float]) -> DataFrame:
-    """Replace nulls; a column with nothing missing keeps its type when all values are integral."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in values.items()})
+    """Replace nulls and NaN. A column of whole numbers stays one when its fill value is whole; else it becomes double."""
+    def filled(c: str, v: float) -> Column:
+        kind = df.schema[c].dataType
+        whole = isinstance(kind, T.IntegralType) and float(v).is_integer() or isinstance(kind, T.DecimalType)
+        return F.coalesce(F.col(c), F.lit(v).cast(kind)) if whole else F.coalesce(F.col(c).cast("double"), F.lit(v))
 
+    return nan_to_null(df).withColumns({c: filled(c, v) for c, v in values.items()})
 
-def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    return apply_fill(df, fill_values(df, method, cols, approx))
+
+def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = None, approx: bool = False, **kw) -> DataFrame:
+    """Fill the gaps of numeric columns. Columns without gaps stay as they are, type and all, so ids keep their digits."""
+    cols, known = list(cols or numeric_columns(df)), nan_to_null(df)
+    if not cols:
+        return df
+    gaps = known.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+    open_ = [c for i, c in enumerate(cols) if gaps[f"g{i}"]]
+    return apply_fill(df, fill_values(known, method, open_, approx, **kw)) if open_ else df
 
 
 def impute_strings(df: DataFrame, cols: Sequence[str] | None = None, value: str = "unknown") -> DataFrame:
@@ -80,6 +91,7 @@ def remove_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float =
     Rows with a null in the column stay. The fences are literals, so the growing filter reaches the
     scan and every step reads only the columns used so far.
     """
+    df = nan_to_null(df)
     for c in list(cols or numeric_columns(df)):
         fence = iqr_bounds(df, [c], k).get(c)
         if fence:

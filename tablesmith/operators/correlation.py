@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablesmith.schema import numeric_columns
+from tablesmith.schema import nan_to_null, numeric_columns
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -53,7 +53,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, max_col
     Up to ``direct`` columns are one SQL aggregate; more would outgrow generated code, so they are
     summed as small matrices in Arrow batches.
     """
-    cols = list(cols or numeric_columns(df))[:max_cols]
+    cols, df = list(cols or numeric_columns(df))[:max_cols], nan_to_null(df)
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
     if len(cols) <= direct:
@@ -94,11 +94,22 @@ def multicollinear_pairs(df: DataFrame, cols: Sequence[str] | None = None, thres
 
 
 def select_kbest(df: DataFrame, features: Sequence[str], target: str, k: int = 10) -> DataFrame:
-    """The ``k`` features with the largest regression F statistic."""
-    features = list(features)
-    wide = df.where(F.col(target).isNotNull()).agg(*[e for i, f in enumerate(features) for e in (
-        safe_corr(F.col(f), F.col(target)).alias(f"r_{i}"),
-        F.count_if(F.col(f).isNotNull()).alias(f"n_{i}"))])
+    """The ``k`` features with the largest regression F statistic, over all rows with a target.
+
+    Missing features (NULL or NaN) count as their mean over these rows. They then add nothing to covariances, so one pass
+    of sums over the rows that have them is enough.
+    """
+    features, y = list(features), F.col(target).cast("double")
+    rows = nan_to_null(df).where(F.col(target).isNotNull())
+    sums = []
+    for i, f in enumerate(features):
+        x = F.col(f).cast("double")
+        there = F.when(x.isNotNull(), y)
+        # With gaps at the mean: the sum of (x - mean) * y over the rows that have x.
+        cov = F.count(x) * F.covar_pop(x, there)
+        spread = F.sqrt(F.var_pop(x) * F.count(x) * F.var_pop(y) * F.count(y))
+        sums += [F.try_divide(cov, F.nullif(spread, F.lit(0.0))).alias(f"r_{i}"), F.count(y).alias(f"n_{i}")]
+    wide = rows.agg(*sums)
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"r_{i}").alias("r"), F.col(f"n_{i}").alias("n"))
                       for i, f in enumerate(features)])
     r2 = F.col("r") * F.col("r")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesmith.operators.cleaning import value_codes
 from tablesmith.operators.quantiles import quantile_values
-from tablesmith.schema import string_columns
+from tablesmith.schema import nan_to_null, string_columns
 
 
 def _hash_word(key: str, seed: int, start: int) -> Column:
@@ -50,8 +50,8 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard") -> Scaler:
-    """standard: mean and population deviation; minmax: minimum and range; robust: median and IQR."""
-    cols = list(cols)
+    """standard: mean and population deviation; minmax: minimum and range; robust: median and IQR. NaN is missing."""
+    cols, df = list(cols), nan_to_null(df)
     if kind == "robust":
         q = quantile_values(df, cols, [0.25, 0.5, 0.75])
         centre, spread = {c: q[c][1] for c in q}, {c: q[c][2] - q[c][0] for c in q}

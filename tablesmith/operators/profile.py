@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablesmith.operators.quantiles import exact_quantiles, quantile_values
-from tablesmith.schema import numeric_columns, string_columns
+from tablesmith.schema import nan_to_null, numeric_columns, string_columns
 
 
 def percent(part, whole, digits: int = 2):
@@ -45,7 +45,8 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
-    wide = df.agg(F.count("*").alias("n_rows"), *[
+    """Missing cells (NULL or NaN) of every column."""
+    wide = nan_to_null(df).agg(F.count("*").alias("n_rows"), *[
         F.count_if(F.col(c).isNull()).alias(f"m__{i}") for i, c in enumerate(df.columns)])
     return rows_from_wide(wide, df.columns, {"n_missing": "m"}, ["n_rows"]).withColumn(
         "missing_percent", percent(F.col("n_missing"), F.col("n_rows")))
@@ -84,10 +85,10 @@ def central_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.try_divide(m3, F.pow(m2, F.lit(1.5))).alias("skewness"), (F.try_divide(m4, m2 * m2) - 3).alias("kurtosis"))
 
 
-def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, digits: int = 4) -> DataFrame:
+def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, digits: int = 4, **kw) -> DataFrame:
     """Moments and exact quartiles per numeric column, rounded; empty columns are left out."""
     cols = list(cols or numeric_columns(df))
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx)
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx, **kw)
     moments = central_moments(df, cols)
     r = lambda c: F.round(c, digits)
     # Both sides have one row per column.
@@ -135,11 +136,11 @@ def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None, top: i
         "column", "count", "unique", "rank", "value", F.col("n").alias("frequency"))
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> dict[str, tuple[float, float]]:
+def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, **kw) -> dict[str, tuple[float, float]]:
     """Tukey fences per column as plain numbers."""
     return {
         c: (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
-        for c, (q1, q3) in quantile_values(df, cols, [0.25, 0.75]).items()
+        for c, (q1, q3) in quantile_values(df, cols, [0.25, 0.75], **kw).items()
     }
 
 
@@ -151,10 +152,10 @@ def outlier_cells(df: DataFrame, cols: Sequence[str], bounds: dict[str, tuple[fl
     return df.select(F.col(key).alias("key"), F.explode(hits).alias("_x")).where("_x IS NOT NULL").select("key", "_x.*")
 
 
-def outlier_summary(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
-    """Outliers per numeric column by Tukey fences; columns without any are left out."""
-    cols = list(cols or numeric_columns(df))
-    bounds = iqr_bounds(df, cols, k)
+def outlier_summary(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5, **kw) -> DataFrame:
+    """Outliers per numeric column by Tukey fences; columns without any are left out. NaN is missing."""
+    cols, df = list(cols or numeric_columns(df)), nan_to_null(df)
+    bounds = iqr_bounds(df, cols, k, **kw)
     cols = list(bounds)
     wide = df.agg(*[e for i, c in enumerate(cols) for e in (
         F.count(c).alias(f"n__{i}"),

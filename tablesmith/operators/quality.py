@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesmith.functions.text import SPACE
 from tablesmith.operators.profile import percent
-from tablesmith.schema import column_rules as header_rules, is_numeric, missing_columns, numeric_columns
+from tablesmith.schema import column_rules as header_rules, is_numeric, missing_columns, numeric_columns, nan_to_null
 
 # Names, extensions and characters of the documented rules.
 RESERVED_NAMES = [
@@ -35,8 +35,8 @@ def _findings(*rules: tuple[str, str, Column]) -> Column:
 
 
 def quality_report(df: DataFrame) -> DataFrame:
-    """Findings about a whole table: ``severity, rule, value``."""
-    n_cols = len(df.columns)
+    """Findings about a whole table: ``severity, rule, value``. NaN is missing."""
+    n_cols, df = len(df.columns), nan_to_null(df)
     missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
     one = df.agg(F.count("*").alias("n_rows"), missing.alias("n_missing")).withColumn(
         "pct", F.coalesce(percent(F.col("n_missing"), F.col("n_rows") * n_cols), F.lit(0.0)))

@@ -64,6 +64,11 @@ def gappy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 >= 3, F.col("o_orderpriority")).alias("o_orderpriority"))
 
 
+def nan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``gappy_orders`` with NaN in place of every missing price: all operators take both for missing."""
+    return gappy_orders(spark, sf_dir).withColumn("o_totalprice", F.coalesce("o_totalprice", F.lit(float("nan"))))
+
+
 # --- the event table read as an audit log ---------------------------------------------------------
 
 AUDIT_SQL = """

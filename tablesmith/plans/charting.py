@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesmith.operators import charts
-from tablesmith.plans.base import query, rounded, table
+from tablesmith.plans.base import GAPPY_ORDERS_SQL, ORACLES, gappy_orders, nan_orders, query, rounded, table
 
 
 @query("histogram", """
@@ -146,3 +146,58 @@ def minmax_across_groups(spark, sf):
     return rounded(out.select("o_orderpriority", "mean_price_scaled", "n_orders_scaled"))
 
 
+
+
+# --- NaN is missing, and the paths for large tables on these tables too ---------------------------
+
+_HIST_GAPS = f"WITH {GAPPY_ORDERS_SQL}, known AS (SELECT o_totalprice FROM gappy WHERE o_totalprice IS NOT NULL)," + ORACLES["histogram"].replace(
+    "FROM orders", "FROM known").replace("WITH b AS", " b AS", 1)
+
+
+@query("histogram_nan", _HIST_GAPS)
+def histogram_nan(spark, sf):
+    return rounded(charts.histogram(nan_orders(spark, sf), "o_totalprice", 30))
+
+
+@query("box_stats_by_group_large", ORACLES["box_stats"])
+def box_stats_by_group_large(spark, sf):
+    return rounded(charts.box_stats(table(spark, sf, "events"), "value", "event_type", small_group=0, gather_rows=500))
+
+
+@query("box_stats_all_large", ORACLES["box_stats_all"])
+def box_stats_all_large(spark, sf):
+    return rounded(charts.box_stats(table(spark, sf, "lineitem"), "l_extendedprice", small_group=0, gather_rows=1000))
+
+
+@query("cumulative_sum_with_gaps", f"""WITH {GAPPY_ORDERS_SQL} SELECT o_orderkey, round(sum(g.o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey
+ROWS UNBOUNDED PRECEDING), 2) AS cumulative FROM gappy g JOIN orders USING (o_orderkey)""")
+def cumulative_sum_with_gaps(spark, sf):
+    dates = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    df = gappy_orders(spark, sf).select("o_orderkey", "o_totalprice").join(dates, "o_orderkey")
+    return rounded(charts.cumulative_sum(df, ["o_orderdate", "o_orderkey"], "o_totalprice", small=0).select("o_orderkey", "cumulative"), 2, "cumulative")
+
+
+@query("moving_average_large", ORACLES["moving_average"])
+def moving_average_large(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    out = charts.moving_average(df, ["o_orderdate", "o_orderkey"], "o_totalprice", 7, small=0, block=500)
+    out = charts.moving_average(out, ["o_orderdate", "o_orderkey"], "o_totalprice", 30, small=0, block=500)
+    return rounded(out.select("o_orderkey", "ma_7", "ma_30"), 4, "ma_7", "ma_30")
+
+
+@query("moving_average_by_group_large", ORACLES["moving_average_by_group"])
+def moving_average_by_group_large(spark, sf):
+    df = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    out = charts.moving_average(df, ["ts", "event_id"], "value", 7, by=["user_id"], small=0, block=20)
+    return rounded(out.select("event_id", "user_id", "ma_7"), 4, "ma_7")
+
+
+@query("trend_line_large", ORACLES["trend_line"])
+def trend_line_large(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return rounded(charts.trend_line(df, ["o_orderdate", "o_orderkey"], "o_totalprice", small=0).select("o_orderkey", "idx", "fitted"), 4, "fitted")
+
+
+@query("ecdf_large", ORACLES["ecdf"])
+def ecdf_large(spark, sf):
+    return rounded(charts.ecdf(table(spark, sf, "orders"), "o_totalprice", "o_orderkey", small=0), 6, "cumulative")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions import formats
 from tablesmith.operators import cleaning, paging, projections, quality
-from tablesmith.plans.base import GAPPY_ORDERS_SQL, gappy_orders, query, rounded, table
+from tablesmith.plans.base import ORACLES, nan_orders, GAPPY_ORDERS_SQL, gappy_orders, query, rounded, table
 
 G = f"WITH {GAPPY_ORDERS_SQL}"
 GCOLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
@@ -271,3 +271,41 @@ def label_encode_sql(spark, sf):
     return cleaning.value_codes(table(spark, sf, "part"), "p_brand")
 
 
+
+
+# --- NaN is missing, and the paths for large tables on these tables too ---------------------------
+
+
+def _filled_nan(spark, sf, method, **kw):
+    df = nan_orders(spark, sf).select("o_orderkey", "o_totalprice", "o_custkey")
+    return rounded(cleaning.impute(df, method, ["o_totalprice", "o_custkey"], **kw), 4, "o_totalprice", "o_custkey")
+
+
+@query("impute_mean_nan", ORACLES["impute_mean"])
+def impute_mean_nan(spark, sf):
+    return _filled_nan(spark, sf, "mean")
+
+
+@query("impute_mode_nan", ORACLES["impute_mode"])
+def impute_mode_nan(spark, sf):
+    return _filled_nan(spark, sf, "mode")
+
+
+@query("impute_median_large", ORACLES["impute_median"])
+def impute_median_large(spark, sf):
+    return _filled_nan(spark, sf, "median", small_group=0, gather_rows=1000)
+
+
+@query("impute_keeps_ids", f"""{G} SELECT o_orderkey + 9007199254740993 AS id, 'bigint' AS id_type, 'bigint' AS cust_type,
+coalesce(o_custkey, (SELECT CAST(min(o_custkey) AS BIGINT) FROM (SELECT o_custkey, count(*) AS n FROM gappy WHERE o_custkey IS NOT NULL GROUP BY 1)
+WHERE n = (SELECT max(n) FROM (SELECT count(*) AS n FROM gappy WHERE o_custkey IS NOT NULL GROUP BY o_custkey)))) AS o_custkey FROM gappy""")
+def impute_keeps_ids(spark, sf):
+    df = gappy_orders(spark, sf).select((F.col("o_orderkey") + 9007199254740993).alias("id"), "o_custkey")
+    return cleaning.impute(df, "mode").select("id", F.typeof("id").alias("id_type"), F.typeof("o_custkey").alias("cust_type"), "o_custkey")
+
+
+@query("drop_sparse_columns_nan", f"{G} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM gappy")
+def drop_sparse_columns_nan(spark, sf):
+    k = F.col("o_orderkey")
+    sparse = gappy_orders(spark, sf).withColumn("mostly_nan", F.when(k % 5 < 3, F.lit(float("nan"))).otherwise(F.lit(1.0)))
+    return cleaning.drop_sparse_columns(sparse, 0.5)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablesmith.operators import classification, clustering, correlation, features, regression, registry
 from tablesmith.operators.projections import with_residual
 from tablesmith.operators.regression import RegressionConfig
-from tablesmith.plans.base import GAPPY_ORDERS_SQL, gappy_orders, query, rounded, table, union_sql
+from tablesmith.plans.base import ORACLES, nan_orders, GAPPY_ORDERS_SQL, gappy_orders, query, rounded, table, union_sql
 from tablesmith.session import scratch_path
 
 # The charge of a line is learnt from its parts.
@@ -454,3 +454,30 @@ UNION ALL SELECT 'm' || l_suppkey, 'importance', 'l_extendedprice', 1.0, 1 FROM
 def export_model_report(spark, sf):
     report = registry.model_report(registry.list_models(spark, _registered(spark, sf)))
     return report.where("section <> 'model'").withColumn("value", F.col("value").cast("double"))
+
+
+# --- NaN is missing, and the path for large tables -------------------------------------------------
+
+
+def _scaled_nan(spark, sf, kind):
+    df = nan_orders(spark, sf).select("o_orderkey", "o_totalprice", "o_custkey")
+    out = features.fit_scaler(df, ["o_totalprice", "o_custkey"], kind).apply(df).withColumn("o_totalprice", F.nanvl("o_totalprice", F.lit(None).cast("double")))
+    return rounded(out, 4, "o_totalprice", "o_custkey")
+
+
+@query("scale_standard_nan", ORACLES["scale_standard"])
+def scale_standard_nan(spark, sf):
+    return _scaled_nan(spark, sf, "standard")
+
+
+@query("scale_minmax_nan", ORACLES["scale_minmax"])
+def scale_minmax_nan(spark, sf):
+    return _scaled_nan(spark, sf, "minmax")
+
+
+@query("select_kbest_gaps", f"{_filled_sql()} " + union_sql([
+    "SELECT * FROM (SELECT feature, round(r, 4) AS r, round(r * r / (1 - r * r) * (n - 2), 3) AS f_score FROM ("
+    + union_sql([f"SELECT '{c}' AS feature, corr({c}, {Y}) AS r, count(*) AS n FROM f" for c in X])
+    + ") ORDER BY r * r / (1 - r * r) * (n - 2) DESC, feature LIMIT 2)"]))
+def select_kbest_gaps(spark, sf):
+    return correlation.select_kbest(gappy_lines(spark, sf), X, Y, 2).withColumns({"r": F.round("r", 4), "f_score": F.round("f_score", 3)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesmith.operators import correlation as corr, profile
-from tablesmith.plans.base import GAPPY_ORDERS_SQL, gappy_orders, query, rounded, table, union_sql
+from tablesmith.plans.base import ORACLES, nan_orders, GAPPY_ORDERS_SQL, gappy_orders, query, rounded, table, union_sql
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINE_NUMBERS]
@@ -194,3 +194,31 @@ def text_profile(spark, sf):
 @query("export_profile")
 def export_profile(spark, sf):
     return profile.profile_json(gappy_orders(spark, sf), "o_orderkey")
+
+
+# --- NaN is missing, and the paths for large tables on these tables too ---------------------------
+
+
+@query("missing_summary_nan", ORACLES["missing_summary"])
+def missing_summary_nan(spark, sf):
+    return profile.missing_summary(nan_orders(spark, sf))
+
+
+@query("global_missing_pct_nan", ORACLES["global_missing_pct"])
+def global_missing_pct_nan(spark, sf):
+    return profile.global_missing_pct(nan_orders(spark, sf))
+
+
+@query("correlation_matrix_nan", ORACLES["correlation_matrix"])
+def correlation_matrix_nan(spark, sf):
+    return rounded(corr.correlation_matrix(nan_orders(spark, sf)))
+
+
+@query("numeric_summary_large", ORACLES["numeric_summary"])
+def numeric_summary_large(spark, sf):
+    return profile.numeric_summary(table(spark, sf, "lineitem"), small_group=0, gather_rows=1000)
+
+
+@query("outlier_summary_large", ORACLES["outlier_summary_iqr"])
+def outlier_summary_large(spark, sf):
+    return profile.outlier_summary(events2(spark, sf), ["value", "value_sq"], small_group=0, gather_rows=1000)
