@@ -12,6 +12,7 @@ from tablesmith.operators.ordering import with_position
 from tablesmith.operators.profile import iqr_bounds
 from tablesmith.operators.quantiles import quantile_values
 from tablesmith.schema import nan_to_null, numeric_columns, string_columns
+from tablesmith.session import stable
 
 
 def drop_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -149,7 +150,8 @@ def clean(df: DataFrame, opts: CleaningOptions) -> CleaningResult:
         result.steps.append((name, frame))
 
     if opts.remove_duplicates:
-        step("remove_duplicates", drop_duplicates(result.data))
+        # Later steps read the table several times; the shuffle of the duplicates runs once.
+        step("remove_duplicates", stable(drop_duplicates(result.data)))
     if opts.missing == "drop_rows":
         step("drop_rows", drop_rows_any_null(result.data))
     elif opts.missing == "drop_columns":

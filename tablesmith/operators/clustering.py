@@ -16,14 +16,19 @@ SEGMENT_LABELS = {0: "High Value", 1: "Growth Potential", 2: "At Risk", 3: "Stan
 
 
 def segment(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42, labels: dict[int, str] | None = None) -> DataFrame:
-    """Add ``segment`` and ``segment_label``. Rows with a missing value are left out."""
+    """Add ``segment`` and ``segment_label``. Rows with a missing value are left out.
+
+    Segments are numbered by the mean of the first column, smallest first, so labels do not hang on the random start.
+    """
     cols = list(cols)
     rows = df.na.drop(subset=cols)
     scaler = fit_scaler(rows, cols, "standard")
     scaled = rows.withColumns({f"_z_{i}": scaler.expr(c) for i, c in enumerate(cols)})
     vectors = VectorAssembler(inputCols=[f"_z_{i}" for i in range(len(cols))], outputCol="_features").transform(scaled)
     model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="segment", maxIter=50).fit(vectors)
-    out = model.transform(vectors).drop("_features", *[f"_z_{i}" for i in range(len(cols))])
+    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
+    place = F.array(*[F.lit(order.index(i)) for i in range(len(order))])
+    out = model.transform(vectors).drop("_features", *[f"_z_{i}" for i in range(len(cols))]).withColumn("segment", F.get(place, F.col("segment")))
     return out.withColumn("segment_label", label_map("segment", labels or SEGMENT_LABELS))
 
 

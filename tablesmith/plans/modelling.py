@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.operators import classification, clustering, correlation, features, regression, registry
+from tablesmith.operators import classification, clustering, correlation, features, registry, regression, training
 from tablesmith.operators.projections import with_residual
 from tablesmith.operators.regression import RegressionConfig
-from tablesmith.plans.base import ORACLES, nan_orders, GAPPY_ORDERS_SQL, gappy_orders, query, rounded, table, union_sql
+from tablesmith.plans.base import GAPPY_ORDERS_SQL, ORACLES, gappy_orders, nan_orders, query, rounded, table, union_sql
 from tablesmith.session import scratch_path
 
 # The charge of a line is learnt from its parts.
@@ -481,3 +481,69 @@ def scale_minmax_nan(spark, sf):
     + ") ORDER BY r * r / (1 - r * r) * (n - 2) DESC, feature LIMIT 2)"]))
 def select_kbest_gaps(spark, sf):
     return correlation.select_kbest(gappy_lines(spark, sf), X, Y, 2).withColumns({"r": F.round("r", 4), "f_score": F.round("f_score", 3)})
+
+
+# --- the whole training flow ------------------------------------------------------------------------
+
+
+def _plan():
+    return training.TrainingPlan(Y, X, "k", RegressionConfig("ridge", 1.0))
+
+
+_CV_TRAIN = _cv_sql(["1.0"]).replace("FROM f WHERE", "FROM t WHERE").replace("FROM f,", "FROM t,")
+_METRICS = {
+    "r2": "1 - avg(r*r) / var_pop(y)", "mse": "avg(r*r)", "mae": "avg(abs(r))", "rmse": "sqrt(avg(r*r))",
+    "mape": "avg(CASE WHEN y <> 0 THEN abs(r / y) END)", "explained_variance": "1 - var_pop(r) / var_pop(y)",
+    "adjusted_r2": "1 - avg(r*r) / var_pop(y) * ((SELECT count(*) FROM t) - 1) / ((SELECT count(*) FROM t) - 4)"}
+TRAIN_SQL = f"""{_filled_sql("side = 'train'")}, t AS (SELECT * FROM f WHERE side = 'train'), s AS ({_sums_sql('t')}), {_solve_sql('sol', 's', '(1.0 / n)')},
+cv AS ({_CV_TRAIN}), e AS (SELECT side, {Y} AS y, {Y} - w0 - wa*{X[0]} - wb*{X[1]} - wc*{X[2]} AS r FROM f, sol)
+SELECT 'rows' AS section, 'train' AS item, CAST(count(*) AS DOUBLE) AS value FROM t UNION ALL SELECT 'parameters', 'alpha', 1.0 UNION ALL SELECT 'parameters', 'l1_ratio', 0.5
+UNION ALL SELECT 'coefficient', feature, round(coefficient, 3) FROM ({_coef_rows('sol', 6)})
+UNION ALL SELECT 'importance', feature, round(abs(coefficient) / sum(abs(coefficient)) OVER (), 3) FROM ({_coef_rows('sol', 9)}) WHERE feature <> '(intercept)'
+UNION ALL SELECT 'cross_validation', 'fold ' || fold, round(r2, 3) FROM cv
+""" + "".join(f"UNION ALL SELECT side, '{n}', round({m}, 3) FROM e GROUP BY side\n" for n, m in _METRICS.items())
+
+
+@query("train_model_report", TRAIN_SQL)
+def train_model_report(spark, sf):
+    return rounded(training.train(gappy_lines(spark, sf), _plan()).report, 3, "value")
+
+
+@query("predict_saved_model", f"""{_filled_sql("side = 'train'")}, s AS ({_sums_sql('f', "side = 'train'")}), {_solve_sql('sol', 's', '(1.0 / n)')}
+SELECT k, round(w0 + wa*{X[0]} + wb*{X[1]} + wc*{X[2]}, 2) AS prediction FROM f, sol""")
+def predict_saved_model(spark, sf):
+    lines, records = gappy_lines(spark, sf), scratch_path(spark, "models")
+    trained = training.train(lines, _plan())
+    trained.save(scratch_path(spark, "artefact"), records, "m1", "charges", "lines", "owner", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return rounded(training.predict_saved(spark, records, "m1", lines.where(F.col(Y).isNotNull())).select("k", "prediction"), 2, "prediction")
+
+
+@query("residual_histogram", f"""WITH {LINES_SQL}, r AS (SELECT {Y} - l_extendedprice AS v FROM line), b AS (SELECT min(v) AS lo, max(v) AS hi FROM r),
+c AS (SELECT least(CAST(floor((v - lo) / ((hi - lo) / 30)) AS INTEGER), 29) AS bin, count(*) AS n FROM r, b GROUP BY 1)
+SELECT round(lo + (hi - lo) / 30 * (g.bin + 0.5), 3) AS x, CAST(coalesce(n, 0) AS DOUBLE) AS y
+FROM (SELECT unnest(range(30)) AS bin) g CROSS JOIN b LEFT JOIN c ON c.bin = g.bin""")
+def residual_histogram(spark, sf):
+    lines = keyed_lines(spark, sf).withColumn("residual", F.col(Y) - F.col("l_extendedprice"))
+    return rounded(training.residual_charts(lines, "residual", "k").where("chart = 'histogram'").select("x", "y"), 3)
+
+
+@query("residual_qq", f"""WITH {KEYED_SQL}, r AS (SELECT k, {Y} - l_extendedprice AS v FROM keyed)
+SELECT count(*) AS n, round(sum(v), 2) AS total, round(min(v), 3) AS low, round(max(v), 3) AS high, true AS rises, true AS symmetric FROM r""")
+def residual_qq(spark, sf):
+    """What must hold for the points: every residual once, quantiles that rise with them and are symmetric around zero."""
+    lines = keyed_lines(spark, sf).withColumn("residual", F.col(Y) - F.col("l_extendedprice"))
+    q = training.residual_charts(lines, "residual", "k").where("chart = 'qq'")
+    return q.agg(F.count("*").alias("n"), F.round(F.sum("y"), 2).alias("total"), F.round(F.min("y"), 3).alias("low"), F.round(F.max("y"), 3).alias("high"),
+                 (F.abs(F.max_by("x", "y") - F.max("x")) < 1e-9).alias("rises"), (F.abs(F.min("x") + F.max("x")) < 1e-6).alias("symmetric"))
+
+
+@query("kmeans_invariants", """WITH p AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1)
+SELECT count(*) AS n, round(sum(total), 1) AS total, CAST(4 AS BIGINT) AS n_segments, true AS labels_rise FROM p JOIN customer ON o_custkey = c_custkey""")
+def kmeans_invariants(spark, sf):
+    """What must hold whatever the random start: all customers once, four segments, and numbers that rise with the mean total."""
+    per = table(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.sum("o_totalprice").alias("total"), F.count("*").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"))
+    df = per.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", *RFM)
+    parts = clustering.segment(df, RFM).groupBy("segment").agg(F.count("*").alias("n"), F.sum("total").alias("t"), F.avg("total").alias("m"))
+    return parts.agg(F.sum("n").alias("n"), F.round(F.sum("t"), 1).alias("total"), F.count("*").alias("n_segments"),
+                     (F.transform(F.array_sort(F.collect_list(F.struct("segment", "m"))), lambda x: x["m"]) == F.array_sort(F.collect_list("m"))).alias("labels_rise"))

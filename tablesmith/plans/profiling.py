@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesmith.operators import correlation as corr, profile
-from tablesmith.plans.base import ORACLES, nan_orders, GAPPY_ORDERS_SQL, gappy_orders, query, rounded, table, union_sql
+from tablesmith.plans.base import GAPPY_ORDERS_SQL, ORACLES, gappy_orders, nan_orders, query, rounded, table, union_sql
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINE_NUMBERS]
