@@ -2,8 +2,9 @@
 
 A vector is described by its ``DEPTH`` nearest reference points in order. The points are fixed random directions, not
 vectors of the table: how often two vectors share some depends on their own angle only, so a crowd of near vectors does
-not crowd its neighbourhood with points. Inverted lists (group, pivot) hold the vectors described by a pivot; within a list the number of shared pivots selects pairs, and the exact cosine in double precision
-decides. A pair counts in the list of its smallest shared pivot only, so no pair is told twice. Copies travel as one
+not crowd its neighbourhood with points. There are far more points than a vector names, and more where there are more
+vectors. Inverted lists (group, pivot) hold the vectors described by a pivot; within a list the number of shared pivots
+selects pairs first, and the exact cosine in double precision is worked out for those alone. A pair counts in the list of its smallest shared pivot only, so no pair is told twice. Copies travel as one
 class with a count. A list too long for one block is dealt by pairs of blocks; each task compares two blocks by matrix
 products and hands back counts and one link per vector to its cluster, never pairs.
 """
@@ -20,7 +21,9 @@ from tablesmith.llm.common import components, written
 
 THRESHOLD = 0.93
 #: One pivot for ``VECTORS_PER_PIVOT`` vectors of a length, within these bounds, and fewer where ``RECALL`` asks for it.
-VECTORS_PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 100, 32, 4096
+VECTORS_PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 16, 1024, 65_536
+#: Above this share of pairs that share enough pivots, all cosines of a tile at once cost less than one by one.
+DENSE = 0.1
 DEPTH, SHARED = 10, 2
 #: Least share of pairs just at the threshold that must share enough pivots.
 RECALL = 0.999
@@ -34,7 +37,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the vectors that can link: not null or zero, all components finite, length of a normal size."""
+    """Bytes of the vectors that can link: not null or zero, all components finite."""
     for batch in batches:
         out = []
         for v in batch.column(2).to_pylist():
@@ -42,8 +45,14 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(None)
                 continue
             x = np.array(v, dtype=np.float64)
-            norm = np.sqrt((x * x).sum())
-            out.append(x.tobytes() if np.isfinite(norm) and norm > 0 else None)
+            top = np.abs(x).max()
+            if not np.isfinite(top) or top == 0:
+                out.append(None)
+                continue
+            with np.errstate(over="ignore", under="ignore"):
+                square = (x * x).sum()
+            # Lengths that double precision cannot square are measured from the largest component.
+            out.append((x if 1e-290 < square < 1e290 else x / top).tobytes())
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "v"])
 
 
@@ -130,11 +139,14 @@ def block_links(ids: np.ndarray, n: np.ndarray, x: np.ndarray, orders: np.ndarra
         rows = left[s:s + _TILE]
         for t in range(s if same else 0, len(right), _TILE):
             cols = right[t:t + _TILE]
-            linked = x[rows] @ x[cols].T >= threshold
+            linked = _told_here(orders[rows], orders[cols], pivot, shared)
             if same and s == t:
                 linked &= np.triu(np.ones(linked.shape, bool), 1)
-            if linked.any():
-                linked &= _told_here(orders[rows], orders[cols], pivot, shared)
+            i, j = np.nonzero(linked)
+            if len(i) > DENSE * linked.size:
+                linked &= x[rows] @ x[cols].T >= threshold
+            else:
+                linked[i, j] = np.einsum("ij,ij->i", x[rows[i]], x[cols[j]]) >= threshold
             if not linked.any():
                 continue
             count[rows] += linked @ n[cols]

@@ -12,7 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from tablesmith.llm import alignment, near_texts, prefixes, toxicity, wrappers
+from tablesmith.llm import alignment, near_texts, pivots, prefixes, toxicity, wrappers
 from tablesmith.llm.pairhash import PairHash
 
 FOLDER = "/opt/tokenizers"
@@ -396,3 +396,22 @@ def test_near_texts_of_the_table(spark, sf):
     for g, r in zip(groups_of(rows), rows):
         first[g] = min(first.get(g, r[0]), r[0])
     assert sorted(r.doc_id for r in near_texts.drop_similar(df).collect()) == sorted(first.values())
+
+
+# --- pivots -----------------------------------------------------------------------------------------
+
+
+def test_very_long_and_very_short_vectors_link(spark):
+    rows = [(0, [1e200, 2e200], 1), (1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [1.0, 2.0], 1), (4, [1e308, -1e308], 1), (5, [float("inf"), 1.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5)}
+
+
+def test_few_cosines_are_worked_out():
+    rng = np.random.default_rng(1)
+    x = pivots.unit(rng.normal(size=(10_000, 64)))
+    points = pivots.directions(64, max(pivots.MIN_PIVOTS, len(x) // pivots.VECTORS_PER_PIVOT))
+    held = np.zeros((len(x), len(points)), np.float32)
+    np.put_along_axis(held, pivots.nearest_pivots(x, points), 1, axis=1)
+    chosen = sum(int((held[i:i + 1000] @ held.T >= pivots.SHARED).sum()) for i in range(0, len(x), 1000)) - len(x)
+    assert chosen < 0.1 * len(x) * (len(x) - 1)
