@@ -359,6 +359,6 @@ def test_pipeline_stages(spark, sf, docs, empty):
                 assert out.columns == frame.columns
             out.count()
     given = spark.read.parquet(f"{sf}/documents.parquet")
-    near = corpus_pipeline.near_copies(spark, given, sf).select("doc_id").collect()
+    near = simhash.drop_near_copies(given).select("doc_id").collect()
     rows = rows_of(given)
     assert len(near) == len(set(clusters([by_hand(t) for _, t in rows], lambda a, b: (a ^ b).bit_count() <= 3)))

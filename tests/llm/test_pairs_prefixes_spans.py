@@ -12,6 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+import corpus_pipeline
 from tablesmith.llm import alignment, near_texts, pivots, prefixes, toxicity, wrappers
 from tablesmith.llm.pairhash import PairHash
 
@@ -281,8 +282,6 @@ NAMES = (
 
 
 def test_stages_keep_the_callers_columns(spark, tmp_path):
-    import corpus_pipeline
-
     rng = random.Random(8)
     texts = [" ".join(calm(rng, 60)) for _ in range(30)]
     texts += [texts[0], texts[1] + " end", None, "", "call +1 (415) 555-0100 now", "IBAN DE89 3704 0044 0532 0130 00 USD"]
@@ -396,6 +395,8 @@ def test_near_texts_of_the_table(spark, sf):
     for g, r in zip(groups_of(rows), rows):
         first[g] = min(first.get(g, r[0]), r[0])
     assert sorted(r.doc_id for r in near_texts.drop_similar(df).collect()) == sorted(first.values())
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    assert sorted(r.doc_id for r in stage(spark, df, sf).collect()) == sorted(first.values())
 
 
 # --- pivots -----------------------------------------------------------------------------------------
