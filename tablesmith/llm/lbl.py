@@ -1,16 +1,17 @@
 """Log-bilinear language model: log-probabilities of whole texts, learned from the training fold.
 
-The ``HEADS`` most frequent tokens are classes of their own. The other frequent ones fall into at most ``GROUPS`` classes by
-the company they keep: heads that stand near the same heads form a group, and a token joins the group whose company makes
-its own most likely. One class is left for all other tokens. Within a class a token has its smoothed share
-of counts. The next class is predicted from the two before it: each context word's vector, weighted by position, is added
-up and compared with every output vector. Weights are learned by noise-contrastive estimation over
-the trigram counts of the whole training fold: each partition of the counts runs its own steps, and the weights are
-averaged by tokens after every round. Contexts are pairs of classes, so one batch of matrix products gives the exact
-normaliser of every context, and the log-probabilities sum to 1 over all tokens.
-
-Counts of all tokens stay distributed. The ``FREQUENT`` most frequent ones are broadcast; the others are joined, and
-none of them can be a hot key.
+The most frequent tokens (heads) are classes of their own. All other tokens that occur at least ``SEEN`` times, however many
+there are, fall into groups by the company they keep: heads that stand near the same heads form a group, and a token joins the group whose company
+makes its own most likely. One class is left for rarer tokens and those never seen. Within a class a token has its
+smoothed share of counts. The next class is predicted from the two before it: each context word's vector, weighted by
+position, is added up and compared with every output vector. Weights are learned by noise-contrastive estimation over the
+trigram counts of the whole training fold: the counts are dealt into shares, a task draws as many trigrams as its share holds
+tokens, and the weights are averaged by tokens after every round. Contexts are pairs of classes, so batches of matrix
+products give the exact normaliser of every context, and the log-probabilities sum to 1 over all tokens.
+
+What is gathered grows with the corpus: draws with its tokens, the table of token classes with its vocabulary, heads and
+groups with the fifth root of its tokens. Counts and classes of all tokens stay distributed. The ``FREQUENT`` most frequent ones are
+numbered by a broadcast; the others are joined, and none of them can be a hot key.
 """
 
 from __future__ import annotations
@@ -28,20 +29,35 @@ from tablesmith.llm.common import fold, written
 
 #: Stands for the end of a text; no word holds a line break.
 END = b"\n"
+#: The least number of heads and groups; ``class_numbers`` says how they grow. ``FREQUENT`` tokens are numbered by a broadcast.
 HEADS, GROUPS, FREQUENT = 239, 16, 65536
 #: So many places before and after a token belong to its company.
 REACH = 4
 #: Tokens seen less often join no group: their class is that of tokens not seen at all.
 SEEN = 4
+#: Draws per token of the training texts, over all rounds; a small corpus still gets ``STEPS`` steps a round.
+PASSES = 1.0
 DIM, NOISE, STEPS, ROUNDS, BATCH, RATE = 16, 128, 300, 5, 2048, 0.05
 #: A Gaussian prior around vectors of zero and the classes' own shares, which counts as much as so many tokens.
 PULL = 2.0
 #: Rows of one matrix product: small enough that it stays on the task's own thread.
 _BLOCK = 128
 _OUT_ROWS, _OUT_BYTES = 50_000, 1 << 24
-_CODED = "key string, doc bigint, held_out boolean, ids binary, word binary, tf bigint"
+_GAP = np.iinfo(np.int32).min
+_CODED = "key bigint, doc bigint, held_out boolean, ids binary, words array<binary>"
 _CODED_NAMES = [c.split()[0] for c in _CODED.split(", ")]
-_CODED_TYPES = [pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
+_CODED_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.binary())]
+
+
+def class_numbers(total: int) -> tuple[int, int]:
+    """Heads and groups for so many tokens: both grow with the fifth root, so tables over pairs of classes with n ** 0.4."""
+    heads = max(HEADS, round(6.5 * total**0.2))
+    return heads, max(GROUPS, heads // 15)
+
+
+def share_tokens(total: int) -> int:
+    """Tokens whose trigrams one task learns from: shares and their number both grow with the corpus."""
+    return max(STEPS * ROUNDS * BATCH, round(100 * total**0.5))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -65,12 +81,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """What scoring needs, of bounded size: counts of frequent tokens, class scores and normalisers."""
+    """What scoring needs besides the table of the other tokens."""
 
+    words: list[bytes]  # the frequent tokens by number
     counts: np.ndarray
-    labels: np.ndarray  # class of each frequent token; the last entry is the class of all others
-    shares: np.ndarray  # log10 of each frequent token's share of its class; the last entry is left out
-    other: float  # what every other token's count is divided by, as log10
+    labels: np.ndarray  # class of each frequent token
+    whole: np.ndarray  # what counts are divided by in each class
     total: int
     distinct: int
     near: np.ndarray  # [class one before, next class]
@@ -81,10 +97,6 @@ class Model:
     def rare(self) -> int:
         return self.near.shape[1] - 1
 
-    def classes(self, ids: np.ndarray) -> np.ndarray:
-        """Class of each token number; -1 stands for a token that is not frequent."""
-        return self.labels[ids]
-
     def class_log10(self, classes: np.ndarray) -> np.ndarray:
         start = self.near.shape[0] - 1
         one = np.r_[start, classes[:-1]]
@@ -93,7 +105,7 @@ class Model:
 
 
 def _coded(shared):
-    """For each text one row of its tokens' numbers (-1: not frequent), and one for each distinct token that has none."""
+    """For each text its tokens' numbers; ``-1 - j`` stands for the ``j``-th of the text's distinct tokens that have no number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
@@ -107,9 +119,12 @@ def _coded(shared):
             for key, doc, held, t in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.binary())):
                 ws = tokens(t.as_py())
                 ids = np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws))
-                rows.append((key, doc, held, ids.tobytes(), None, None))
-                held_bytes += ids.nbytes
-                rows.extend((key, None, None, None, w, tf) for w, tf in Counter([ws[i] for i in np.flatnonzero(ids < 0).tolist()]).items())
+                at = np.flatnonzero(ids < 0)
+                others: dict[bytes, int] = {}
+                if len(at):
+                    ids[at] = [-1 - others.setdefault(ws[i], len(others)) for i in at.tolist()]
+                rows.append((key, doc, held, ids.tobytes(), list(others)))
+                held_bytes += ids.nbytes + sum(map(len, others))
                 if len(rows) >= _OUT_ROWS or held_bytes >= _OUT_BYTES:
                     yield out()
                     rows, held_bytes = [], 0
@@ -120,9 +135,9 @@ def _coded(shared):
 
 
 def coded(docs: DataFrame, shared, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All texts, read once more and written as token numbers, with the tokens that have no number as rows of their own."""
+    """All texts, read once more and written as token numbers, with their distinct tokens that have no number."""
     rows = docs.select(
-        F.concat_ws(":", F.spark_partition_id(), F.monotonically_increasing_id()).alias("key"), F.col(id_col).cast("long").alias("doc"),
+        F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc"),
         held_out.alias("held_out"), F.col(text_col).alias("t"))
     return written(rows.mapInArrow(_coded(shared), _CODED), "coded")
 
@@ -132,44 +147,110 @@ def _numbers(column) -> Iterator[np.ndarray]:
         yield np.frombuffer(ids.as_buffer(), dtype=np.int32)
 
 
-def _company(first: int, last: int, column: np.ndarray, columns: int):
-    """How often each of the tokens ``first`` to ``last`` - 1 stands near a token of each column: ``k = row * columns + column``, ``n``."""
+def _stretches(batches: Iterator[pa.RecordBatch], tokens_at_once: int = 2_000_000) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Texts (ids, words) put together with gaps between: their numbers, and the distinct other tokens that ``-1 - j`` point to."""
+    held, words, size = [], [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.r_[column, -1]
-        cells = np.zeros((last - first) * columns, dtype=np.int64)
-        gap, held, size = np.full(REACH, -1, dtype=np.int32), [], 0
-
-        def add() -> None:
-            ids = np.concatenate(held)
-            cols, rows = near[ids], np.where((ids >= first) & (ids < last), ids - first, -1)
-            for d in range(1, REACH + 1):
-                for a, b in ((rows[:-d], cols[d:]), (rows[d:], cols[:-d])):
-                    both = (a >= 0) & (b >= 0)
-                    cells[:] += np.bincount(a[both] * columns + b[both], minlength=len(cells))
-            held.clear()
+    def out():
+        found = pa.concat_arrays(words).dictionary_encode()
+        codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        ids = np.concatenate(held)
+        other = (ids < 0) & (ids != _GAP)
+        ids[other] = -1 - codes[-1 - ids[other]]
+        return ids, found.dictionary
+
+    gap, base = np.full(REACH, _GAP, dtype=np.int32), 0
+    for batch in batches:
+        columns = zip(_numbers(batch.column(0)), np.diff(batch.column(1).offsets.to_numpy()).tolist())
+        words.append(batch.column(1).flatten())
+        for ids, n in columns:
+            held += (np.where(ids < 0, ids - base, ids), gap)
+            base += n
+            size += len(ids)
+        if size > tokens_at_once:
+            yield out()
+            held, words, size, base = [], [], 0, 0
+    if held:
+        yield out()
 
-        for batch in batches:
-            for ids in _numbers(batch.column(0)):
-                held += (ids, gap)
-                size += len(ids)
-                if size > 2_000_000:
-                    add()
-                    size = 0
-        if held:
-            add()
+
+def _pairs(rows: np.ndarray, columns: np.ndarray, height: int, width: int) -> np.ndarray:
+    """How often each row number stands within ``REACH`` of each column number; -1 counts as neither."""
+    cells = np.zeros(height * width, dtype=np.int64)
+    for d in range(1, REACH + 1):
+        for a, b in ((rows[:-d], columns[d:]), (rows[d:], columns[:-d])):
+            both = (a >= 0) & (b >= 0)
+            cells += np.bincount(a[both] * width + b[both], minlength=len(cells))
+    return cells
+
+
+def _meetings(heads: int):
+    """How often heads stand near each other: ``k = head * heads + head``, ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(heads * heads, dtype=np.int64)
+        for ids, _ in _stretches(batches):
+            numbers = np.where((ids >= 0) & (ids < heads), ids, -1).astype(np.int64)
+            cells += _pairs(numbers, numbers, heads, heads)
         at = np.flatnonzero(cells)
         yield pa.record_batch([pa.array(at), pa.array(cells[at])], names=["k", "n"])
 
     return run
 
 
-def _company_table(numbers: DataFrame, first: int, last: int, column: np.ndarray, columns: int) -> np.ndarray:
-    """The counts of all texts; at most ``FREQUENT`` x ``GROUPS`` or ``HEADS`` x ``HEADS`` numbers, whatever the size of the corpus."""
-    got = numbers.mapInArrow(_company(first, last, column, columns), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((last - first, columns))
-    table.ravel()[got.column("k").to_numpy()] = got.column("n").to_numpy()
-    return table
+def _company(heads: int, frequent: int, group: np.ndarray, groups: int):
+    """For each token that is no head (``id``, or ``word`` where it has no number): its count and that of each group near it."""
+
+    def rows(ids, words, counts, cells) -> pa.RecordBatch:
+        columns = [ids, words, pa.array(counts), *map(pa.array, np.ascontiguousarray(cells.T))]
+        return pa.record_batch(columns, names=["id", "word", "n", *_group_columns(groups)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = max(frequent - heads, 0)
+        known, seen = np.zeros((named, groups), dtype=np.int64), np.zeros(named, dtype=np.int64)
+        of_head = np.full(max(frequent, heads) + 1, -1, dtype=np.int64)
+        of_head[:len(group)] = group
+        for ids, words in _stretches(batches):
+            numbers = np.where(ids >= heads, ids - heads, np.where((ids < 0) & (ids != _GAP), named - 1 - ids.astype(np.int64), -1))
+            near = np.where(ids >= 0, of_head[np.maximum(ids, -1)], -1)
+            height = named + len(words)
+            if not height:
+                continue
+            cells = _pairs(numbers, near, height, groups).reshape(height, groups)
+            counts = np.bincount(numbers[numbers >= 0], minlength=height)
+            known += cells[:named]
+            seen += counts[:named]
+            for i in range(0, len(words), _OUT_ROWS):
+                part = slice(named + i, min(named + i + _OUT_ROWS, height))
+                some = words.slice(i, _OUT_ROWS)
+                yield rows(pa.nulls(len(some), pa.int64()), some, counts[part], cells[part])
+        at = np.flatnonzero(seen)
+        yield rows(pa.array(at), pa.nulls(len(at), pa.binary()), seen[at], known[at])
+
+    return run
+
+
+def _group_columns(groups: int) -> list[str]:
+    return [f"c{g}" for g in range(groups)]
+
+
+def _classes(likely: np.ndarray, heads: int):
+    """(word, n, class) of tokens with the counts of their company: the group whose company makes theirs most likely."""
+    groups = len(likely)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            company = np.stack([b.column(2 + g).to_numpy() for g in range(groups)], axis=1) if b.num_rows else np.zeros((0, groups))
+            best = best_groups(company, b.column(1).to_numpy(), likely)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array((heads + best).astype(np.int32))], names=["word", "n", "class"])
+
+    return run
+
+
+def best_groups(company: np.ndarray, counts: np.ndarray, likely: np.ndarray) -> np.ndarray:
+    """Group of each token; the number of groups stands for tokens that are rare or keep no company."""
+    known = (company.sum(axis=1) > 0) & (counts >= SEEN)
+    return np.where(known, (company @ likely.T).argmax(axis=1), len(likely))
 
 
 def head_groups(meetings: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -196,35 +277,73 @@ def head_groups(meetings: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.unique(group, return_inverse=True)[1]
 
 
-def token_classes(numbers: DataFrame, heads: int, counts: np.ndarray) -> np.ndarray:
-    """Class of each frequent token; the last entry is the class of all others."""
-    frequent = len(counts)
-    labels = np.arange(frequent)
-    if frequent > heads:
-        is_head = np.where(labels < heads, labels, -1)
-        meetings = _company_table(numbers, 0, heads, is_head, heads)
-        group = head_groups(meetings)
-        table = _company_table(numbers, heads, frequent, np.r_[group, np.full(frequent - heads, -1)], GROUPS)
-        member = np.eye(GROUPS)[group]
-        company = member.T @ meetings @ member + 0.5
-        likely = table @ np.log(company / company.sum(axis=1, keepdims=True)).T
-        best = np.where((table.sum(axis=1) > 0) & (counts[heads:] >= SEEN), likely.argmax(axis=1), GROUPS)
-        used, best = np.unique(best, return_inverse=True)
-        # Rare tokens and those without company share the last class with the tokens that are not frequent.
-        labels[heads:] = heads + best
-        return np.r_[labels, heads + len(used) - (used[-1] == GROUPS)]
-    return np.r_[labels, frequent]
-
-
-def _trigrams(labels: np.ndarray):
+def token_classes(numbers: DataFrame, heads: int, groups: int, counts: np.ndarray) -> tuple[np.ndarray, DataFrame]:
+    """Class of each frequent token, and the table (word, n, class) of all other tokens in ``numbers`` (ids, words).
+
+    Heads are classes 0 to ``heads`` - 1, groups follow, and ``heads + groups`` is the class of rare tokens.
+    """
+    met = numbers.mapInArrow(_meetings(heads), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    meetings = np.zeros((heads, heads))
+    meetings.ravel()[met.column("k").to_numpy()] = met.column("n").to_numpy()
+    group = head_groups(meetings, groups)
+    member = np.eye(groups)[group]
+    company = member.T @ meetings @ member + 0.5
+    likely = np.log(company / company.sum(axis=1, keepdims=True))
+    cells = _group_columns(groups)
+    kept = written(
+        numbers.mapInArrow(_company(heads, len(counts), group, groups), "id bigint, word binary, n bigint" + "".join(f", {c} bigint" for c in cells))
+        .groupBy("id", "word").agg(*[F.sum(c).alias(c) for c in ["n", *cells]]), "company")
+    labels = np.arange(len(counts))
+    labels[heads:] = heads + groups
+    # At most one row for each frequent token.
+    named = kept.where("id IS NOT NULL").select("id", *cells).toArrow()
+    at = heads + named.column("id").to_numpy()
+    table = np.stack([named.column(c).to_numpy() for c in cells], axis=1)
+    labels[at] = heads + best_groups(table, counts[at], likely)
+    others = kept.where("word IS NOT NULL").select("word", "n", *cells).mapInArrow(_classes(likely, heads), "word binary, n bigint, class int")
+    return labels, written(others, "others")
+
+
+def classed(texts: DataFrame, others: DataFrame) -> DataFrame:
+    """Coded texts with what ``others`` says of the tokens without a number: ``at`` (place in ``words``), ``n``, ``class``."""
+    named = texts.select("key", F.posexplode("words").alias("at", "word")).join(others, "word")
+    lists = named.groupBy("key").agg(F.collect_list(F.struct("at", "n", "class")).alias("o"))
+    return written(
+        texts.select("key", "doc", "held_out", "ids", F.size("words").alias("n_words")).join(lists, "key", "left")
+        .select("doc", "held_out", "ids", "n_words", *[F.coalesce(F.col("o")[c], F.array()).cast(f"array<{t}>").alias(c) for c, t in (("at", "int"), ("n", "bigint"), ("class", "int"))]),
+        "classed")
+
+
+def _tokens_of(batch: pa.RecordBatch, rare: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text (ids, n_words, at, n, class) its numbers, and the counts and classes that ``-1 - number`` points to."""
+    lists = []
+    for name in ("at", "n", "class"):
+        column = batch.column(batch.schema.get_field_index(name))
+        lists.append((column.offsets.to_numpy(), column.values.to_numpy()))
+    sizes = batch.column(batch.schema.get_field_index("n_words")).to_numpy()
+    for i, ids in enumerate(_numbers(batch.column(batch.schema.get_field_index("ids")))):
+        at, n, c = (values[offsets[i]:offsets[i + 1]] for offsets, values in lists)
+        counts, classes = np.zeros(sizes[i], dtype=np.int64), np.full(sizes[i], rare, dtype=np.int64)
+        counts[at], classes[at] = n, c
+        yield ids, counts, classes
+
+
+def _looked_up(ids: np.ndarray, of_number: np.ndarray, of_other: np.ndarray) -> np.ndarray:
+    if not len(of_other):
+        return of_number[ids]
+    # -1 - j counts from the end: the others follow in reverse.
+    return np.r_[of_number, of_other[::-1]][ids]
+
+
+def _trigrams(labels: np.ndarray, rare: int):
     """Counts of (class two before, class one before, class) as one number."""
-    start, size = int(labels[-1]) + 1, int(labels[-1]) + 2
+    start, size = rare + 1, rare + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
-            for ids in _numbers(batch.column(0)):
-                c = labels[ids]
+            for ids, _, classes in _tokens_of(batch, rare):
+                c = _looked_up(ids, labels, classes)
                 one, two = np.r_[start, c[:-1]], np.r_[[start, start][:len(c)], c[:-2]]
                 keys.append((two * size + one) * size + c)
             if keys:
@@ -302,22 +421,60 @@ def _round(theta: np.ndarray, unigram: np.ndarray, number: int):
         if not got:
             return
         keys, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        new = nce_steps(theta, keys, n, unigram, STEPS, RATE / (1 + number), int(keys.min() + 7919 * number))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
         weight = float(n.sum())
+        steps = max(STEPS, int(np.ceil(PASSES * weight / (ROUNDS * BATCH))))
+        new = nce_steps(theta, keys, n, unigram, steps, RATE / (1 + number), int(keys.min() + 7919 * number))
         yield pa.record_batch([pa.array(np.arange(len(new))), pa.array(new * weight), pa.array(np.full(len(new), weight))], names=["i", "v", "w"])
 
     return run
 
 
-def normalised(theta: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score tables of both context words and the log of each context's sum, by batched matrix products."""
+def shares(grams: DataFrame, total: int) -> DataFrame:
+    """Trigram counts (k, n) dealt to tasks by hash; a trigram that alone fills a share is dealt to several."""
+    share = share_tokens(total)
+    pieces = F.floor(F.col("n") / share).cast("int") + 1
+    cut = grams.select("k", "n", pieces.alias("p")).select("k", "n", "p", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"))
+    part = F.floor((F.col("i") + 1) * F.col("n") / F.col("p")) - F.floor(F.col("i") * F.col("n") / F.col("p"))
+    return cut.select("k", part.cast("long").alias("n"), "i").where("n > 0").repartition(max(1, total // share), "k", "i").select("k", "n")
+
+
+def score_tables(theta: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the next class by the word before, and by the one before that with the bias in it."""
     r, c1, c2, q, b = parts(theta, v)
-    near, far = (r * c1) @ q.T, (r * c2) @ q.T + b
-    norm = np.empty((v + 1, v + 1))
-    for two in range(v + 1):
+    return (r * c1) @ q.T, (r * c2) @ q.T + b
+
+
+def context_norms(near: np.ndarray, far: np.ndarray, twos: np.ndarray) -> np.ndarray:
+    """Log of the sum over all classes for each context whose second word before is in ``twos``."""
+    norm = np.empty((len(twos), len(near)))
+    for i, two in enumerate(twos):
         s = near + far[two]
         top = s.max(axis=1)
-        norm[two] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        norm[i] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+    return norm
+
+
+def normalised(spark, theta: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both score tables and the log of each context's sum, which tasks work out by batched matrix products.
+
+    Classes that are not ``used`` have probability 0.
+    """
+    v = len(used)
+    near, far = score_tables(theta, v)
+    far[:, ~used] = -np.inf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            twos = batch.column(0).to_numpy()
+            if len(twos):
+                yield pa.record_batch([pa.array(twos), pa.array([r.tobytes() for r in context_norms(near, far, twos)], pa.binary())], names=["two", "norm"])
+
+    got = spark.range(0, v + 1, 1, max(1, (v + 1) // 64)).mapInArrow(run, "two bigint, norm binary").toArrow()
+    norm = np.empty((v + 1, v + 1))
+    for two, row in zip(got.column("two").to_pylist(), got.column("norm").to_pylist()):
+        norm[two] = np.frombuffer(row)
     return near, far, norm
 
 
@@ -331,89 +488,97 @@ def most_frequent(counts: DataFrame) -> list:
     return counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
 
 
-def numbered(spark, top: list):
+def numbered(spark, words: list[bytes]):
     """Broadcast numbers of the frequent tokens."""
-    return spark.sparkContext.broadcast({bytes(r["word"]): i for i, r in enumerate(top)})
+    return spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
 
-def fit(numbers: DataFrame, counts: DataFrame, top: list) -> Model:
-    """The model of coded texts (``numbers`` has one column), given their token counts."""
+def fit(texts: DataFrame, counts: DataFrame, top: list) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of those coded ``texts`` that are not held out, given their token counts; (word, n, class) of the tokens
+    without a number; and all ``texts`` with these."""
+    spark = texts.sparkSession
     stats = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total, words = int(stats["n"]), [bytes(r["word"]) for r in top]
     kept = np.array([r["n"] for r in top], dtype=np.float64)
-    labels = token_classes(numbers, min(HEADS, len(top)), kept) if top else np.zeros(1, dtype=np.int64)
-    rare, frequent = int(labels[-1]), labels[:-1]
-    mass = np.bincount(frequent, kept, rare + 1)
-    size = np.bincount(frequent, minlength=rare + 1)
-    # The last class holds all that is not frequent, and one token for what was never seen.
-    mass[rare] += max(stats["n"] - kept.sum(), 0)
-    size[rare] += stats["v"] - len(top) + 1
+    heads, groups = class_numbers(total)
+    heads = min(heads, len(top))
+    groups = min(groups, heads)
+    rare = heads + groups
+    if not heads:
+        labels, others = np.zeros(0, dtype=np.int64), spark.createDataFrame([], "word binary, n bigint, class int")
+    else:
+        labels, others = token_classes(texts.where("NOT held_out").select("ids", "words"), heads, groups, kept)
+    mass, size = np.bincount(labels, kept, rare + 1), np.bincount(labels, minlength=rare + 1)
+    for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        mass[r["class"]] += r["n"]
+        size[r["class"]] += r["v"]
+    # One token for what was never seen.
+    size[rare] += 1
     whole = mass + 0.5 * size
-    shares = np.log10((kept + 0.5) / whole[frequent])
-    unigram = whole / whole.sum()
+    # In training a class without tokens counts as half a token, so that logarithms exist.
+    unigram = np.maximum(whole, 0.5) / np.maximum(whole, 0.5).sum()
     theta = start_weights(rare, unigram)
-    if stats["n"]:
-        grams = written(numbers.mapInArrow(_trigrams(labels), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")), "trigrams")
+    ready = classed(texts, others)
+    if total:
+        grams = written(
+            ready.where("NOT held_out").select("ids", "n_words", "at", "n", "class").mapInArrow(_trigrams(labels, rare), "k bigint, n bigint")
+            .groupBy("k").agg(F.sum("n").alias("n")), "trigrams")
         for number in range(ROUNDS):
-            mean = grams.mapInArrow(_round(theta, unigram, number), "i bigint, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
+            mean = shares(grams, total).mapInArrow(_round(theta, unigram, number), "i bigint, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
             theta = np.array([r["v"] for r in sorted(mean.collect(), key=lambda r: r["i"])])
-    return Model(kept, labels, np.r_[shares, 0.0], float(np.log10(whole[rare])), int(stats["n"]), int(stats["v"]), *normalised(theta, rare + 1))
+    return Model(words, kept, labels, whole, total, int(stats["v"]), *normalised(spark, theta, size > 0)), others, ready
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model of all of ``docs``, and their token counts (word, n) as a written table.
+    """The model of all of ``docs``, and the table (word, n, class) of the tokens that the model does not hold itself.
 
     Null texts count as empty. Without documents every count is 0 and every class equally likely.
     """
     counts = token_counts(docs, text_col)
     top = most_frequent(counts)
-    texts = coded(docs.select(F.lit(0).alias("_i"), F.col(text_col).alias("_t")), numbered(docs.sparkSession, top), F.lit(False), "_i", "_t")
-    return fit(texts.where("ids IS NOT NULL").select("ids"), counts, top), counts
+    shared = numbered(docs.sparkSession, [bytes(r["word"]) for r in top])
+    texts = coded(docs.select(F.lit(0).alias("_i"), F.col(text_col).alias("_t")), shared, F.lit(False), "_i", "_t")
+    model, others, _ = fit(texts, counts, top)
+    return model, others
 
 
 def _scored(shared):
-    """Sums of the frequent tokens of each coded text."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
+        whole = np.log10(np.where(model.whole > 0, model.whole, 1))
         logs = np.log10(model.counts + 0.5)
         for batch in batches:
             sums = []
-            for ids in _numbers(batch.column(3)):
-                known = ids[ids >= 0]
-                sums.append((len(ids), len(known), float(logs[known].sum()), float(model.class_log10(model.classes(ids)).sum() + model.shares[known].sum())))
+            for ids, counts, classes in _tokens_of(batch, model.rare):
+                at = _looked_up(ids, model.labels, classes)
+                seen = float(_looked_up(ids, logs, np.log10(counts + 0.5)).sum())
+                n_known = int((_looked_up(ids, model.counts, counts) > 0).sum())
+                sums.append((len(ids), n_known, seen, float(model.class_log10(at).sum() + seen - whole[at].sum())))
             columns = zip(*sums) if sums else [[]] * 4
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.record_batch([*batch.columns[:3], *map(pa.array, columns, types)], names=["key", "doc", "held_out", "n_tokens", "n_known", "logs", "model"])
+            yield pa.record_batch([*batch.columns[:2], *map(pa.array, columns, types)], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, others: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
     Null and empty texts are the end alone. Repeated rows each get their own equal result. Scores are sums of log10
     probabilities over all tokens of the whole text.
     """
-    top = most_frequent(counts)
-    return score_coded(coded(docs, numbered(docs.sparkSession, top), held_out, id_col, text_col), model, counts)
+    return score_classed(classed(coded(docs, numbered(docs.sparkSession, model.words), held_out, id_col, text_col), others), model)
 
 
-def score_coded(texts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """What ``score`` returns, of texts that are coded already."""
+def score_classed(texts: DataFrame, model: Model) -> DataFrame:
+    """What ``score`` returns, of texts whose tokens all have their counts and classes."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
-    scored = texts.where("ids IS NOT NULL").select("key", "doc", "held_out", "ids").mapInArrow(
-        _scored(shared), "key string, doc bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, model double")
-    others = (
-        texts.where("word IS NOT NULL").select("key", "word", "tf").join(counts, "word", "left")
-        .groupBy("key").agg(
-            F.sum("tf").alias("n_other"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more"),
-            F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs2")))
     per_token = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
-    logs2 = F.coalesce("logs2", F.lit(0.0))
-    return scored.join(others, "key", "left").select(
-        F.col("doc").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("logs") + logs2 - F.col("n_tokens") * per_token).alias("base_score"),
-        (F.col("model") + logs2 - F.coalesce("n_other", F.lit(0)) * model.other).alias("score"))
+    return texts.mapInArrow(
+        _scored(shared), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double",
+    ).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * per_token).alias("base_score"), "score")
 
 
 def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, folds: int = 5) -> DataFrame:
@@ -421,6 +586,5 @@ def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = token_counts(docs.where(~held), text_col)
     top = most_frequent(counts)
     # Texts are cut into tokens twice: to count them, and to number them for all that follows.
-    texts = coded(docs, numbered(docs.sparkSession, top), held, id_col, text_col)
-    model = fit(texts.where("ids IS NOT NULL AND NOT held_out").select("ids"), counts, top)
-    return score_coded(texts, model, counts)
+    model, _, texts = fit(coded(docs, numbered(docs.sparkSession, [bytes(r["word"]) for r in top]), held, id_col, text_col), counts, top)
+    return score_classed(texts, model)

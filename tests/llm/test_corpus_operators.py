@@ -251,13 +251,16 @@ def test_language_model(spark, docs, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(counts[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
         assert r.score < 0
-    model, _ = lbl.learn(some)
+    model, others = lbl.learn(some)
     total = np.exp(model.near[:, None, :] + model.far[None, :, :] - model.norm.T[:, :, None]).sum(axis=2)
     assert np.allclose(total, 1)
     assert lbl.train_and_score(empty).count() == 0
     assert lbl.score(docs, *lbl.learn(empty), F.lit(True)).count() == docs.count()
-    shares = np.bincount(model.labels[:-1], 10 ** model.shares[:-1])
-    assert np.allclose(shares[:model.rare], 1)
+    held = np.bincount(model.labels, model.counts + 0.5, model.rare + 1)
+    for r in others.collect():
+        held[r["class"]] += r.n + 0.5
+    held[model.rare] += 0.5
+    assert np.allclose(held, model.whole)
 
 
 def test_language_model_held_out(spark, sf):
@@ -265,6 +268,42 @@ def test_language_model_held_out(spark, sf):
     assert sum(r.score for r in got) > 0.98 * sum(r.base_score for r in got)
 
 
+def test_language_model_without_a_frequent_list(spark, docs, monkeypatch):
+    # With a short list most tokens take the joined path: counts and probabilities stay the same.
+    some = docs.where("doc_id is not null")
+    whole = {(r.doc_id, r.n_tokens, r.n_known): r for r in lbl.train_and_score(some).collect()}
+    monkeypatch.setattr(lbl, "FREQUENT", 20)
+    monkeypatch.setattr(lbl, "HEADS", 15)
+    got = {(r.doc_id, r.n_tokens, r.n_known): r for r in lbl.train_and_score(some).collect()}
+    assert got.keys() == whole.keys()
+    assert all(got[k].base_score == pytest.approx(whole[k].base_score) for k in got)
+    model, others = lbl.learn(some)
+    assert len(model.words) == 20 and len(model.labels) == 20
+    classes = {r["class"] for r in others.where(f"n >= {lbl.SEEN}").collect()}
+    assert len(classes - {model.rare}) > 1 and {r["class"] for r in others.where(f"n < {lbl.SEEN}").collect()} <= {model.rare}
+
+
+def test_shares_keep_all_counts(spark):
+    rows = [(1, 10 * lbl.STEPS * lbl.ROUNDS * lbl.BATCH), (2, 7), (3, 1)]
+    total = sum(n for _, n in rows)
+    cut = lbl.shares(spark.createDataFrame(rows, "k bigint, n bigint"), total)
+    assert cut.rdd.getNumPartitions() == total // lbl.share_tokens(total)
+    got = Counter()
+    for r in cut.collect():
+        got[r.k] += r.n
+        assert r.n <= lbl.share_tokens(total)
+    assert got == dict(rows)
+
+
+def test_company_across_texts(spark):
+    # Words without a number are known by their spelling, and gaps part the texts.
+    ids = [np.array([0, -1, 1, -2], np.int32), np.array([-1, 0], np.int32)]
+    batch = pa.record_batch([pa.array([i.tobytes() for i in ids]), pa.array([[b"x", b"y"], [b"y"]])], names=["ids", "words"])
+    out, named = (o.to_pydict() for o in lbl._company(2, 2, np.array([0, 1]), 2)(iter([batch])))
+    got = {w: (n, a, b) for w, n, a, b in zip(out["word"], out["n"], out["c0"], out["c1"])}
+    assert got == {b"x": (1, 1, 1), b"y": (2, 2, 1)} and named["n"] == []
+
+
 def test_head_groups():
     blocks = np.kron(np.eye(3), np.full((4, 4), 50.0)) + 1
     groups = lbl.head_groups(blocks, groups=3)
