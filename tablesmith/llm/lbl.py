@@ -42,6 +42,8 @@ DIM, NOISE, STEPS, ROUNDS, BATCH, RATE = 16, 128, 300, 5, 2048, 0.05
 PULL = 2.0
 #: Rows of one matrix product: small enough that it stays on the task's own thread.
 _BLOCK = 128
+#: Steps whose trigrams are drawn at once.
+_DRAWN = 64
 _OUT_ROWS, _OUT_BYTES = 50_000, 1 << 24
 _GAP = np.iinfo(np.int32).min
 _CODED = "key bigint, doc bigint, held_out boolean, ids binary, words array<binary>"
@@ -367,6 +369,12 @@ def parts(theta: np.ndarray, v: int, dim: int = DIM) -> tuple[np.ndarray, ...]:
     return theta[:a].reshape(v + 1, dim), theta[a:a + dim], theta[a + dim:b], theta[b:b + v * dim].reshape(v, dim), theta[b + v * dim:]
 
 
+def _added(places: np.ndarray, rows: np.ndarray, height: int) -> np.ndarray:
+    """Rows summed by place."""
+    width = rows.shape[1]
+    return np.bincount((places[:, None] * width + np.arange(width)).ravel(), rows.ravel(), height * width).reshape(height, width)
+
+
 def nce_steps(theta: np.ndarray, keys: np.ndarray, n: np.ndarray, unigram: np.ndarray, steps: int, rate: float, seed: int) -> np.ndarray:
     """Steps of Adam on the noise-contrastive loss over trigrams drawn by their counts; noise is shared in a batch.
 
@@ -378,19 +386,25 @@ def nce_steps(theta: np.ndarray, keys: np.ndarray, n: np.ndarray, unigram: np.nd
     theta, late = theta.copy(), np.zeros_like(theta)
     m, s = np.zeros_like(theta), np.zeros_like(theta)
     offset = np.log(NOISE * unigram)
-    false = np.empty((BATCH // _BLOCK, _BLOCK, NOISE))
+    # Single precision is enough for the many products with noise; weights and their moments are double.
+    false = np.empty((BATCH // _BLOCK, _BLOCK, NOISE), dtype=np.float32)
     centre = np.zeros_like(theta)
     parts(centre, v)[4][:] = np.log(unigram)
     for i in range(1, steps + 1):
-        k = keys[np.minimum(np.searchsorted(edges, rng.random(BATCH) * edges[-1], side="right"), len(keys) - 1)]
+        if (i - 1) % _DRAWN == 0:
+            # Drawn in order, which keeps the search in the cache, then shuffled.
+            at = np.sort(rng.random(min(_DRAWN, steps + 1 - i) * BATCH)) * edges[-1]
+            drawn = keys[np.minimum(np.searchsorted(edges, at, side="right"), len(keys) - 1)]
+            rng.shuffle(drawn)
+        k = drawn[(i - 1) % _DRAWN * BATCH:][:BATCH]
         w, one, two = k % size, k // size % size, k // size // size
         noise = np.minimum(np.searchsorted(noise_edges, rng.random(NOISE) * noise_edges[-1], side="right"), v - 1)
         r, c1, c2, q, b = parts(theta, v)
         h = r[one] * c1 + r[two] * c2
         real = 1 / (1 + np.exp(-np.clip((h * q[w]).sum(axis=1) + b[w] - offset[w], -30, 30))) - 1
-        against, blocks = q[noise], h.reshape(-1, _BLOCK, h.shape[1])
+        against, blocks = q[noise].astype(np.float32), h.astype(np.float32).reshape(-1, _BLOCK, h.shape[1])
         np.matmul(blocks, against.T, out=false)
-        false += b[noise] - offset[noise]
+        false += (b[noise] - offset[noise]).astype(np.float32)
         np.clip(false, -30, 30, out=false)
         np.negative(false, out=false)
         np.exp(false, out=false)
@@ -399,14 +413,11 @@ def nce_steps(theta: np.ndarray, keys: np.ndarray, n: np.ndarray, unigram: np.nd
         dh = real[:, None] * q[w] + (false @ against).reshape(h.shape)
         g = np.zeros_like(theta)
         gr, g1, g2, gq, gb = parts(g, v)
-        np.add.at(gr, one, dh * c1)
-        np.add.at(gr, two, dh * c2)
+        gr += _added(np.concatenate([one, two]), np.concatenate([dh * c1, dh * c2]), v + 1)
         g1 += (dh * r[one]).sum(axis=0)
         g2 += (dh * r[two]).sum(axis=0)
-        np.add.at(gq, w, real[:, None] * h)
-        np.add.at(gq, noise, (false.transpose(0, 2, 1) @ blocks).sum(axis=0))
-        np.add.at(gb, w, real)
-        np.add.at(gb, noise, false.sum(axis=(0, 1)))
+        gq += _added(np.concatenate([w, noise]), np.concatenate([real[:, None] * h, (false.transpose(0, 2, 1) @ blocks).sum(axis=0)]), v)
+        gb += np.bincount(w, real, v) + np.bincount(noise, false.sum(axis=(0, 1)), v)
         g = g / BATCH + PULL / edges[-1] * (theta - centre)
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         theta -= rate * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.99**i)) + 1e-8)
