@@ -23,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tablesmith.llm.common import fold, written
@@ -110,7 +111,7 @@ def _coded(shared):
     """For each text its tokens' numbers; ``-1 - j`` stands for the ``j``-th of the text's distinct tokens that have no number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        get, press = shared.value.get, zstandard.ZstdCompressor(level=1).compress
         rows: list[tuple] = []
         held_bytes = 0
 
@@ -125,7 +126,7 @@ def _coded(shared):
                 others: dict[bytes, int] = {}
                 if len(at):
                     ids[at] = [-1 - others.setdefault(ws[i], len(others)) for i in at.tolist()]
-                rows.append((key, doc, held, ids.tobytes(), list(others)))
+                rows.append((key, doc, held, press(ids.tobytes()), list(others)))
                 held_bytes += ids.nbytes + sum(map(len, others))
                 if len(rows) >= _OUT_ROWS or held_bytes >= _OUT_BYTES:
                     yield out()
@@ -145,8 +146,9 @@ def coded(docs: DataFrame, shared, held_out, id_col: str = "doc_id", text_col: s
 
 
 def _numbers(column) -> Iterator[np.ndarray]:
+    whole = zstandard.ZstdDecompressor().decompress
     for ids in column:
-        yield np.frombuffer(ids.as_buffer(), dtype=np.int32)
+        yield np.frombuffer(whole(ids.as_buffer()), dtype=np.int32)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], tokens_at_once: int = 2_000_000) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -426,18 +428,24 @@ def nce_steps(theta: np.ndarray, keys: np.ndarray, n: np.ndarray, unigram: np.nd
     return late / (steps - steps // 2)
 
 
-def _round(theta: np.ndarray, unigram: np.ndarray, number: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trigram counts of a share as one row."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if got:
         keys, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        weight = float(n.sum())
-        steps = max(STEPS, int(np.ceil(PASSES * weight / (ROUNDS * BATCH))))
-        new = nce_steps(theta, keys, n, unigram, steps, RATE / (1 + number), int(keys.min() + 7919 * number))
-        yield pa.record_batch([pa.array(np.arange(len(new))), pa.array(new * weight), pa.array(np.full(len(new), weight))], names=["i", "v", "w"])
+        yield pa.record_batch([pa.array([keys[order].tobytes()], pa.binary()), pa.array([n[order].tobytes()], pa.binary())], names=["k", "n"])
+
+
+def _round(theta: np.ndarray, unigram: np.ndarray, number: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in zip(batch.column(0), batch.column(1)):
+                keys, n = np.frombuffer(k.as_buffer(), dtype=np.int64), np.frombuffer(c.as_buffer(), dtype=np.int64)
+                weight = float(n.sum())
+                steps = max(STEPS, int(np.ceil(PASSES * weight / (ROUNDS * BATCH))))
+                new = nce_steps(theta, keys, n, unigram, steps, RATE / (1 + number), int(keys[0] + 7919 * number))
+                yield pa.record_batch([pa.array(np.arange(len(new))), pa.array(new * weight), pa.array(np.full(len(new), weight))], names=["i", "v", "w"])
 
     return run
 
@@ -534,8 +542,10 @@ def fit(texts: DataFrame, counts: DataFrame, top: list) -> tuple[Model, DataFram
         grams = written(
             ready.where("NOT held_out").select("ids", "n_words", "at", "n", "class").mapInArrow(_trigrams(labels, rare), "k bigint, n bigint")
             .groupBy("k").agg(F.sum("n").alias("n")), "trigrams")
+        # Dealt once: every round reads the same shares, each a row.
+        dealt = written(shares(grams, total).mapInArrow(_packed, "k binary, n binary"), "shares")
         for number in range(ROUNDS):
-            mean = shares(grams, total).mapInArrow(_round(theta, unigram, number), "i bigint, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
+            mean = dealt.mapInArrow(_round(theta, unigram, number), "i bigint, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
             theta = np.array([r["v"] for r in sorted(mean.collect(), key=lambda r: r["i"])])
     return Model(words, kept, labels, whole, total, int(stats["v"]), *normalised(spark, theta, size > 0)), others, ready
 

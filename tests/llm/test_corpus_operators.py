@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from compare import connect, mismatch
 
 import __spark_entry__ as entry
@@ -298,7 +299,7 @@ def test_shares_keep_all_counts(spark):
 def test_company_across_texts(spark):
     # Words without a number are known by their spelling, and gaps part the texts.
     ids = [np.array([0, -1, 1, -2], np.int32), np.array([-1, 0], np.int32)]
-    batch = pa.record_batch([pa.array([i.tobytes() for i in ids]), pa.array([[b"x", b"y"], [b"y"]])], names=["ids", "words"])
+    batch = pa.record_batch([pa.array([zstandard.compress(i.tobytes()) for i in ids]), pa.array([[b"x", b"y"], [b"y"]])], names=["ids", "words"])
     out, named = (o.to_pydict() for o in lbl._company(2, 2, np.array([0, 1]), 2)(iter([batch])))
     got = {w: (n, a, b) for w, n, a, b in zip(out["word"], out["n"], out["c0"], out["c1"])}
     assert got == {b"x": (1, 1, 1), b"y": (2, 2, 1)} and named["n"] == []
