@@ -14,7 +14,7 @@ A = f"WITH {AUDIT_SQL}"
 
 
 def replay(spark, sf, name="events", ts="ts"):
-    return ev.event_stream(spark, sf, table(spark, sf, name).schema, ts, glob=f"{name}.parquet")
+    return ev.table_stream(spark, sf, name, table(spark, sf, name).schema).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
 def audit_replay(spark, sf):
@@ -126,7 +126,7 @@ def stream_dedup(spark, sf, progress=None):
 
 @query("stream_dedup_documents", "SELECT DISTINCT md5(text) AS content_hash FROM documents")
 def stream_dedup_documents(spark, sf):
-    docs = ev.file_stream(spark, sf, table(spark, sf, "documents").schema, glob="documents.parquet")
+    docs = ev.table_stream(spark, sf, "documents", table(spark, sf, "documents").schema)
     # The documents carry no time; one time stamp for all keeps every hash inside the delay.
     hashed = docs.select(F.md5(F.col("text").cast("binary")).alias("content_hash"), F.lit("2024-01-01").cast("timestamp").alias("seen"))
     return ev.drained(ev.dedup_stream(hashed, ["content_hash"], "seen", "1 day")).select("content_hash")
@@ -203,7 +203,7 @@ SELECT o_orderkey, round(i + s * o_custkey, 2) AS prediction FROM orders, m""")
 def stream_score(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     model = regression.fit(orders, "o_totalprice", ["o_custkey"]).model
-    arriving = ev.file_stream(spark, sf, table(spark, sf, "orders").schema, glob="orders.parquet").select(*orders.columns)
+    arriving = ev.table_stream(spark, sf, "orders", table(spark, sf, "orders").schema).select(*orders.columns)
     return rounded(ev.drained(jobs.score_stream(model, arriving)).select("o_orderkey", "prediction"), 2, "prediction")
 
 

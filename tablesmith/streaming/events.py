@@ -19,6 +19,12 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", gl
     return reader.load(path)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """The table ``<folder>/<name>.parquet`` as a stream, be it a file or a folder of files."""
+    # Braces make the path a pattern: Spark's streams take folders and patterns, a plain path to a file they refuse.
+    return file_stream(spark, f"{folder}/{{{name}}}.parquet", schema)
+
+
 def event_stream(spark: SparkSession, path: str, schema, ts: str = "ts", **kw) -> DataFrame:
     """Event files as a stream; the time column becomes a time stamp that watermarks accept."""
     return file_stream(spark, path, schema, **kw).withColumn(ts, F.col(ts).cast("timestamp"))

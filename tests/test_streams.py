@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,20 @@ def test_refused_rows(spark):
     again = spark.createDataFrame(days[0], schema)
     job.write(job.judged(again), 0)
     assert [r.k for r in job.accepted(spark).collect()] == [1]
+
+
+def test_tables_as_files_and_folders(spark, tmp_path):
+    """Small tables are one file, larger ones a folder of files; other tables beside them stay out."""
+    rows = spark.createDataFrame([(i, f"text {i % 5}") for i in range(20)], "doc_id long, text string")
+    folder, single = str(tmp_path / "folder"), str(tmp_path / "single")
+    rows.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    rows.write.parquet(f"{folder}/more_documents.parquet")
+    (tmp_path / "single").mkdir()
+    for name in ("documents", "more_documents"):
+        pq.write_table(rows.toArrow(), f"{single}/{name}.parquet")
+    for place in (folder, single):
+        assert streams.stream_dedup_documents(spark, place).count() == 5
+        assert ev.drained(ev.table_stream(spark, place, "documents", rows.schema)).count() == 20
+    events = spark.createDataFrame([(1, "export", 1, 200.0, START), (2, "purchase", 2, 1.0, START)], "event_id int, event_type string, user_id int, value double, ts timestamp")
+    events.repartition(2).write.parquet(f"{folder}/events.parquet")
+    assert sorted((r.event_id, r.kind) for r in streams.stream_notifications(spark, folder).collect()) == [(1, "system_alert"), (2, "dataset_processed")]
