@@ -100,11 +100,12 @@ class Model:
     def rare(self) -> int:
         return self.near.shape[1] - 1
 
-    def class_log10(self, classes: np.ndarray) -> np.ndarray:
-        start = self.near.shape[0] - 1
-        one = np.r_[start, classes[:-1]]
-        two = np.r_[[start, start][:len(classes)], classes[:-2]]
-        return (self.near[one, classes] + self.far[two, classes] - self.norm[two, one]) / np.log(10)
+    def class_log10(self, classes: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+        """Of one text, or of several that begin at ``starts``."""
+        height, width = self.near.shape
+        one, two = _before(classes, np.zeros(min(1, len(classes)), dtype=np.int64) if starts is None else starts, height - 1)
+        near, far = self.near.ravel().take(one * width + classes), self.far.ravel().take(two * width + classes)
+        return (near + far - self.norm.ravel().take(two * height + one)) / np.log(10)
 
 
 def _coded(shared):
@@ -318,25 +319,46 @@ def classed(texts: DataFrame, others: DataFrame) -> DataFrame:
         "classed")
 
 
-def _tokens_of(batch: pa.RecordBatch, rare: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each text (ids, n_words, at, n, class) its numbers, and the counts and classes that ``-1 - number`` points to."""
+def _tokens_of(batch: pa.RecordBatch, rare: int, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts (ids, n_words, at, n, class), some at a time, their numbers, the counts and classes that ``-1 - number`` points to, and where each begins."""
     lists = []
     for name in ("at", "n", "class"):
         column = batch.column(batch.schema.get_field_index(name))
         lists.append((column.offsets.to_numpy(), column.values.to_numpy()))
     sizes = batch.column(batch.schema.get_field_index("n_words")).to_numpy()
-    for i, ids in enumerate(_numbers(batch.column(batch.schema.get_field_index("ids")))):
-        at, n, c = (values[offsets[i]:offsets[i + 1]] for offsets, values in lists)
-        counts, classes = np.zeros(sizes[i], dtype=np.int64), np.full(sizes[i], rare, dtype=np.int64)
+    held, first, size = [], 0, 0
+    for i, ids in enumerate(_numbers(batch.column(batch.schema.get_field_index("ids"))), 1):
+        held.append(ids)
+        size += len(ids)
+        if size < at_once and i < batch.num_rows:
+            continue
+        lengths, words = np.array([len(x) for x in held]), sizes[first:i].astype(np.int64)
+        base = np.cumsum(words) - words
+        whole = np.concatenate(held).astype(np.int64)
+        whole = np.where(whole < 0, whole - np.repeat(base, lengths), whole)
+        at, n, c = (values[offsets[first]:offsets[i]] for offsets, values in lists)
+        at = at + np.repeat(base, np.diff(lists[0][0][first:i + 1]))
+        counts, classes = np.zeros(words.sum(), dtype=np.int64), np.full(words.sum(), rare, dtype=np.int64)
         counts[at], classes[at] = n, c
-        yield ids, counts, classes
+        yield whole, counts, classes, np.cumsum(lengths) - lengths
+        held, first, size = [], i, 0
 
 
 def _looked_up(ids: np.ndarray, of_number: np.ndarray, of_other: np.ndarray) -> np.ndarray:
-    if not len(of_other):
-        return of_number[ids]
-    # -1 - j counts from the end: the others follow in reverse.
-    return np.r_[of_number, of_other[::-1]][ids]
+    if not len(of_number):
+        return of_other[-1 - ids]
+    out, at = of_number[np.maximum(ids, 0)], np.flatnonzero(ids < 0)
+    out[at] = of_other[-1 - ids[at]]
+    return out
+
+
+def _before(classes: np.ndarray, starts: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes one and two before each token; texts begin at ``starts`` and are preceded by the class ``start``."""
+    one, two = np.full(len(classes), start), np.full(len(classes), start)
+    one[1:], two[2:] = classes[:-1], classes[:-2]
+    one[starts] = two[starts] = start
+    two[starts[starts + 1 < len(two)] + 1] = start
+    return one, two
 
 
 def _trigrams(labels: np.ndarray, rare: int):
@@ -346,9 +368,9 @@ def _trigrams(labels: np.ndarray, rare: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
-            for ids, _, classes in _tokens_of(batch, rare):
+            for ids, _, classes, starts in _tokens_of(batch, rare):
                 c = _looked_up(ids, labels, classes)
-                one, two = np.r_[start, c[:-1]], np.r_[[start, start][:len(c)], c[:-2]]
+                one, two = _before(c, starts, start)
                 keys.append((two * size + one) * size + c)
             if keys:
                 k, n = np.unique(np.concatenate(keys), return_counts=True)
@@ -373,8 +395,7 @@ def parts(theta: np.ndarray, v: int, dim: int = DIM) -> tuple[np.ndarray, ...]:
 
 def _added(places: np.ndarray, rows: np.ndarray, height: int) -> np.ndarray:
     """Rows summed by place."""
-    width = rows.shape[1]
-    return np.bincount((places[:, None] * width + np.arange(width)).ravel(), rows.ravel(), height * width).reshape(height, width)
+    return np.stack([np.bincount(places, column, height) for column in np.ascontiguousarray(rows.T)], axis=1)
 
 
 def nce_steps(theta: np.ndarray, keys: np.ndarray, n: np.ndarray, unigram: np.ndarray, steps: int, rate: float, seed: int) -> np.ndarray:
@@ -388,40 +409,47 @@ def nce_steps(theta: np.ndarray, keys: np.ndarray, n: np.ndarray, unigram: np.nd
     theta, late = theta.copy(), np.zeros_like(theta)
     m, s = np.zeros_like(theta), np.zeros_like(theta)
     offset = np.log(NOISE * unigram)
-    # Single precision is enough for the many products with noise; weights and their moments are double.
-    false = np.empty((BATCH // _BLOCK, _BLOCK, NOISE), dtype=np.float32)
-    centre = np.zeros_like(theta)
+    dim = parts(theta, v)[1].shape[0]
+    # Single precision is enough for the products with noise; weights and their moments are double. The last column of both
+    # factors carries the biases. A logistic function is (1 + tanh(x / 2)) / 2, so that one pass over the products is enough.
+    turned = np.empty((_BLOCK, NOISE), dtype=np.float32)
+    pulled = np.empty((BATCH // _BLOCK, _BLOCK, dim), dtype=np.float32)
+    blocks = np.ones((BATCH // _BLOCK, _BLOCK, dim + 1), dtype=np.float32)
+    flat = blocks.reshape(BATCH, dim + 1)
+    against = np.empty((NOISE, dim + 1), dtype=np.float32)
+    centre, g = np.zeros_like(theta), np.empty_like(theta)
     parts(centre, v)[4][:] = np.log(unigram)
+    r, c1, c2, q, b = parts(theta, v)
+    gr, g1, g2, gq, gb = parts(g, v)
     for i in range(1, steps + 1):
         if (i - 1) % _DRAWN == 0:
-            # Drawn in order, which keeps the search in the cache, then shuffled.
-            at = np.sort(rng.random(min(_DRAWN, steps + 1 - i) * BATCH)) * edges[-1]
-            drawn = keys[np.minimum(np.searchsorted(edges, at, side="right"), len(keys) - 1)]
-            rng.shuffle(drawn)
-        k = drawn[(i - 1) % _DRAWN * BATCH:][:BATCH]
-        w, one, two = k % size, k // size % size, k // size // size
+            # Drawn in order (sums of exponential gaps), which needs no sort and keeps the search in the cache, and dealt to the steps.
+            at = np.cumsum(rng.standard_exponential(min(_DRAWN, steps + 1 - i) * BATCH + 1))
+            at = np.searchsorted(edges, at[:-1] * (edges[-1] / at[-1]), side="right")
+            drawn = rng.permutation(keys[np.minimum(at, len(keys) - 1)].reshape(BATCH, -1).T)
+        k = drawn[(i - 1) % _DRAWN]
+        context, w = np.divmod(k, size)
+        two, one = np.divmod(context, size)
         noise = np.minimum(np.searchsorted(noise_edges, rng.random(NOISE) * noise_edges[-1], side="right"), v - 1)
-        r, c1, c2, q, b = parts(theta, v)
-        h = r[one] * c1 + r[two] * c2
-        real = 1 / (1 + np.exp(-np.clip((h * q[w]).sum(axis=1) + b[w] - offset[w], -30, 30))) - 1
-        against, blocks = q[noise].astype(np.float32), h.astype(np.float32).reshape(-1, _BLOCK, h.shape[1])
-        np.matmul(blocks, against.T, out=false)
-        false += (b[noise] - offset[noise]).astype(np.float32)
-        np.clip(false, -30, 30, out=false)
-        np.negative(false, out=false)
-        np.exp(false, out=false)
-        false += 1
-        np.reciprocal(false, out=false)
-        dh = real[:, None] * q[w] + (false @ against).reshape(h.shape)
-        g = np.zeros_like(theta)
-        gr, g1, g2, gq, gb = parts(g, v)
-        gr += _added(np.concatenate([one, two]), np.concatenate([dh * c1, dh * c2]), v + 1)
-        g1 += (dh * r[one]).sum(axis=0)
-        g2 += (dh * r[two]).sum(axis=0)
-        gq += _added(np.concatenate([w, noise]), np.concatenate([real[:, None] * h, (false.transpose(0, 2, 1) @ blocks).sum(axis=0)]), v)
-        gb += np.bincount(w, real, v) + np.bincount(noise, false.sum(axis=(0, 1)), v)
-        g = g / BATCH + PULL / edges[-1] * (theta - centre)
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+        flat[:, :dim] = h = (r * c1).take(one, axis=0) + (r * c2).take(two, axis=0)
+        qw = q.take(w, axis=0)
+        real = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", h, qw) + (b - offset)[w], -30, 30))) - 1
+        against[:, :dim], against[:, dim] = q[noise], (b - offset)[noise]
+        halves, vectors = against.T * np.float32(0.5), np.ascontiguousarray(against[:, :dim])
+        of_noise = np.r_[h.sum(axis=0), BATCH]
+        for block, out in zip(blocks, pulled):
+            np.tanh(np.matmul(block, halves, out=turned), out=turned)
+            np.matmul(turned, vectors, out=out)
+            of_noise = of_noise + turned.T @ block
+        of_noise *= 0.5
+        dh = real[:, None] * qw + 0.5 * (pulled.reshape(h.shape) + vectors.sum(axis=0))
+        after_one, after_two = _added(one, dh, v + 1), _added(two, dh, v + 1)
+        gr[:] = after_one * c1 + after_two * c2
+        g1[:], g2[:] = (after_one * r).sum(axis=0), (after_two * r).sum(axis=0)
+        gq[:] = _added(w, real[:, None] * h, v) + _added(noise, of_noise[:, :dim], v)
+        gb[:] = np.bincount(w, real, v) + np.bincount(noise, of_noise[:, dim], v)
+        step = g / BATCH + PULL / edges[-1] * (theta - centre)
+        m, s = 0.9 * m + 0.1 * step, 0.99 * s + 0.01 * step * step
         theta -= rate * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.99**i)) + 1e-8)
         if 2 * i > steps:
             late += theta
@@ -429,12 +457,24 @@ def nce_steps(theta: np.ndarray, keys: np.ndarray, n: np.ndarray, unigram: np.nd
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The trigram counts of a share as one row."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if got:
-        keys, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    """Rows (share, k, n) sorted by share to one row for each share, however many a task holds."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        keys, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2))
         order = np.argsort(keys, kind="stable")
-        yield pa.record_batch([pa.array([keys[order].tobytes()], pa.binary()), pa.array([n[order].tobytes()], pa.binary())], names=["k", "n"])
+        return pa.record_batch([pa.array([keys[order].tobytes()], pa.binary()), pa.array([n[order].tobytes()], pa.binary())], names=["k", "n"])
+
+    for batch in batches:
+        number = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]).tolist() if len(number) else []
+        for a, b in zip(starts, [*starts[1:], len(number)]):
+            if held and held[0].column(0)[0].as_py() != number[a]:
+                yield out()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield out()
 
 
 def _round(theta: np.ndarray, unigram: np.ndarray, number: int):
@@ -451,12 +491,17 @@ def _round(theta: np.ndarray, unigram: np.ndarray, number: int):
 
 
 def shares(grams: DataFrame, total: int) -> DataFrame:
-    """Trigram counts (k, n) dealt to tasks by hash; a trigram that alone fills a share is dealt to several."""
+    """Trigram counts (share, k, n), dealt by hash to as many shares as the tokens ask for, whatever the partitions; sorted by share in each.
+
+    A trigram that alone fills a share is dealt to several.
+    """
     share = share_tokens(total)
+    number = max(1, total // share)
     pieces = F.floor(F.col("n") / share).cast("int") + 1
     cut = grams.select("k", "n", pieces.alias("p")).select("k", "n", "p", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"))
     part = F.floor((F.col("i") + 1) * F.col("n") / F.col("p")) - F.floor(F.col("i") * F.col("n") / F.col("p"))
-    return cut.select("k", part.cast("long").alias("n"), "i").where("n > 0").repartition(max(1, total // share), "k", "i").select("k", "n")
+    return cut.select("k", part.cast("long").alias("n"), "i").where("n > 0").select(
+        F.pmod(F.xxhash64("k", "i"), F.lit(number)).alias("share"), "k", "n").repartition(number, "share").sortWithinPartitions("share")
 
 
 def score_tables(theta: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
@@ -569,15 +614,15 @@ def _scored(shared):
         whole = np.log10(np.where(model.whole > 0, model.whole, 1))
         logs = np.log10(model.counts + 0.5)
         for batch in batches:
-            sums = []
-            for ids, counts, classes in _tokens_of(batch, model.rare):
+            sums = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))]
+            for ids, counts, classes, starts in _tokens_of(batch, model.rare):
                 at = _looked_up(ids, model.labels, classes)
-                seen = float(_looked_up(ids, logs, np.log10(counts + 0.5)).sum())
-                n_known = int((_looked_up(ids, model.counts, counts) > 0).sum())
-                sums.append((len(ids), n_known, seen, float(model.class_log10(at).sum() + seen - whole[at].sum())))
-            columns = zip(*sums) if sums else [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.record_batch([*batch.columns[:2], *map(pa.array, columns, types)], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
+                seen = _looked_up(ids, logs, np.log10(counts + 0.5))
+                known = (_looked_up(ids, model.counts, counts) > 0).astype(np.int64)
+                found = model.class_log10(at, starts) + seen - whole[at]
+                sums.append((np.diff(np.r_[starts, len(ids)]), *(np.add.reduceat(x, starts) for x in (known, seen, found))))
+            columns = [pa.array(np.concatenate(c)) for c in zip(*sums)]
+            yield pa.record_batch([*batch.columns[:2], *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
 
     return run
 

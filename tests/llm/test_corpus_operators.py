@@ -296,6 +296,38 @@ def test_shares_keep_all_counts(spark):
     assert got == dict(rows)
 
 
+def test_shares_do_not_follow_the_partitions(spark, monkeypatch):
+    total = 8 * lbl.share_tokens(1)
+    rows = [(k, total // 4000) for k in range(4000)]
+    frame = type(spark.range(0))
+    deal = frame.repartition
+    packed = {}
+    for least in (1, 40):
+        monkeypatch.setattr(frame, "repartition", lambda self, n, *c, least=least: deal(self, max(n, least), *c))
+        got = lbl.shares(spark.createDataFrame(rows, "k bigint, n bigint"), total).mapInArrow(lbl._packed, "k binary, n binary").collect()
+        packed[least] = sorted((bytes(r.k), bytes(r.n)) for r in got)
+    assert packed[1] == packed[40] and len(packed[1]) == total // lbl.share_tokens(total)
+    assert sorted(np.concatenate([np.frombuffer(k, dtype=np.int64) for k, _ in packed[1]]).tolist()) == [k for k, _ in rows]
+
+
+def test_tokens_of_several_texts():
+    # Numbers of other words are counted anew in each text; contexts do not reach over the ends of texts.
+    ids = [np.array([5, -1, -2], np.int32), np.array([-1], np.int32), np.array([-2, 7, -1], np.int32)]
+    lists = {"at": [[0, 1], [], [1]], "n": [[9, 8], [], [4]], "class": [[1, 2], [], [3]]}
+    batch = pa.record_batch(
+        [pa.array([zstandard.compress(i.tobytes()) for i in ids]), pa.array([2, 1, 2], pa.int32()), *[pa.array(x, pa.list_(pa.int64())) for x in lists.values()]],
+        names=["ids", "n_words", *lists])
+    for at_once in (1, 4, 100):
+        found = []
+        for whole, counts, classes, starts in lbl._tokens_of(batch, 6, at_once):
+            c = lbl._looked_up(whole, np.arange(10), classes)
+            n = lbl._looked_up(whole, np.full(10, 50), counts)
+            one, two = lbl._before(c, starts, 99)
+            found += [x.tolist() for x in np.split(np.stack([c, n, one, two], axis=1), starts[1:])]
+        assert found == [
+            [[5, 50, 99, 99], [1, 9, 5, 99], [2, 8, 1, 5]], [[6, 0, 99, 99]], [[3, 4, 99, 99], [7, 50, 3, 99], [6, 0, 7, 3]]]
+
+
 def test_company_across_texts(spark):
     # Words without a number are known by their spelling, and gaps part the texts.
     ids = [np.array([0, -1, 1, -2], np.int32), np.array([-1, 0], np.int32)]
