@@ -390,14 +390,18 @@ def labelled_documents(spark, sf):
     t = F.col("text")
     docs = table(spark, sf, "documents").select(
         "doc_id", F.log1p(F.length(t)).alias("log_chars"), F.log1p(F.size(F.split(t, r"\s+"))).alias("log_words"),
-        F.try_divide(F.length(F.regexp_replace(t, "[^0-9]", "")), F.length(t)).alias("digit_share"),
-        F.try_divide(F.length(F.regexp_replace(t, "[a-zA-Z\\s]", "")), F.length(t)).alias("symbol_share"))
+        F.try_divide(F.length(F.regexp_replace(t, "[^0-9]+", "")), F.length(t)).alias("digit_share"),
+        F.try_divide(F.length(F.regexp_replace(t, "[a-zA-Z\\s]+", "")), F.length(t)).alias("symbol_share"))
     return docs.join(table(spark, sf, "labels"), "doc_id")
 
 
 @query("fit_mlp_classifier")
 def fit_mlp_classifier(spark, sf):
-    df = labelled_documents(spark, sf)
+    # Texts are read once: means, scaling, codes, training and scoring pass over the written figures, which every core has a part of.
+    path, rows = scratch_path(spark, "figures"), labelled_documents(spark, sf)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(parts).write.parquet(path)
+    df = spark.read.schema(rows.schema).parquet(path)
     m = classification.fit_mlp(df, "quality", ["log_chars", "log_words", "digit_share", "symbol_share"], "simple", max_iter=60)
     scored = m.predict(df).select("doc_id", "quality", "prediction", "confidence")
     return scored.groupBy("quality", "prediction").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 2).alias("mean_confidence"))

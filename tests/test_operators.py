@@ -233,3 +233,20 @@ def test_outlier_removal_keeps_nulls_and_recomputes(spark):
     left = sorted((r["a"], r["b"]) for r in cleaning.remove_outliers(df).collect() if r["b"] is not None)
     assert left == [(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)] and cleaning.remove_outliers(df).where("b IS NULL").count() == 1
     assert not math.isnan(left[0][0])
+
+
+def test_classifier_reads_texts_once(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablesmith.plans import modelling
+
+    met, plain = spark.sparkContext.accumulator(0), modelling.labelled_documents
+
+    @F.udf("long")
+    def seen(k):
+        met.add(1)
+        return k
+
+    monkeypatch.setattr(modelling, "labelled_documents", lambda *a: plain(*a).withColumn("doc_id", seen.asNondeterministic()("doc_id")))
+    rows = modelling.fit_mlp_classifier(spark, sf).collect()
+    assert met.value == sum(r.n for r in rows) == plain(spark, sf).count()
