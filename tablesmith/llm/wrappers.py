@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Up to ``PAGES`` pages of a host, picked by hash, are aligned with simple tree matching: two trees match where their tags
-and classes do, and a dynamic programme over children keeps their order. A slot (path of tags and classes) whose text is
-the same in all aligned pages may be template, a slot that varies is content. What may be template is then looked up on all
-pages of the host, and only a slot that never holds another text is template. Regions that by tag, role or class name are
+Every page is aligned with its host's first page (by hash) with simple tree matching: two trees match where their tags
+and classes do, and a dynamic programme over children keeps their order. A slot (path of tags and classes) is template if
+aligned nodes have the same text in it on at least ``MIN_SAME`` different pages, and no page of the host, aligned there
+or not, holds another text in it; any other slot is content. Regions that by tag, role or class name are
 menus, headers, footers, sidebars, notices, adverts, forms or comments are left out also where they vary. Every page is
 then read with its host's wrapper; a host with too few different pages has an empty one.
 """
@@ -11,7 +11,6 @@ then read with its host's wrapper; a host with too few different pages has an em
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -21,11 +20,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesmith.llm.common import written
 
-PAGES = 8
-#: A slot is template if it was the same in so many comparisons of pages and never different.
+#: A slot is template if it was the same on so many different pages as on the host's first, and never different.
 MIN_SAME = 4
-#: Pages picked and wrappers are broadcast up to so many rows (both are bounded per host, hosts are not).
-BROADCAST_ROWS = 20_000
+#: First pages and wrappers are broadcast up to so many rows and characters; their number grows with the hosts.
+BROADCAST_ROWS, BROADCAST_CHARS = 20_000, 1 << 25
+#: First pages held as trees, counts of slots held, and shapes of subtrees held, before they are passed on or made anew.
+_TREES, _SLOTS, _SHAPES = 256, 50_000, 200_000
 
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = set(
@@ -43,7 +43,7 @@ SCOPES = set("article aside body div footer form header html main nav ol section
 
 
 class Node:
-    __slots__ = ("tag", "name", "hidden", "children")
+    __slots__ = ("tag", "name", "hidden", "children", "shape", "size")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
         words = re.split(r"[\s_-]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
@@ -112,42 +112,81 @@ def own_text(node: Node) -> str:
     return " ".join("".join(c for c in node.children if isinstance(c, str)).split())
 
 
-def match(a: Node, b: Node, cache: dict) -> int:
-    """Nodes in the largest match of two trees that keeps tags, classes and order; ``cache`` gets those of all subtrees met."""
-    todo = [(a, b)] if a.name == b.name else []
+class Shapes:
+    """Numbers for the shapes of subtrees (names in order, texts left out), and matches of two shapes: pages of a host share most."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.matches: dict[tuple[int, int], int] = {}
+
+    def number(self, root: Node) -> None:
+        order, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo += _nodes(node)
+        for node in reversed(order):
+            key = (node.name, *[c.shape for c in node.children if isinstance(c, Node)])
+            node.shape = self.numbers.setdefault(key, len(self.numbers))
+            node.size = 1 + sum(c.size for c in node.children if isinstance(c, Node))
+
+
+def _apart(xs: list[Node], ys: list[Node]) -> tuple[int, int]:
+    """How many children in front and at the end have equal shapes: matching these with each other is always best."""
+    n, front, back = min(len(xs), len(ys)), 0, 0
+    while front < n and xs[front].shape == ys[front].shape:
+        front += 1
+    while back < n - front and xs[-1 - back].shape == ys[-1 - back].shape:
+        back += 1
+    return front, back
+
+
+def match(a: Node, b: Node, matches: dict) -> int:
+    """Nodes in the largest match of two numbered trees that keeps tags, classes and order; ``matches`` gets those of all shapes met."""
+    todo = [(a, b)] if a.name == b.name and a.shape != b.shape else []
     # A list as stack: pages nest deeper than Python's own.
     while todo:
         x, y = todo[-1]
-        if (id(x), id(y)) not in cache:
+        if (x.shape, y.shape) not in matches:
             xs, ys = _nodes(x), _nodes(y)
-            missing = [(c, d) for c in xs for d in ys if c.name == d.name and (id(c), id(d)) not in cache]
+            front, back = _apart(xs, ys)
+            ends = sum(c.size for c in [*xs[:front], *xs[len(xs) - back:]])
+            xs, ys = xs[front:len(xs) - back], ys[front:len(ys) - back]
+            missing = [(c, d) for c in xs for d in ys if c.name == d.name and c.shape != d.shape and (c.shape, d.shape) not in matches]
             if missing:
                 todo += missing
                 continue
-            cache[id(x), id(y)] = 1 + _table(xs, ys, cache)[-1][-1]
+            matches[x.shape, y.shape] = 1 + ends + _table(xs, ys, matches)[-1][-1]
         todo.pop()
-    return cache.get((id(a), id(b)), 0)
+    return _weight(a, b, matches)
 
 
-def _table(xs: list[Node], ys: list[Node], cache: dict) -> list[list[int]]:
+def _weight(x: Node, y: Node, matches: dict) -> int:
+    return x.size if x.shape == y.shape else matches.get((x.shape, y.shape), 0) if x.name == y.name else 0
+
+
+def _table(xs: list[Node], ys: list[Node], matches: dict) -> list[list[int]]:
     rows = [[0] * (len(ys) + 1)]
     for x in xs:
         last, row = rows[-1], [0]
         for j, y in enumerate(ys):
-            row.append(max(row[-1], last[j + 1], last[j] + cache.get((id(x), id(y)), 0)))
+            row.append(max(row[-1], last[j + 1], last[j] + _weight(x, y, matches)))
         rows.append(row)
     return rows
 
 
-def aligned(a: Node, b: Node, path: str, cache: dict) -> Iterator[tuple[str, Node, Node]]:
-    """(slot, node, node) of the matched nodes of two matching trees."""
-    match(a, b, cache)
-    todo = [(path, a, b)]
+def aligned(a: Node, b: Node, matches: dict) -> Iterator[tuple[Node, Node]]:
+    """The matched nodes of two numbered trees."""
+    match(a, b, matches)
+    todo = [(a, b)] if a.name == b.name else []
     while todo:
-        path, a, b = todo.pop()
-        yield path, a, b
+        a, b = todo.pop()
+        yield a, b
         xs, ys = _nodes(a), _nodes(b)
-        rows = _table(xs, ys, cache)
+        front, back = (len(xs), 0) if a.shape == b.shape else _apart(xs, ys)
+        todo += [*zip(xs[:front], ys), *zip(xs[len(xs) - back:], ys[len(ys) - back:])]
+        xs, ys = xs[front:len(xs) - back], ys[front:len(ys) - back]
+        rows = _table(xs, ys, matches)
         i, j = len(xs), len(ys)
         while i and j:
             if rows[i][j] == rows[i - 1][j]:
@@ -156,24 +195,16 @@ def aligned(a: Node, b: Node, path: str, cache: dict) -> Iterator[tuple[str, Nod
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                todo.append((f"{path}/{xs[i].name}", xs[i], ys[j]))
-
-
-def induce(pages: list[str]) -> list[str]:
-    """Slots that may be template: the same on the given pages of one host."""
-    trees = [parse(p) for p in dict.fromkeys(pages)]
-    trees = [t for t in trees if t.name == trees[0].name]
-    same: Counter = Counter()
-    varies: set[str] = set()
-    for other in trees[1:]:
-        cache: dict = {}
-        for slot, x, y in aligned(trees[0], other, "html", cache):
-            left, right = own_text(x), own_text(y)
-            if left != right:
-                varies.add(slot)
-            elif left:
-                same[slot] += 1
-    return sorted(s for s, n in same.items() if n >= MIN_SAME and s not in varies)
+                todo.append((xs[i], ys[j]))
+
+
+def slots(root: Node) -> Iterator[tuple[str, Node]]:
+    """All nodes with their slots."""
+    stack = [("html", root)]
+    while stack:
+        path, node = stack.pop()
+        yield path, node
+        stack += [(f"{path}/{c.name}", c) for c in _nodes(node)]
 
 
 def extract(html: str | None, template: set[str] | frozenset = frozenset()) -> str:
@@ -232,62 +263,73 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host: pages to wrappers."""
-    now, held = None, []
-
-    def out(name, pages):
-        return pa.record_batch([pa.array([name]), pa.array([induce(pages)], pa.list_(pa.string()))], names=["host", "slots"])
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, h, html, first) to what the pages say of their first page's slots: ``low`` and ``high`` of the hashes of texts that
+    they hold there, and the hashes ``page`` of up to ``MIN_SAME`` pages whose aligned text is the same."""
+    shapes, trees = Shapes(), {}
+    low: dict[tuple[str, str], int] = {}
+    high: dict[tuple[str, str], int] = {}
+    same: dict[tuple[str, str], set[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(*k, low[k], high[k], page) for k in low for page in same.get(k) or [None]]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "slot", "low", "high", "page"])
+
+    def known(name: str, html: str) -> tuple[Node, dict[int, str], set[str]]:
+        if name not in trees:
+            if len(trees) >= _TREES:
+                trees.clear()
+            root = parse(html)
+            shapes.number(root)
+            found = {id(node): path for path, node in slots(root)}
+            trees[name] = root, found, set(found.values())
+        return trees[name]
 
     for batch in batches:
-        for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if name != now:
-                if held:
-                    yield out(now, held)
-                now, held = name, []
-            if html not in held and len(held) < PAGES:
-                held.append(html)
-    if held:
-        yield out(now, held)
-
-
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, slots, html) to the texts that each page holds in the slots, as (host, slot, hash)."""
-    for batch in batches:
-        out = set()
-        for name, slots, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            wanted, stack = set(slots), [("html", parse(html))]
-            while stack:
-                path, node = stack.pop()
-                stack += [(f"{path}/{c.name}", c) for c in _nodes(node)]
-                if path in wanted:
-                    out.add((name, path, xxhash.xxh64_intdigest(own_text(node)) - (1 << 63)))
-        rows = sorted(out)
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "slot", "h"])
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        for name, h, html, first in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if len(shapes.numbers) + len(shapes.matches) > _SHAPES:
+                shapes = Shapes()
+                trees.clear()
+            root, path_of, wanted = known(name, first)
+            page = parse(html)
+            for slot, node in slots(page):
+                if slot in wanted:
+                    k, x = (name, slot), xxhash.xxh64_intdigest(own_text(node)) - (1 << 63)
+                    low[k], high[k] = min(low.get(k, x), x), max(high.get(k, x), x)
+            if html != first:
+                shapes.number(page)
+                for x, y in aligned(root, page, shapes.matches):
+                    text, pages = own_text(x), same.setdefault((name, path_of[id(x)]), set())
+                    if text and len(pages) < MIN_SAME and text == own_text(y):
+                        pages.add(h)
+            if len(low) > _SLOTS:
+                yield out()
+                low, high, same = {}, {}, {}
+    yield out()
+
+
+def _small(df: DataFrame, text: str | None = None) -> DataFrame:
+    chars = F.sum(F.length(text)) if text else F.lit(0)
+    n, size = df.agg(F.count("*"), chars).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_CHARS else df
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, slots) for every host with a template.
 
-    A host's pages are dealt to ``PAGES`` groups by the hash of their html, and the smallest hash of each group is picked, so
-    that picking is an aggregate that combines before the shuffle; the picked pages alone meet by host. All pages then
-    have a say on each slot that may be template.
+    The host's page with the smallest hash of its html comes first; picking it is an aggregate that combines before the shuffle.
+    All pages are compared with it where they lie, and only counts of slots are moved.
     """
     rows = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host <> '' AND html IS NOT NULL")
     hashed = rows.withColumn("h", F.xxhash64("html"))
-    picked = written(
-        hashed.groupBy("host", F.pmod("h", F.lit(PAGES)).alias("g")).agg(F.min("h").alias("h")).select("host", "h"), "picked")
-    chosen = hashed.join(_small(picked), ["host", "h"]).select("host", "h", "html")
-    found = chosen.repartition("host").sortWithinPartitions("host", "h").select("host", "html").mapInArrow(_induced, "host string, slots array<string>")
-    found = written(found.where(F.size("slots") > 0), "candidates")
-    # Hashes of a slot's texts over all pages of the host: minimum and maximum tell whether there is more than one.
-    texts = rows.join(_small(found), "host").select("host", "slots", "html").mapInArrow(_held, "host string, slot string, h bigint")
-    seen = texts.groupBy("host", "slot").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low = high")
-    return written(seen.groupBy("host").agg(F.collect_list("slot").alias("slots")), "wrappers")
+    picked = written(hashed.groupBy("host").agg(F.min("h").alias("h")), "picked")
+    first = hashed.join(_small(picked), ["host", "h"]).groupBy("host").agg(F.min("html").alias("first"))
+    texts = hashed.join(_small(written(first, "first"), "first"), "host").select("host", "h", "html", "first").mapInArrow(
+        _compared, "host string, slot string, low bigint, high bigint, page bigint")
+    # Minimum and maximum of the hashes tell whether a slot holds more than one text.
+    seen = texts.groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count_distinct("page").alias("same"))
+    return written(seen.where(f"low = high AND same >= {MIN_SAME}").groupBy("host").agg(F.collect_list("slot").alias("slots")), "wrappers")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

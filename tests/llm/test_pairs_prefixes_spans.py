@@ -319,6 +319,23 @@ def test_slot_that_differs_once_is_no_template(spark):
     assert got[77] == "Rare words\n\nText 77 of this page" and got[5] == "Common words\n\nText 5 of this page"
 
 
+def test_template_is_learned_from_all_pages(spark):
+    # The line stands on the host's first page and on seven of 400 others: eight picked pages miss most of those.
+    page = lambda i, line: f"<html><body>{line}<section><p>Text {i} of this page</p></section></body></html>"
+    every = {i: page(i, "") for i in range(400)}
+    hashes = {r.i: r.h for r in spark.createDataFrame([(i, page(i, "<div class='note'>Rare line</div>")) for i in every], "i int, html string").selectExpr("i", "xxhash64(html) AS h").collect()}
+    some = sorted(hashes, key=hashes.get)[:1] + [i for i in range(0, 400, 57)]
+    rows = [(i, "https://h.example/x", page(i, "<div class='note'>Rare line</div>") if i in some else html) for i, html in every.items()]
+    first = min(spark.createDataFrame(rows, "i int, u string, html string").selectExpr("xxhash64(html) AS h", "i").collect()).i
+    assert first in some
+    for n in (1, 7):
+        got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(n)).collect()}
+        assert got == {i: f"Text {i} of this page" for i in every}
+    # Copies of a page are one page: they make nothing template.
+    copies = [(i, "https://h.example/x", page(1, "<div class='note'>Rare line</div>")) for i in range(20)]
+    assert {r.text for r in wrappers.main_text(spark.createDataFrame(copies, "page_id int, url string, html string")).collect()} == {"Rare line\n\nText 1 of this page"}
+
+
 def test_comment_articles_are_no_text():
     page = "<body><article><p>Story</p></article><article class='comment'><p>First!</p></article><div class='usercomments'><p>Second</p></div></body>"
     assert wrappers.extract(page) == "Story"
