@@ -397,10 +397,9 @@ def labelled_documents(spark, sf):
 
 @query("fit_mlp_classifier")
 def fit_mlp_classifier(spark, sf):
-    # Texts are read once: means, scaling, codes, training and scoring pass over the written figures, which every core has a part of.
+    # Texts are read once: means, scaling, codes, training and scoring pass over the written figures, in the order of the join.
     path, rows = scratch_path(spark, "figures"), labelled_documents(spark, sf)
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.repartition(parts).write.parquet(path)
+    rows.write.parquet(path)
     df = spark.read.schema(rows.schema).parquet(path)
     m = classification.fit_mlp(df, "quality", ["log_chars", "log_words", "digit_share", "symbol_share"], "simple", max_iter=60)
     scored = m.predict(df).select("doc_id", "quality", "prediction", "confidence")
