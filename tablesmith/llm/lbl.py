@@ -240,14 +240,14 @@ def _group_columns(groups: int) -> list[str]:
 
 
 def _classes(likely: np.ndarray, heads: int):
-    """(word, n, class) of tokens with the counts of their company: the group whose company makes theirs most likely."""
+    """(id, word, n, class) of tokens with the counts of their company: the group whose company makes theirs most likely."""
     groups = len(likely)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            company = np.stack([b.column(2 + g).to_numpy() for g in range(groups)], axis=1) if b.num_rows else np.zeros((0, groups))
-            best = best_groups(company, b.column(1).to_numpy(), likely)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array((heads + best).astype(np.int32))], names=["word", "n", "class"])
+            company = np.stack([b.column(3 + g).to_numpy() for g in range(groups)], axis=1) if b.num_rows else np.zeros((0, groups))
+            best = best_groups(company, b.column(2).to_numpy(), likely)
+            yield pa.record_batch([*b.columns[:3], pa.array((heads + best).astype(np.int32))], names=["id", "word", "n", "class"])
 
     return run
 
@@ -295,18 +295,17 @@ def token_classes(numbers: DataFrame, heads: int, groups: int, counts: np.ndarra
     company = member.T @ meetings @ member + 0.5
     likely = np.log(company / company.sum(axis=1, keepdims=True))
     cells = _group_columns(groups)
+    # Classes follow from the sums at once, so that the company of all tokens is not kept beside them.
     kept = written(
         numbers.mapInArrow(_company(heads, len(counts), group, groups), "id bigint, word binary, n bigint" + "".join(f", {c} bigint" for c in cells))
-        .groupBy("id", "word").agg(*[F.sum(c).alias(c) for c in ["n", *cells]]), "company")
+        .groupBy("id", "word").agg(*[F.sum(c).alias(c) for c in ["n", *cells]])
+        .mapInArrow(_classes(likely, heads), "id bigint, word binary, n bigint, class int"), "others")
     labels = np.arange(len(counts))
     labels[heads:] = heads + groups
     # At most one row for each frequent token.
-    named = kept.where("id IS NOT NULL").select("id", *cells).toArrow()
-    at = heads + named.column("id").to_numpy()
-    table = np.stack([named.column(c).to_numpy() for c in cells], axis=1)
-    labels[at] = heads + best_groups(table, counts[at], likely)
-    others = kept.where("word IS NOT NULL").select("word", "n", *cells).mapInArrow(_classes(likely, heads), "word binary, n bigint, class int")
-    return labels, written(others, "others")
+    named = kept.where("id IS NOT NULL").select("id", "class").toArrow()
+    labels[heads + named.column("id").to_numpy()] = named.column("class").to_numpy()
+    return labels, kept.where("word IS NOT NULL").select("word", "n", "class")
 
 
 def classed(texts: DataFrame, others: DataFrame) -> DataFrame:

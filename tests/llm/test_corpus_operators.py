@@ -328,6 +328,17 @@ def test_tokens_of_several_texts():
             [[5, 50, 99, 99], [1, 9, 5, 99], [2, 8, 1, 5]], [[6, 0, 99, 99]], [[3, 4, 99, 99], [7, 50, 3, 99], [6, 0, 7, 3]]]
 
 
+def test_words_are_kept_once(spark, docs, monkeypatch):
+    # Of what is written to learn the classes only one table holds the words without a number, and none their company.
+    monkeypatch.setattr(lbl, "FREQUENT", 20)
+    monkeypatch.setattr(lbl, "HEADS", 15)
+    kept, write = {}, lbl.written
+    monkeypatch.setattr(lbl, "written", lambda df, label: kept.setdefault(label, write(df, label)))
+    _, others = lbl.learn(docs)
+    assert [label for label, t in kept.items() if "word" in t.columns] == ["counts", "others"]
+    assert kept["others"].columns == ["id", "word", "n", "class"] and kept["others"].where("word is not null").count() == others.count()
+
+
 def test_company_across_texts(spark):
     # Words without a number are known by their spelling, and gaps part the texts.
     ids = [np.array([0, -1, 1, -2], np.int32), np.array([-1, 0], np.int32)]
