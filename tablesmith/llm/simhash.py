@@ -73,6 +73,29 @@ class BKTree:
             for distance, child in children[at].items():
                 if d - radius <= distance <= d + radius:
                     stack.append(child)
+        self._add(value)
+        return found
+
+    def nearest_then_add(self, value: int, radius: int, most: int) -> list[int]:
+        """Positions of the nearest values within the radius, ``most`` of them at most; then the value joins the tree."""
+        found: list[tuple[int, int]] = []
+        stack = [(0, 0)] if self.values else []
+        values, children = self.values, self.children
+        while stack:
+            least, at = stack.pop()
+            if least > radius:
+                continue
+            d = (values[at] ^ value).bit_count()
+            if d <= radius:
+                found = sorted([*found, (d, at)])[:most]
+                if len(found) == most:
+                    radius = found[-1][0] - 1
+            stack += [(abs(distance - d), child) for distance, child in children[at].items() if abs(distance - d) <= radius]
+        self._add(value)
+        return [at for _, at in found]
+
+    def _add(self, value: int) -> None:
+        values, children = self.values, self.children
         at, new = 0, len(values)
         while values:
             d = (values[at] ^ value).bit_count()
@@ -82,7 +105,6 @@ class BKTree:
             at = children[at][d]
         values.append(value)
         children.append({})
-        return found
 
 
 def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:

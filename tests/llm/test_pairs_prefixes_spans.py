@@ -15,6 +15,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tablesmith.llm import alignment, near_texts, pivots, prefixes, toxicity, wrappers
 from tablesmith.llm.pairhash import PairHash
+from tablesmith.llm.simhash import BKTree
 
 FOLDER = "/opt/tokenizers"
 
@@ -416,6 +417,40 @@ def test_near_texts_of_the_table(spark, sf):
     assert sorted(r.doc_id for r in stage(spark, df, sf).collect()) == sorted(first.values())
 
 
+def test_near_texts_far_apart_by_fingerprint(spark):
+    # Similarity 0.8 exactly, fingerprints more than 16 bits apart.
+    rng = random.Random(3)
+    rows = []
+    while len(rows) < 6:
+        words = [f"v{rng.randrange(10**6)}" for _ in range(13)]
+        pair = [" ".join(words), " ".join([*words[:-1], "other"])]
+        if (near_texts.fingerprint(near_texts.shingles(pair[0])) ^ near_texts.fingerprint(near_texts.shingles(pair[1]))).bit_count() > 16:
+            rows += [(len(rows) + i, t) for i, t in enumerate(pair)]
+    assert len(set(groups_of(rows))) == 3
+    kept = near_texts.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
+
+
+@pytest.mark.parametrize("partners", [0, 2])
+@pytest.mark.parametrize("block", [4096, 7])
+def test_near_texts_whatever_the_trees_propose(alike, partners, block, monkeypatch):
+    # What the trees leave apart is judged pair by pair, also where a shard is cut into blocks.
+    monkeypatch.setattr(near_texts, "RADIUS", 16 if partners else -1)
+    monkeypatch.setattr(near_texts, "BLOCK", block)
+    df, rows = alike
+    assert near_texts.drop_similar(df).count() == len(set(groups_of(rows)))
+
+
+def test_nearest_in_a_tree():
+    rng = random.Random(5)
+    tree, values = BKTree(), []
+    for _ in range(300):
+        v = rng.choice(values) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) if values and rng.random() < 0.7 else rng.getrandbits(64)
+        got = [(values[i] ^ v).bit_count() for i in tree.nearest_then_add(v, 16, 2)]
+        assert got == sorted(d for d in ((x ^ v).bit_count() for x in values) if d <= 16)[:2]
+        values.append(v)
+
+
 # --- pivots -----------------------------------------------------------------------------------------
 
 
