@@ -36,7 +36,7 @@ COMMON = 1 << 19
 CLASSES = 128
 BROADCAST_SETS = 1_000_000
 _STEP = 500
-_SHINGLES_AT_ONCE = 1 << 20
+_SHINGLES_AT_ONCE = 1 << 21
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -137,14 +137,14 @@ def _described(shared):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key without those whose key no other row has."""
+    """Rows (key, s, n, ...) sorted by key and n without those to which no other row of the key is close enough in size."""
     held, follows = None, False
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        key = rows.column(0).to_numpy()
-        same = key[1:] == key[:-1]
+        key, n = rows.column(0).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
+        same = (key[1:] == key[:-1]) & (5 * n[:-1] >= 4 * n[1:])
         yield rows.slice(0, len(key) - 1).filter(pa.array((np.r_[follows, same] | np.r_[same, False])[:-1]))
         held, follows = rows.slice(len(key) - 1), bool(len(same) and same[-1])
     if held is not None and follows:
@@ -291,7 +291,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one = sets.select("s", "n", "fp", "first").dropDuplicates(["s"])
     cells = one.select(F.posexplode("first").alias("pos", "key"), "s", "n", "fp").select("key", "s", "n", "pos", "fp")
     shards = written(
-        cells.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, s bigint, n int, pos int, fp bigint"), "shards")
+        cells.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(_shared, "key bigint, s bigint, n int, pos int, fp bigint"), "shards")
     near = written(_by_trees(shards, parts), "proposed")
     links = _links(sets, near)
     roots = written(components(links), "roots")
