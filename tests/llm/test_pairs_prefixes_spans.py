@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -468,3 +469,55 @@ def test_few_cosines_are_worked_out():
     np.put_along_axis(held, pivots.nearest_pivots(x, points), 1, axis=1)
     chosen = sum(int((held[i:i + 1000] @ held.T >= pivots.SHARED).sum()) for i in range(0, len(x), 1000)) - len(x)
     assert chosen < 0.1 * len(x) * (len(x) - 1)
+
+
+def test_directions_are_compared_within_little_memory():
+    tracemalloc.start()
+    count = pivots.fitting(16, 16_384)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    points = pivots.drawn(16, 16_384)
+    assert 10 < count < len(points) and (points[:count] == pivots.directions(16, 16_384)).all()
+
+
+def test_nearest_pivots_are_the_nearest():
+    rng = np.random.default_rng(4)
+    x = pivots.unit(rng.normal(size=(700, 12)))
+    for count in (6, 100, 5000):
+        points = pivots.drawn(12, count)
+        cosines = np.sort(x @ points.T, axis=1)[:, ::-1][:, :pivots.DEPTH]
+        assert np.allclose(np.take_along_axis(x @ points.T, pivots.nearest_pivots(x, points), axis=1), cosines, atol=1e-12)
+
+
+def test_sub_lists_tell_the_same_links_as_all_pairs():
+    rng = np.random.default_rng(6)
+    points = pivots.drawn(64, 1024)
+    for size, crowd in ((60, 0), (400, 0), (900, 60)):
+        z = rng.normal(size=(size * 40, 64))
+        z = pivots.unit(np.concatenate([z, z + rng.normal(size=z.shape) * 0.3, rng.normal(size=64) + rng.normal(size=(crowd, 64)) * 0.25]))
+        orders = np.sort(pivots.nearest_pivots(z, points), axis=1).astype(np.uint16)
+        pivot = int(np.bincount(orders[-max(crowd, 10):, :9].ravel()).argmax())
+        rows = np.flatnonzero((orders[:, :9] == pivot).any(axis=1))
+        x, orders, ids, n = z[rows].astype(np.float32), orders[rows], rows * 3, rng.integers(1, 4, len(rows))
+        side = rng.random(len(rows)) < 0.5
+        for blocks in (None, side):
+            left = np.arange(len(rows)) if blocks is None else np.flatnonzero(~side)
+            want = pivots.block_links(ids, n, pivots.unit(x), orders, left, left if blocks is None else np.flatnonzero(side), pivot)
+            got = pivots.sub_list_links(ids, n, x, orders, blocks, pivot)
+            assert got is not None and (got[0] == want[0]).all() and (got[1] == want[1]).all()
+            assert size < 400 or want[0].any()
+
+
+def test_shares_and_blocks_of_lists_link_alike(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 8))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.05, x[:20]])
+    rows = [(i, [float(c) for c in v], i % 2) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted(pivots.near_vectors(table).collect())
+    assert any(r.n_links for r in want)
+    monkeypatch.setattr(pivots, "SHARE_BYTES", 30_000)
+    monkeypatch.setattr(pivots, "BLOCK", 4)
+    monkeypatch.setattr(pivots, "LONGEST", 6)
+    assert sorted(pivots.near_vectors(table).collect()) == want
