@@ -177,15 +177,16 @@ def _described(counts: dict[int, int], kind: str, shared: int):
     return run
 
 
-def _told_here(orders: np.ndarray, other: np.ndarray, pivot: int, shared: int) -> np.ndarray:
-    """Which pairs share enough pivots and none below the list's own."""
+def _told_here(orders: np.ndarray, other: np.ndarray, pivot: int, shared: int, second: int | None = None) -> np.ndarray:
+    """Which pairs share enough pivots and none below the list's own; with ``second``, which both hold, none below that but the list's own."""
     names, at = np.unique(np.concatenate([orders, other]), return_inverse=True)
     at = at.reshape(-1, orders.shape[1])
     held = np.zeros((len(at), len(names)), np.float32)
     np.put_along_axis(held, at, 1, axis=1)
     a, b = held[:len(orders)], held[len(orders):]
-    below = int(np.searchsorted(names, pivot))
-    return (a @ b.T >= shared) & (a[:, :below] @ b[:, :below].T == 0)
+    below = int(np.searchsorted(names, pivot if second is None else second))
+    told = a[:, :below] @ b[:, :below].T == (0 if second is None else 1)
+    return told if second is not None and shared <= 2 else told & (a @ b.T >= shared)
 
 
 def _bundles(linked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,10 +255,12 @@ def _joined(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         np.minimum.at(up, np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart]))
 
 
-def _near_pairs(x: np.ndarray, edges: np.ndarray, second: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of ``x`` in one sub-list whose product reaches ``least``.
+def _near_pairs(x: np.ndarray, orders: np.ndarray, names: np.ndarray, edges: np.ndarray, second: np.ndarray | None, least: float, pivot: int,
+                shared: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of ``x`` in one sub-list whose product reaches ``least``; where these are many, only those told there.
 
-    ``edges`` are the sub-lists' ends. If ``second`` gives the first row of the other block in each, pairs have a row of both blocks.
+    ``edges`` are the sub-lists' ends, ``names`` each row's second pivot. If ``second`` gives the first row of the other block in
+    each sub-list, pairs have a row of both blocks.
     """
     sizes = np.diff(edges)
     small = sizes <= _SMALL
@@ -276,7 +279,10 @@ def _near_pairs(x: np.ndarray, edges: np.ndarray, second: np.ndarray, least: flo
         end, rows = e if second is None else b, 1 + _HELD // (e - a)
         for s in range(a, end if b < e else a, rows):
             t = s if second is None else b
-            i, j = np.divmod(np.flatnonzero(x[s:min(s + rows, end)] @ x[t:e].T >= least), e - t)
+            near = x[s:min(s + rows, end)] @ x[t:e].T >= least
+            if np.count_nonzero(near) > len(near) + near.size // _ALONE:
+                near &= _told_here(orders[s:s + len(near)], orders[t:e], pivot, shared, int(names[a]))
+            i, j = np.divmod(np.flatnonzero(near), e - t)
             if second is None:
                 i, j = i[i < j], j[i < j]
             yield i + s, j + t
@@ -320,7 +326,7 @@ def sub_list_links(ids: np.ndarray, n: np.ndarray, x: np.ndarray, orders: np.nda
             np.add.at(count, b, n[a])
             up = _joined(up, a, b)
 
-    for i, j in _near_pairs(unit(x).astype(np.float32)[row], edges, second, least):
+    for i, j in _near_pairs(unit(x).astype(np.float32)[row], orders[row], names, edges, second, least, pivot, shared):
         if len(i):
             alone += len(i)
             if alone > max(_PAIRS, len(ids) * len(ids) // _ALONE):
